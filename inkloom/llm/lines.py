@@ -1,0 +1,34 @@
+"""Lines of Markdown texts as rows, without leaving the JVM."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+FENCE = r"(?m)^[ \t]*```[^\n]*$"
+
+
+def link_labels(text: Column) -> Column:
+    """Markdown links and images reduced to their labels."""
+    return F.regexp_replace(text, r"!?\[([^\]\n]*)\]\([^)\n]*\)", "$1")
+
+
+def wording(line: Column) -> Column:
+    """The letters of a line in one case; equal for lines that differ in nothing else."""
+    return F.lower(F.upper(F.regexp_replace(link_labels(line), r"[^\p{L}]+", "")))
+
+
+def prose_lines(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """``keep..., line_no, line`` for the lines outside code fences; fence lines themselves drop out too.
+
+    The text is cut at its fence lines, so every second piece lies inside one; newline counts of the pieces before
+    give the line numbers.  Null texts give no rows.
+    """
+    pieces = F.split(F.col(text), FENCE, -1)
+    breaks = F.transform(F.col("_pieces"), lambda p: F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit(""))))
+    cut = df.select(*keep, pieces.alias("_pieces")).where("_pieces is not null").select(*keep, F.posexplode(F.arrays_zip("_pieces", breaks.alias("_breaks"))).alias("_i", "_z"), breaks.alias("_all"))
+    outside = cut.where(F.col("_i") % 2 == 0)
+    before = F.aggregate(F.slice("_all", F.lit(1), F.col("_i")), F.lit(0), lambda a, b: a + b)
+    return outside.select(*keep, before.alias("_before"), F.posexplode(F.split("_z._pieces", "\n", -1)).alias("_j", "line")).select(
+        *keep, (F.col("_before") + F.col("_j") + 1).cast("int").alias("line_no"), "line"
+    )
