@@ -5,10 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkloom.llm.encoding import repair_text, train_on
 from inkloom.llm.repeated_lines import repeated_lines, without_lines
 from inkloom.session import cut, table
 
 
+def _garbled(spark: SparkSession, folder: str) -> DataFrame:
+    """``page_id, field_name, restored, chains`` of the garbled titles, descriptions and texts of the pages."""
+    pages = table(spark, folder, "mirror_pages")
+    model = train_on(pages, "markdown")
+    fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in ("markdown", "title", "description")]))
+    values = pages.select("page_id", fields.alias("f")).select("page_id", "f.field_name", "f.value")
+    return repair_text(values, "value", model, ["page_id", "field_name"])
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Values with at least one passage decoded with the wrong encoding."""
+    return _garbled(spark, folder).select("page_id", "field_name").distinct()
+
+
+def p6_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """The damaged values as originally written, with the encoding chains that were undone."""
+    return _garbled(spark, folder).select("page_id", "field_name", "restored", F.array_join("chains", "; ").alias("chains")).distinct()
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Lines whose wording stands in at least 12 documents of their site."""
     pages = table(spark, folder, "mirror_pages")
@@ -21,4 +41,4 @@ def p3_clean(spark: SparkSession, folder: str) -> DataFrame:
     return without_lines(pages, "markdown", "page_id", cut(repeated_lines(pages, "markdown", "site_host", "canonical_url", "page_id")))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_clean)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_clean, p6_found, p6_restored)}
