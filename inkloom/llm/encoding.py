@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # (written as, read as) steps, applied in turn.  Fixed values.
 CHAINS: dict[str, tuple[tuple[str, str], ...]] = {
@@ -280,7 +281,7 @@ def repair_text(rows: DataFrame, text: str, model: Classifier, keep: list[str])
     the text with every passage put right that can be.  Null, empty and plain ASCII texts are never garbled; rows stay
     apart however equal they are.
     """
-    schema = rows.select(*keep, F.col(text).alias("restored")).schema.add("chains", "array<string>")
+    schema = rows.select(*keep, F.col(text).alias("restored")).schema.add("chains", T.ArrayType(T.StringType()))
     shared = rows.sparkSession.sparkContext.broadcast((model.classes, model.logs, model.known))  # a fixed number of buckets; words of the bounded sample
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
