@@ -13,9 +13,10 @@ def link_labels(text: Column) -> Column:
     return F.regexp_replace(text, r"!?\[([^\]\n]*)\]\([^)\n]*\)", "$1")
 
 
-def wording(line: Column) -> Column:
-    """The letters of a line in one case; equal for lines that differ in nothing else."""
-    return F.lower(F.upper(F.regexp_replace(link_labels(line), r"[^\p{L}]+", "")))
+def letter_words(line: Column) -> Column:
+    """The runs of letters of a line in one case, with single spaces between."""
+    shown = F.when(F.contains(line, F.lit("](")), link_labels(line)).otherwise(line)
+    return F.trim(F.regexp_replace(F.lower(F.upper(shown)), r"[^\p{L}]+", " "))
 
 
 def prose_lines(df: DataFrame, text: str, keep: list[str]) -> DataFrame:

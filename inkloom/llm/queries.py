@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkloom.llm.encoding import repair_text, train_on
+from inkloom.llm.lookalikes import TRIGGER, alone, changed_texts, plain_texts
 from inkloom.llm.repeated_lines import repeated_lines, without_lines
 from inkloom.session import cut, table
 
@@ -29,6 +30,29 @@ def p6_restored(spark: SparkSession, folder: str) -> DataFrame:
     return _garbled(spark, folder).select("page_id", "field_name", "restored", F.array_join("chains", "; ").alias("chains")).distinct()
 
 
+def _visible_values(spark: SparkSession, folder: str) -> DataFrame:
+    """``field_name, rec_id, value`` of titles, texts and headings."""
+    fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in ("title", "markdown")]))
+    pages = table(spark, folder, "mirror_pages").select(F.col("page_id").alias("rec_id"), fields.alias("f")).select("f.field_name", "rec_id", "f.value")
+    headings = table(spark, folder, "page_headings").select(F.lit("heading_text").alias("field_name"), F.col("heading_id").alias("rec_id"), F.col("heading_text").alias("value"))
+    return pages.unionByName(headings)
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Values with characters that look like, or hide beside, the plain spelling; garbled values aside."""
+    values = _visible_values(spark, folder)
+    suspect = cut(values.where(F.col("value").rlike(TRIGGER) | alone(F.col("value"))).distinct())
+    changed = changed_texts(suspect, "value", ["field_name", "rec_id"])
+    asked = suspect.join(changed, ["field_name", "rec_id"], "left_semi")
+    garbled = repair_text(asked, "value", train_on(table(spark, folder, "mirror_pages"), "markdown"), ["field_name", "rec_id"])
+    return changed.join(garbled, ["field_name", "rec_id"], "left_anti")
+
+
+def p1_plain(spark: SparkSession, folder: str) -> DataFrame:
+    """Titles, texts and headings in one consistent form, where that differs from the stored one."""
+    return plain_texts(_visible_values(spark, folder), "value", ["field_name", "rec_id"])
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Lines whose wording stands in at least 12 documents of their site."""
     pages = table(spark, folder, "mirror_pages")
@@ -41,4 +65,4 @@ def p3_clean(spark: SparkSession, folder: str) -> DataFrame:
     return without_lines(pages, "markdown", "page_id", cut(repeated_lines(pages, "markdown", "site_host", "canonical_url", "page_id")))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_clean, p6_found, p6_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_plain, p3_found, p3_clean, p6_found, p6_restored)}
