@@ -270,7 +270,9 @@ class Classifier:
 
 def train_on(texts: DataFrame, text: str, sample: int = SAMPLE_PAGES) -> Classifier:
     """Train on at most ``sample`` texts, those with the least hashes; repeated texts count once."""
-    picked = texts.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("h"), text).orderBy("h").limit(sample)
+    hashed = texts.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("h"), text)
+    last = hashed.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    picked = hashed.where(F.col("h") <= F.lit(last)).dropDuplicates(["h"]).orderBy("h")
     return Classifier.train(row[1] for row in picked.toLocalIterator())
 
 
