@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +27,20 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, memory:
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package known to the Python workers, wherever they run; once a session."""
+    context = spark.sparkContext
+    if getattr(context, "_inkloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="inkloom-code-")) / "inkloom.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for path in sorted(root.rglob("*.py")):
+            archive.write(path, path.relative_to(root.parent))
+    context.addPyFile(str(target))
+    context._inkloom_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder named by spark.checkpoint.dir; only where that is unset (local tests) make one."""
     context = spark.sparkContext
