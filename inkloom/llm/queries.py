@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkloom.llm.boilerplate import boilerplate_lines
 from inkloom.llm.encoding import repair_text, train_on
 from inkloom.llm.lookalikes import TRIGGER, alone, changed_texts, plain_texts
 from inkloom.llm.repeated_lines import repeated_lines, without_lines
@@ -53,6 +54,19 @@ def p1_plain(spark: SparkSession, folder: str) -> DataFrame:
     return plain_texts(_visible_values(spark, folder), "value", ["field_name", "rec_id"])
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of the pages that aren't part of the article."""
+    pages = table(spark, folder, "mirror_pages").select("page_id", "site_host", "canonical_url", "markdown").where("markdown is not null").dropDuplicates(["page_id"])
+    owners = table(spark, folder, "mirror_sites").groupBy("site_host").agg(F.max("org_name").alias("org_name"))
+    return boilerplate_lines(pages.join(owners, "site_host", "left"), "markdown", "site_host", "canonical_url", "page_id", "org_name")
+
+
+def p2_articles(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page with its article only."""
+    pages = table(spark, folder, "mirror_pages").select("page_id", "site_host", "markdown").dropDuplicates(["page_id"])
+    return without_lines(pages, "markdown", "page_id", p2_found(spark, folder))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Lines whose wording stands in at least 12 documents of their site."""
     pages = table(spark, folder, "mirror_pages")
@@ -65,4 +79,4 @@ def p3_clean(spark: SparkSession, folder: str) -> DataFrame:
     return without_lines(pages, "markdown", "page_id", cut(repeated_lines(pages, "markdown", "site_host", "canonical_url", "page_id")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_plain, p3_found, p3_clean, p6_found, p6_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_plain, p2_found, p2_articles, p3_found, p3_clean, p6_found, p6_restored)}
