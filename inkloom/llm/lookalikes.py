@@ -28,15 +28,17 @@ _EMOJI = r"\x{1F000}-\x{1FAFF}\x{2190}-\x{21FF}\x{2600}-\x{27BF}\x{2B00}-\x{2BFF
 _JOINERS = r"[\x{200D}\x{FE00}-\x{FE0F}]"
 _FULL = r"\x{FF10}-\x{FF19}\x{FF21}-\x{FF3A}\x{FF41}-\x{FF5A}\x{FF66}-\x{FF9F}"
 _COMPAT = r"\x{FB00}-\x{FB06}\x{212A}\x{212B}\x{2126}\x{F900}-\x{FAD9}\x{1D400}-\x{1D7FF}\x{2010}\x{2011}\x{0132}\x{0133}\x{01C4}-\x{01CC}\x{01F1}-\x{01F3}\x{1F71}-\x{1FFD}"
-_LAT, _CG = r"\p{IsLatin}&&\p{L}", r"\p{IsCyrillic}\p{IsGreek}"
+# Ranges, as scripts by name are looked up letter by letter.
+_LAT, _CYR, _GRE = r"A-Za-z\xAA\xBA\xC0-\xD6\xD8-\xF6\xF8-\x{24F}\x{1E00}-\x{1EFF}", r"\x{400}-\x{52F}", r"\x{370}-\x{373}\x{376}-\x{37D}\x{37F}-\x{3FF}\x{1F00}-\x{1FFF}"
+_CG = _CYR + _GRE
 # Anything that may not be plain; the rest of the work decides.
 TRIGGER = (
     rf"[{SPACES}{INVISIBLE}\x{{300}}-\x{{34E}}\x{{350}}-\x{{36F}}\x{{1AB0}}-\x{{1AFF}}\x{{1DC0}}-\x{{1DFF}}\x{{3099}}\x{{309A}}{_FULL}{_COMPAT}]"
-    rf"|(?<![{_EMOJI}]){_JOINERS}|[{_LAT}][{_CG}]|[{_CG}][{_LAT}]|\p{{IsCyrillic}}\p{{IsGreek}}|\p{{IsGreek}}\p{{IsCyrillic}}"
+    rf"|(?<![{_EMOJI}]){_JOINERS}|[{_LAT}][{_CG}]|[{_CG}][{_LAT}]|[{_CYR}][{_GRE}]|[{_GRE}][{_CYR}]"
 )
 _AMBIGUOUS = "".join(sorted(set(OTHER) - set(LATIN)))
 _LONE = rf"[{_AMBIGUOUS}]"
-_TELLING = rf"[\p{{IsCyrillic}}\p{{IsGreek}}&&[^{_AMBIGUOUS}]]"
+_TELLING = rf"[{_CG}&&[^{_AMBIGUOUS}]]"
 _BREAK = r"[\x00-\x20]+"
 
 
@@ -98,7 +100,7 @@ def plain_words(words: DataFrame) -> DataFrame:
     order = Window.partitionBy(*key).orderBy("pos", "sub")
     letter = F.col("ch").rlike(r"^[\p{L}\p{M}]$")
     runs = spelled.withColumn("run", F.sum(F.when(letter, 0).otherwise(1)).over(order))
-    is_latin, is_cyrillic, is_greek = F.col("ch").rlike(r"^[\p{IsLatin}&&\p{L}]$"), F.col("ch").rlike(r"^\p{IsCyrillic}$"), F.col("ch").rlike(r"^\p{IsGreek}$")
+    is_latin, is_cyrillic, is_greek = F.col("ch").rlike(f"^[{_LAT}]$"), F.col("ch").rlike(f"^[{_CYR}]$"), F.col("ch").rlike(f"^[{_GRE}]$")
     doubled = F.col("ch").isin(*sorted({*LATIN, *OTHER}))
     in_run = Window.partitionBy(*key, "run")
     count = lambda c: F.sum(F.when(c, 1).otherwise(0)).over(in_run)
@@ -134,9 +136,14 @@ def plain_words(words: DataFrame) -> DataFrame:
     return rebuilt.where("plain <> word")
 
 
+def suspicious(text: Column) -> Column:
+    """Whether a text may be other than plain; false for most at the price of one scan."""
+    return text.rlike(r"[^\x00-\x7F]") & (text.rlike(TRIGGER) | alone(text))
+
+
 def odd_words(values: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """``keep..., word, alone``: the words of each text that may not be plainly written."""
-    suspect = values.where(F.col(text).rlike(TRIGGER) | alone(F.col(text)))
+    suspect = values.where(suspicious(F.col(text)))
     split = suspect.select(*keep, alone(F.col(text)).alias("alone"), F.explode(F.array_distinct(F.split(text, _BREAK, -1))).alias("word"))
     return split.where(F.col("word").rlike(TRIGGER) | F.col("alone") & F.col("word").rlike(_LONE))
 
@@ -149,7 +156,7 @@ def plain_texts(values: DataFrame, text: str, row_id: list[str]) -> DataFrame:
     to the script of their word.  Signs such as ™ № ² ½ and Japanese punctuation stay.  Null and empty texts have no
     other form and yield nothing; equal ``row_id`` with equal text yield one row.
     """
-    suspect = values.where(F.col(text).rlike(TRIGGER) | alone(F.col(text))).select(*row_id, text).distinct()
+    suspect = values.where(suspicious(F.col(text))).select(*row_id, text).distinct()
     words = odd_words(suspect, text, [*row_id, text])
     spelled = plain_words(words.select("word", "alone").distinct())
     fixes = words.join(spelled, ["word", "alone"]).groupBy(*row_id, text).agg(F.map_from_entries(F.collect_set(F.struct("word", "plain"))).alias("fix"))
