@@ -9,6 +9,10 @@ from inkloom.llm.boilerplate import boilerplate_lines
 from inkloom.llm.encoding import repair_text, train_on
 from inkloom.llm.lookalikes import changed_texts, plain_texts, suspicious
 from inkloom.llm.repeated_lines import repeated_lines, without_lines
+from inkloom.llm.mixing import mix_report, mix_sources
+from inkloom.llm.packing import pack
+from inkloom.llm.subjects import fit, score
+from inkloom.llm.tokens import with_tokens
 from inkloom.session import cut, table
 
 
@@ -79,4 +83,57 @@ def p3_clean(spark: SparkSession, folder: str) -> DataFrame:
     return without_lines(pages, "markdown", "page_id", cut(repeated_lines(pages, "markdown", "site_host", "canonical_url", "page_id")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_plain, p2_found, p2_articles, p3_found, p3_clean, p6_found, p6_restored)}
+def _sized(spark: SparkSession, folder: str) -> DataFrame:
+    return with_tokens(table(spark, folder, "documents").select("doc_id", "source", "text"), "text").drop("text")
+
+
+def p8_contents(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents in containers of every kind, by tokens."""
+    packed = pack(_sized(spark, folder), "doc_id", "tokens", table(spark, folder, "pack_limits"), "container_kind", "capacity_tokens")
+    return packed.select(F.col("kind").alias("container_kind"), "container", F.col("item").alias("doc_id"), F.col("piece").alias("piece_no"), F.col("size").alias("tokens"))
+
+
+def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """Each container with its number of pieces, tokens and fill."""
+    limits = table(spark, folder, "pack_limits").groupBy("container_kind").agg(F.max("capacity_tokens").alias("capacity"))
+    filled = p8_contents(spark, folder).groupBy("container_kind", "container").agg(F.count(F.lit(1)).alias("pieces"), F.sum("tokens").alias("tokens"))
+    return filled.join(limits, "container_kind").withColumn("fill", F.col("tokens") / F.col("capacity"))
+
+
+def _targets(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "mix_targets").select(F.col("mix_name").alias("mix"), "source", F.col("target_share").alias("share"), F.col("max_repeats").alias("repeats"))
+
+
+def p9_selection(spark: SparkSession, folder: str) -> DataFrame:
+    """Every use of a document in each mix, with its slot in the interleaved order."""
+    used = mix_sources(_sized(spark, folder), "doc_id", "source", "tokens", _targets(spark, folder))
+    return used.select(F.col("mix").alias("mix_name"), "source", F.col("item").alias("doc_id"), "use_no", F.col("size").alias("tokens"), "slot")
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Actual beside target shares of every source of every mix."""
+    targets = _targets(spark, folder)
+    return mix_report(mix_sources(_sized(spark, folder), "doc_id", "source", "tokens", targets), targets).withColumnRenamed("mix", "mix_name")
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The subjects of every document."""
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    known = [r[0] for r in table(spark, folder, "subject_areas").select("subject").distinct().orderBy("subject").collect()]  # a closed list of ten
+    model = fit(documents, table(spark, folder, "subject_labels"), known, "doc_id", "text", "subject")
+    return score(documents, model, known, "doc_id", "text").distinct()
+
+
+def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The composition of the corpus by subject: documents, and their share of all."""
+    total = table(spark, folder, "documents").agg(F.count(F.lit(1)).alias("total"))  # one row
+    counts = p10_found(spark, folder).groupBy("subject").agg(F.count(F.lit(1)).alias("documents"))
+    return counts.crossJoin(total).select("subject", "documents", (F.col("documents") / F.col("total")).alias("share"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_plain, p2_found, p2_articles, p3_found, p3_clean, p6_found, p6_restored, p8_contents, p8_fill, p9_selection, p9_shares, p10_found, p10_shares,
+    )
+}
