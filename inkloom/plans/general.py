@@ -9,6 +9,7 @@ from inkloom.functions.urls import canonical_url
 from inkloom.operators.hierarchy import descendants, resolve_hierarchy
 from inkloom.operators.orphans import month_label, month_number, orphan_keys
 from inkloom.operators.snapshots import snapshot_changes, text_state
+from inkloom.plans import mirror
 from inkloom.session import cut, table
 
 
@@ -74,3 +75,22 @@ def p7_descendants(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p4_found, p5_found, p5_report, p7_found, p7_paths, p7_descendants)}
+
+_CANON = mirror.canon_sql("canonical_url")
+_TEXT = "regexp_replace(regexp_replace(coalesce(markdown, ''), '[ \\t\\r\\x{A0}]+\\n', chr(10), 'g'), '[\\s\\x{A0}]+$', '')"
+SQL = {
+    "p4_found": f"""
+        with v as (select snapshot_no n, {_CANON} u, arg_max(struct_pack(t := {_TEXT}, p := coalesce(placeholder, false)), (delivered_at, snap_row_id)) s from page_snapshots group by 1, 2),
+        o as (select n, lag(n) over (order by n) b from (select distinct n from v)),
+        pairs as (select coalesce(c.n, d.n) n, coalesce(c.u, d.u) u, c.s cs, d.s ds from (select v.* from v join o on v.n = o.n where o.b is not null) c
+          full join (select o.n, v.u, v.s from v join o on v.n = o.b) d on c.n = d.n and c.u = d.u)
+        select n snapshot_no, u canonical_url, case when ds is null then 'added' when cs is null then 'removed' else 'changed' end change_kind from pairs where cs is distinct from ds""",
+    "p5_found": f"""
+        with r as (select distinct 'mirror_pages' src_table, page_id src_id, date_trunc('month', loaded_at) m, i ref_no, {mirror.canon_sql("links_internal[i]")} k from (select page_id, loaded_at, links_internal, unnest(range(1, len(links_internal) + 1)) i from mirror_pages)),
+        s as (select {_CANON} k, date_trunc('month', loaded_at) m, arg_max(coalesce(status_code, 0) not in (404, 410), (loaded_at, page_id)) ok from mirror_pages group by 1, 2),
+        a as (select r.src_table, r.src_id, r.ref_no, r.m, s.ok from r asof left join s on r.k = s.k and r.m >= s.m),
+        f as (select page_id, min(date_trunc('month', loaded_at)) m from mirror_pages group by 1),
+        h as (select distinct 'page_headings' src_table, heading_id src_id, 0 ref_no, date_trunc('month', extracted_at) m, h.page_id from page_headings h)
+        select src_table, strftime(m, '%Y-%m') ref_month, src_id, ref_no::int ref_no from a where not coalesce(ok, false)
+        union all select h.src_table, strftime(h.m, '%Y-%m'), h.src_id, h.ref_no from h left join f on h.page_id = f.page_id where f.m is null or f.m > h.m""",
+}
