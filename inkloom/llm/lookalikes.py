@@ -13,7 +13,7 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkloom.session import cut
+from inkloom.session import cut, store
 
 # Letters that a reader can't tell apart, by script.  Fixed values.
 LATIN = "AaBCcEeHIiJjKMOoPpSsTXxYyAaEIiKMNOoPpTXYZ"
@@ -31,10 +31,12 @@ _COMPAT = r"\x{FB00}-\x{FB06}\x{212A}\x{212B}\x{2126}\x{F900}-\x{FAD9}\x{1D400}-
 # Ranges, as scripts by name are looked up letter by letter.
 _LAT, _CYR, _GRE = r"A-Za-z\xAA\xBA\xC0-\xD6\xD8-\xF6\xF8-\x{24F}\x{1E00}-\x{1EFF}", r"\x{400}-\x{52F}", r"\x{370}-\x{373}\x{376}-\x{37D}\x{37F}-\x{3FF}\x{1F00}-\x{1FFF}"
 _CG = _CYR + _GRE
-# Anything that may not be plain; the rest of the work decides.
+# Anything that may not be plain; the rest of the work decides.  Plain ASCII and runs of plain Cyrillic are passed over
+# before the long class is looked at.
+_ODD = rf"[{SPACES}{INVISIBLE}\x{{300}}-\x{{34E}}\x{{350}}-\x{{36F}}\x{{1AB0}}-\x{{1AFF}}\x{{1DC0}}-\x{{1DFF}}\x{{3099}}\x{{309A}}{_FULL}{_COMPAT}]"
 TRIGGER = (
-    rf"[{SPACES}{INVISIBLE}\x{{300}}-\x{{34E}}\x{{350}}-\x{{36F}}\x{{1AB0}}-\x{{1AFF}}\x{{1DC0}}-\x{{1DFF}}\x{{3099}}\x{{309A}}{_FULL}{_COMPAT}]"
-    rf"|(?<![{_EMOJI}]){_JOINERS}|[{_LAT}][{_CG}]|[{_CG}][{_LAT}]|[{_CYR}][{_GRE}]|[{_GRE}][{_CYR}]"
+    rf"(?=[^\x00-\x7F])(?![а-яё](?:[а-яё]|[\x00-\x40]))(?:{_ODD}|(?<![{_EMOJI}]){_JOINERS}|[{_CYR}][{_LAT}{_GRE}]|[{_GRE}][{_LAT}{_CYR}]|[{_LAT}][{_CG}])"
+    rf"|[A-Za-z](?=[^\x00-\x7F])[{_CG}]"
 )
 _AMBIGUOUS = "".join(sorted(set(OTHER) - set(LATIN)))
 _LONE = rf"[{_AMBIGUOUS}]"
@@ -44,7 +46,7 @@ _BREAK = r"[\x00-\x20]+"
 
 def alone(text: Column) -> Column:
     """Whether letters of another script stand in a text without any letter that only that script has."""
-    return text.rlike(_LONE) & ~text.rlike(_TELLING)
+    return text.rlike(rf"[{_CG}]") & text.rlike(_LONE) & ~text.rlike(_TELLING)
 
 
 def _tables(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -141,11 +143,10 @@ def suspicious(text: Column) -> Column:
     return text.rlike(r"[^\x00-\x7F]") & (text.rlike(TRIGGER) | alone(text))
 
 
-def odd_words(values: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """``keep..., word, alone``: the words of each text that may not be plainly written."""
-    suspect = values.where(suspicious(F.col(text)))
-    split = suspect.select(*keep, alone(F.col(text)).alias("alone"), F.explode(F.array_distinct(F.split(text, _BREAK, -1))).alias("word"))
-    return split.where(F.col("word").rlike(TRIGGER) | F.col("alone") & F.col("word").rlike(_LONE))
+def odd_words(suspect: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """``keep..., word, alone``: the words of suspicious texts that may not be plainly written."""
+    split = suspect.select(*keep, alone(F.col(text)).alias("alone"), F.explode(F.split(text, _BREAK, -1)).alias("word")).where(F.col("word").rlike(r"[^\x00-\x7F]"))
+    return split.where(F.col("word").rlike(TRIGGER) | F.col("alone") & F.col("word").rlike(_LONE)).distinct()
 
 
 def plain_texts(values: DataFrame, text: str, row_id: list[str]) -> DataFrame:
@@ -166,6 +167,6 @@ def plain_texts(values: DataFrame, text: str, row_id: list[str]) -> DataFrame:
 
 
 def changed_texts(values: DataFrame, text: str, row_id: list[str]) -> DataFrame:
-    """``row_id...`` of the texts that have a word whose plain spelling differs."""
-    words = odd_words(values, text, row_id)
+    """``row_id...`` of the texts that have a word whose plain spelling differs; the values need be suspicious only."""
+    words = store(odd_words(values, text, row_id))
     return words.join(plain_words(words.select("word", "alone").distinct()), ["word", "alone"], "left_semi").select(*row_id).distinct()

@@ -13,7 +13,7 @@ from inkloom.llm.mixing import mix_report, mix_sources
 from inkloom.llm.packing import pack
 from inkloom.llm.subjects import fit, score
 from inkloom.llm.tokens import with_tokens
-from inkloom.session import cut, table
+from inkloom.session import cut, store, table
 
 
 def _garbled(spark: SparkSession, folder: str) -> DataFrame:
@@ -46,7 +46,7 @@ def _visible_values(spark: SparkSession, folder: str) -> DataFrame:
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Values with characters that look like, or hide beside, the plain spelling; garbled values aside."""
     values = _visible_values(spark, folder)
-    suspect = cut(values.where(suspicious(F.col("value"))).distinct())
+    suspect = store(values.where(suspicious(F.col("value"))))
     changed = changed_texts(suspect, "value", ["field_name", "rec_id"])
     asked = suspect.join(changed, ["field_name", "rec_id"], "left_semi")
     garbled = repair_text(asked, "value", train_on(table(spark, folder, "mirror_pages"), "markdown"), ["field_name", "rec_id"])
