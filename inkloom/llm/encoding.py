@@ -295,6 +295,8 @@ def repair_text(rows: DataFrame, text: str, model: Classifier, keep: list[str])
             own.prepare(set().union(*words))
             done = [own.repair(t, w) for t, w in zip(batch[text], words, strict=True)]
             hit = [bool(c) for _, c in done]
+            if not any(hit):
+                continue
             out = batch.loc[hit, keep].copy()
             out["restored"] = [t for t, c in done if c]
             out["chains"] = [sorted(set(c)) for _, c in done if c]
