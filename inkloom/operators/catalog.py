@@ -68,7 +68,7 @@ def resolve_collisions(pages: DataFrame, path: str, seq: Column, source_folder:
     if that is taken too, a hash.  Rounds repeat until no path is owned twice."""
     out = pages.withColumn("final_path", F.col(path))
     for n in range(rounds):
-        rank = F.row_number().over(Window.partitionBy("final_path").orderBy(seq))
+        rank = F.row_number().over(Window.partitionBy("final_path").orderBy(F.col("final_path") != F.col(path), seq))  # natural owners first
         out = out.withColumn("rank", rank)
         if out.where("rank > 1").isEmpty():
             break

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkloom.functions import urls as U
+from inkloom.functions.html import parse_column
+from inkloom.functions.markdown import normalize_column, repair_column
+from inkloom.functions.media import rewrite_column
 from inkloom.operators import catalog as C
 from inkloom.session import table
 
@@ -346,3 +349,53 @@ def bounded_bfs(spark, folder):
 def toc_paths(spark, folder):
     e = table(spark, folder, "nav_entries").select("fetch_url").distinct()
     return e.select("fetch_url", F.array_join(U.toc_path("fetch_url"), "|").alias("toc")).where("toc <> ''")
+
+
+@query(None)
+def normalize_markdown(spark, folder):
+    """Every text through all clean-up passes."""
+    p = table(spark, folder, "mirror_pages").where("markdown is not null").select("page_id", "markdown").distinct()
+    return p.select("page_id", normalize_column(F.col("markdown")).alias("markdown"))
+
+
+@query(None)
+def mojibake_repair(spark, folder):
+    p = table(spark, folder, "mirror_pages").where("description is not null").select("page_id", "description").distinct()
+    return p.select("page_id", "description", repair_column(F.col("description")).alias("repaired")).where("description <> repaired")
+
+
+@query(None)
+def html_to_markdown(spark, folder):
+    """Titles, texts and links of pages rendered as HTML and parsed again."""
+    p = table(spark, folder, "mirror_pages").where("title is not null").select("page_id", "canonical_url", "title", "description", "links_internal").distinct()
+    items = F.array_join(F.transform("links_internal", lambda u: F.concat(F.lit("<li><a href='"), u, F.lit("'>"), u, F.lit("</a>"))), "")
+    html = F.concat(F.lit("<html><head><title>"), "title", F.lit("</title></head><body><h1 id=top>"), "title", F.lit("</h1><p>"), F.coalesce("description", F.lit("")), F.lit("<ul class=TOC>"), items, F.lit("</ul></body></html>"))
+    return p.select("page_id", parse_column(html, F.col("canonical_url")).alias("d")).select("page_id", "d.title", "d.markdown", F.size("d.links").alias("links"), F.size("d.headings").alias("headings"))
+
+
+@query(None)
+def heading_anchors(spark, folder):
+    """First heading text of every anchor of a page."""
+    h = table(spark, folder, "page_headings").select("page_id", "ordinal", "heading_text", F.explode("anchors").alias("anchor"))
+    return h.groupBy("page_id", "anchor").agg(F.min_by("heading_text", F.struct("ordinal", "heading_text")).alias("heading"))
+
+
+def _rewritten(spark, folder):
+    pages = table(spark, folder, "mirror_pages").where("markdown is not null").select("page_id", "canonical_url", "markdown", "links_internal").distinct()
+    paths = _paths(spark, folder)
+    # The map of a page holds its own targets only.
+    targets = pages.select("page_id", F.explode("links_internal").alias("link")).distinct().withColumn("canonical_url", U.canonical_url("link")).join(paths, "canonical_url")
+    maps = targets.groupBy("page_id").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct(F.regexp_replace("link", "#.*$", "").alias("k"), F.col("path").alias("v"))))).alias("known"))
+    return pages.join(paths, "canonical_url").join(maps, "page_id", "left").select("page_id", "path", "markdown", rewrite_column(F.col("markdown"), F.col("path"), F.col("known")).alias("rewritten"))
+
+
+@query(None)
+def link_rewrite(spark, folder):
+    """Every text with its links to mirrored pages made relative."""
+    return _rewritten(spark, folder).select("page_id", "path", "rewritten")
+
+
+@query(None)
+def relink_counts(spark, folder):
+    r = _rewritten(spark, folder)
+    return r.agg(F.count_if(F.col("markdown") != F.col("rewritten")).alias("changed"), F.count_if(F.col("markdown") == F.col("rewritten")).alias("unchanged"))
