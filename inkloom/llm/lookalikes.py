@@ -138,14 +138,15 @@ def plain_words(words: DataFrame) -> DataFrame:
     return rebuilt.where("plain <> word")
 
 
-def suspicious(text: Column) -> Column:
-    """Whether a text may be other than plain; false for most at the price of one scan."""
-    return text.rlike(r"[^\x00-\x7F]") & (text.rlike(TRIGGER) | alone(text))
+def suspects(values: DataFrame, text: str) -> DataFrame:
+    """The values whose text may be other than plain, with a column ``alone`` that the next steps need."""
+    seen = values.where(F.col(text).rlike(r"[^\x00-\x7F]")).withColumn("alone", alone(F.col(text)))
+    return seen.where(F.col("alone") | F.col(text).rlike(TRIGGER))
 
 
 def odd_words(suspect: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """``keep..., word, alone``: the words of suspicious texts that may not be plainly written."""
-    split = suspect.select(*keep, alone(F.col(text)).alias("alone"), F.explode(F.split(text, _BREAK, -1)).alias("word")).where(F.col("word").rlike(r"[^\x00-\x7F]"))
+    """``keep..., word, alone``: the words of suspects that may not be plainly written."""
+    split = suspect.select(*keep, "alone", F.explode(F.split(text, _BREAK, -1)).alias("word")).where(F.col("word").rlike(r"[^\x00-\x7F]"))
     return split.where(F.col("word").rlike(TRIGGER) | F.col("alone") & F.col("word").rlike(_LONE)).distinct()
 
 
@@ -157,7 +158,7 @@ def plain_texts(values: DataFrame, text: str, row_id: list[str]) -> DataFrame:
     to the script of their word.  Signs such as ™ № ² ½ and Japanese punctuation stay.  Null and empty texts have no
     other form and yield nothing; equal ``row_id`` with equal text yield one row.
     """
-    suspect = values.where(suspicious(F.col(text))).select(*row_id, text).distinct()
+    suspect = store(suspects(values.select(*row_id, text), text)).distinct()
     words = odd_words(suspect, text, [*row_id, text])
     spelled = plain_words(words.select("word", "alone").distinct())
     fixes = words.join(spelled, ["word", "alone"]).groupBy(*row_id, text).agg(F.map_from_entries(F.collect_set(F.struct("word", "plain"))).alias("fix"))
@@ -166,7 +167,7 @@ def plain_texts(values: DataFrame, text: str, row_id: list[str]) -> DataFrame:
     return fixes.select(*row_id, plain.alias("plain"))
 
 
-def changed_texts(values: DataFrame, text: str, row_id: list[str]) -> DataFrame:
-    """``row_id...`` of the texts that have a word whose plain spelling differs; the values need be suspicious only."""
-    words = store(odd_words(values, text, row_id))
+def changed_texts(suspect: DataFrame, text: str, row_id: list[str]) -> DataFrame:
+    """``row_id...`` of those suspects that have a word whose plain spelling differs."""
+    words = store(odd_words(suspect, text, row_id))
     return words.join(plain_words(words.select("word", "alone").distinct()), ["word", "alone"], "left_semi").select(*row_id).distinct()

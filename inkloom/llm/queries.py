@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkloom.llm.boilerplate import boilerplate_lines
 from inkloom.llm.encoding import repair_text, train_on
-from inkloom.llm.lookalikes import changed_texts, plain_texts, suspicious
+from inkloom.llm.lookalikes import changed_texts, plain_texts, suspects
 from inkloom.llm.repeated_lines import repeated_lines, without_lines
 from inkloom.llm.mixing import mix_report, mix_sources
 from inkloom.llm.packing import pack
@@ -46,7 +46,7 @@ def _visible_values(spark: SparkSession, folder: str) -> DataFrame:
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Values with characters that look like, or hide beside, the plain spelling; garbled values aside."""
     values = _visible_values(spark, folder)
-    suspect = store(values.where(suspicious(F.col("value"))))
+    suspect = store(suspects(values, "value"))
     changed = changed_texts(suspect, "value", ["field_name", "rec_id"])
     asked = suspect.join(changed, ["field_name", "rec_id"], "left_semi")
     garbled = repair_text(asked, "value", train_on(table(spark, folder, "mirror_pages"), "markdown"), ["field_name", "rec_id"])
