@@ -60,8 +60,9 @@ def p1_plain(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of the pages that aren't part of the article."""
-    pages = table(spark, folder, "mirror_pages").select("page_id", "site_host", "canonical_url", "markdown").where("markdown is not null").dropDuplicates(["page_id"])
+    pages = table(spark, folder, "mirror_pages").select("page_id", "site_host", "canonical_url", "markdown")
     owners = table(spark, folder, "mirror_sites").groupBy("site_host").agg(F.max("org_name").alias("org_name"))
+    owners = F.broadcast(owners) if owners.count() <= 50_000 else owners  # a name and a host each
     return boilerplate_lines(pages.join(owners, "site_host", "left"), "markdown", "site_host", "canonical_url", "page_id", "org_name")
 
 

@@ -2,7 +2,6 @@
 
 import unicodedata
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,7 +117,7 @@ def test_parse_rules():
     kinds = [B.TEXT, B.TITLE, B.TEXT, B.HEADING, B.TEXT, B.TEXT, B.LINK_ITEM, B.HEADING, B.LINK_ITEM, B.LINKS, B.CODE]
     token = [False, False, True, True, False, False, True, True, False, False, False]
     opens = [False] * 5 + [True] + [False] * 5
-    got = B.parse(np.array(kinds), np.array(token), np.array(opens), np.array([k == B.LINK_ITEM for k in kinds]))
+    got = B.parse(kinds, token, opens, [k == B.LINK_ITEM for k in kinds])
     assert got.tolist() == [True, False, True, False, False, False, False, True, True, True, False]
 
 
