@@ -74,7 +74,7 @@ def test_prose_lines(spark):
 
 
 def test_repeated_lines_match_brute_force(spark):
-    rows = [(i, "s" if i % 3 else None, f"u{i // 2}", f"Share  THIS page {i}!\n# Share this page\n| share this page |\n[Share this](x{i}) page\nline {chr(97 + i % 5)}\n```\nShare this page\n```\n") for i in range(60)]
+    rows = [(i, "s" if i % 3 else None, f"u{i // 2}", f"Share  THIS page {i}!\n# Share this page\n| share this page |\n[Share this](x{i}) page\nline {chr(97 + i % 5)}\n```\nShare this page\n```\n[1](/abc)\n") for i in range(60)]
     df = spark.createDataFrame(rows + rows[:5], "id int, site string, url string, t string").withColumn("site_host", F.lit(1))
     got = {(r.id, r.line_no) for r in R.repeated_lines(df, "t", "site", "url", "id", 12).collect()}
     docs = {}
