@@ -138,3 +138,14 @@ QUERIES = {
         p1_found, p1_plain, p2_found, p2_articles, p3_found, p3_clean, p6_found, p6_restored, p8_contents, p8_fill, p9_selection, p9_shares, p10_found, p10_shares,
     )
 }
+
+SQL = {
+    "p3_found": r"""
+        with p as (select distinct page_id, site_host, canonical_url, markdown from mirror_pages where markdown is not null),
+        l as (select page_id, site_host, canonical_url, i, string_split(markdown, chr(10))[i] line from (select *, unnest(range(1, len(string_split(markdown, chr(10))) + 1)) i from p)),
+        f as (select *, regexp_matches(line, '^[ \t]*```') fence, sum(regexp_matches(line, '^[ \t]*```')::int) over (partition by page_id order by i) n from l),
+        w as (select page_id, site_host, canonical_url, i, replace(replace(replace(lower(regexp_replace(regexp_replace(line, '!?\[([^\]\n]*)\]\([^)\n]*\)', '\1', 'g'), '[^\p{L}]+', '', 'g')), 'ß', 'ss'), 'ﬁ', 'fi'), 'ﬂ', 'fl') k
+          from f where not fence and n % 2 = 0 and not regexp_matches(line, '^[ \t]*[#|]')),
+        o as (select site_host, k from w where k <> '' group by 1, 2 having count(distinct canonical_url) >= 12)
+        select distinct page_id, i::int line_no from w join o using (site_host, k)""".replace("\\\\", "\\"),
+}

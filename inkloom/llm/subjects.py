@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from inkloom.session import store
 
-BUCKETS, WIDTH = 1 << 15, 16
+BUCKETS, WIDTH = 1 << 14, 16  # half a megabyte of weights goes to every partition and step
 SAMPLE_DOCS = 6000  # labelled documents that the model is fitted on, at most; a bound for the fit only
 STEPS, RATE = 40, 0.15
 PARTS = 6  # partitions of the labelled sentences, one gradient each
@@ -145,30 +145,37 @@ def fit(documents: DataFrame, labels: DataFrame, subjects: list[str], doc_id: st
             yield pd.DataFrame({"flat": [part[0].astype("<i4").tobytes()], "begins": [part[1].astype("<i8").tobytes()], "wanted": [part[2].astype("<f4").tobytes()]})
 
     parts = store(rows.mapInPandas(encode_part, "flat binary, begins binary, wanted binary"))
-    model = start(len(subjects))
-    before: list[np.ndarray] | None = None
-    for _ in range(2):
-        step = Steps(model)
+    model: list[np.ndarray] = []
+    for seed in (7, 11):
+        if model:
+            slim = [x.astype(np.float16) for x in model]
+
+            def retarget(batches: Iterator[pd.DataFrame], slim=slim) -> Iterator[pd.DataFrame]:
+                guide = [x.astype(np.float32) for x in slim]
+                for batch in batches:
+                    for flat, begins, wanted in batch.itertuples(index=False):
+                        f, b, y = np.frombuffer(flat, "<i4").astype(np.int64), np.frombuffer(begins, "<i8"), np.frombuffer(wanted, "<f4").reshape(-1, len(subjects))
+                        yield pd.DataFrame({"flat": [flat], "begins": [begins], "wanted": [targets(y, forward(guide, f, b)[1]).astype("<f4").tobytes()]})
+
+            parts = store(parts.mapInPandas(retarget, "flat binary, begins binary, wanted binary"))
+        step = Steps(start(len(subjects), seed))
         for n in range(steps):
-            shared, guide = [x.copy() for x in step.model], before
+            shared = [x.astype(np.float16) for x in step.model]
 
-            def part_gradient(batches: Iterator[pd.DataFrame], shared=shared, guide=guide) -> Iterator[pd.DataFrame]:
+            def part_gradient(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+                weights = [x.astype(np.float32) for x in shared]
                 for batch in batches:
                     for flat, begins, wanted in batch.itertuples(index=False):
-                        f, b = np.frombuffer(flat, "<i4").astype(np.int64), np.frombuffer(begins, "<i8")
-                        y = np.frombuffer(wanted, "<f4").reshape(-1, len(subjects))
-                        grads = gradient(shared, f, b, targets(y, None if guide is None else forward(guide, f, b)[1]))
-                        yield pd.DataFrame({"n": [len(b)], **{f"g{i}": [g.astype("<f4").tobytes()] for i, g in enumerate(grads)}})
+                        f, b, y = np.frombuffer(flat, "<i4").astype(np.int64), np.frombuffer(begins, "<i8"), np.frombuffer(wanted, "<f4").reshape(-1, len(subjects))
+                        yield pd.DataFrame({"n": [len(b)], **{f"g{i}": [g.astype("<f4").tobytes()] for i, g in enumerate(gradient(weights, f, b, targets(y, None)))}})
 
-            got = parts.mapInPandas(part_gradient, "n bigint, g0 binary, g1 binary, g2 binary").collect()  # one row a partition of fixed number and size
+            got = parts.mapInPandas(part_gradient, "n bigint, g0 binary, g1 binary, g2 binary").collect()  # one row a partition, of fixed number and size
             if not got:
-                return model
+                return step.model
             total = sum(r.n for r in got)
-            sums = [sum(np.frombuffer(r[f"g{i}"], "<f4") for r in got).reshape(x.shape) / total for i, x in enumerate(shared)]
-            step.apply(sums, RATE * (1 - 0.8 * n / steps))
-        before = [x.copy() for x in step.model]
-        model = start(len(subjects), 11)
-    return before
+            step.apply([sum(np.frombuffer(r[f"g{i}"], "<f4") for r in got).reshape(x.shape) / total for i, x in enumerate(step.model)], RATE * (1 - 0.8 * n / steps))
+        model = step.model
+    return model
 
 
 def score(documents: DataFrame, model: list[np.ndarray], subjects: list[str], doc_id: str, text: str) -> DataFrame:
