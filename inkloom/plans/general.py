@@ -93,4 +93,15 @@ SQL = {
         h as (select distinct 'page_headings' src_table, heading_id src_id, 0 ref_no, date_trunc('month', extracted_at) m, h.page_id from page_headings h)
         select src_table, strftime(m, '%Y-%m') ref_month, src_id, ref_no::int ref_no from a where not coalesce(ok, false)
         union all select h.src_table, strftime(h.m, '%Y-%m'), h.src_id, h.ref_no from h left join f on h.page_id = f.page_id where f.m is null or f.m > h.m""",
+    "p7_found": f"""
+        with recursive r as (select entry_id, coalesce(site_host, '') s, {_CANON} u, nullif({mirror.canon_sql("nav_parent_url")}, '') p, depth from nav_entries),
+        n as (select s, u, (arg_min(struct_pack(p := p), entry_id)).p p from r group by 1, 2),
+        a as (select s, u, p x from n where p is not null union select a.s, a.u, n.p from a join n on a.s = n.s and a.x = n.u where n.p is not null),
+        c as (select distinct s, u, true hit from a where x = u), b as (select distinct a.s, a.u, true hit from a join c on a.s = c.s and a.x = c.u),
+        m as (select distinct a.s, a.u, true hit from a left join n on a.s = n.s and a.x = n.u where n.u is null), k as (select s, u, count(*) d from a group by 1, 2)
+        select entry_id, min(f) fault from (
+          select r.entry_id, case when c.hit then 'cycle' when b.hit then 'below_cycle' when m.hit then 'detached' when r.depth <> coalesce(k.d, 0) then 'depth' end f
+          from r left join c on r.s = c.s and r.u = c.u left join b on r.s = b.s and r.u = b.u left join m on r.s = m.s and r.u = m.u left join k on r.s = k.s and r.u = k.u)
+        where f is not null group by 1""",
 }
+SQL["p5_report"] = f"select src_table, ref_month, count(*) orphans, count(distinct src_id) records from ({SQL['p5_found']}) group by 1, 2"
