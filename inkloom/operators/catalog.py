@@ -143,3 +143,58 @@ def scaled(width: Column, height: Column, limit: int) -> list[Column]:
 def nav_label_key(label: Column) -> Column:
     """A label without its site suffix, in lower case, letters and digits only."""
     return F.regexp_replace(F.lower(F.regexp_replace(label, r"\s+[-–—]\s+.*$", "")), r"[^0-9a-zа-яё]+", "")
+
+
+def insert_placeholders(known: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``known`` (``url, depth, parent, nav_path, ord, placeholder``) and a placeholder for each wanted URL it lacks.
+
+    ``wanted``: ``url, title, parent, seq``; the first of several rows counts.  A placeholder lies one step below its
+    parent, carries its path on by the title, and is numbered on behind what is there.
+    """
+    first = wanted.groupBy("url").agg(F.min_by(F.struct("title", "parent", "seq"), "seq").alias("w")).select("url", "w.*").join(known.select("url"), "url", "left_anti")
+    above = known.select(F.col("url").alias("parent"), F.col("depth").alias("up"), F.col("nav_path").alias("way"))
+    last = known.agg(F.coalesce(F.max("ord"), F.lit(0)).cast("bigint")).first()[0]
+    # Numbers run on over all placeholders: ranks inside hash ranges of seq, behind the ranges before.
+    placed = first.join(above, "parent", "left").withColumn("range", F.floor(F.col("seq") / 10_000))
+    counts = placed.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))  # a row for 10,000 places
+    rank = F.row_number().over(Window.partitionBy("range").orderBy("seq", "url"))
+    made = placed.join(before, "range").select(
+        "url", (F.coalesce("up", F.lit(0)) + 1).cast("int").alias("depth"), "parent", F.concat(F.coalesce("way", F.array().cast("array<string>")), F.array("title")).alias("nav_path"),
+        (F.lit(last) + F.col("before") + rank).cast("bigint").alias("ord"), F.lit(True).alias("placeholder"),
+    )
+    return known.select(made.columns).unionByName(made)
+
+
+def folder_index(pages: DataFrame) -> DataFrame:
+    """One row a folder: ``path, title, children, pages, keywords`` from ``path, title, ord``.
+
+    Folders above those with pages are there too.  The title is that of the index file, else the folder's name; child
+    folders are sorted, pages in order, keywords distinct and sorted.
+    """
+    files = pages.withColumn("folder", parent_folder(F.col("path")))
+    up = pages.select(F.explode(folder_ancestors(F.col("path"))).alias("folder")).distinct()
+    children = up.where("folder <> '.'").select(parent_folder(F.col("folder")).alias("folder"), F.col("folder").alias("child")).groupBy("folder").agg(F.array_sort(F.collect_list("child")).alias("children"))
+    index = F.col("path").rlike(r"(^|/)_index\.md$")
+    own = files.groupBy("folder").agg(
+        F.max(F.when(index, F.col("title"))).alias("title"), F.transform(F.array_sort(F.collect_list(F.struct("ord", "path", "title"))), lambda s: F.struct(s["path"].alias("path"), s["title"].alias("title"))).alias("pages"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.regexp_extract_all(F.lower("title"), F.lit(r"[a-zа-яё0-9]{3,}"), F.lit(0)))))).alias("keywords"),
+    )
+    name = F.initcap(F.regexp_replace(F.element_at(F.split("folder", "/"), -1), "[-_]", " "))
+    joined = up.join(own, "folder", "left").join(children, "folder", "left")
+    return joined.select(F.col("folder").alias("path"), F.coalesce("title", name).alias("title"), F.coalesce("children", F.array().cast("array<string>")).alias("children"), "pages", "keywords")
+
+
+def document_roots(pages: DataFrame) -> DataFrame:
+    """Distinct folders that hold a segment ``content``, whatever its case: the roots of help systems."""
+    parts = F.split(F.col("path"), "/")
+    at = F.array_position(F.transform(parts, F.lower), "content").cast("int")
+    return pages.where(at > 0).select(F.when(at == 1, F.lit(".")).otherwise(F.array_join(F.slice(parts, F.lit(1), F.greatest(at - 1, F.lit(1))), "/")).alias("folder")).distinct()
+
+
+def relink(links: DataFrame, structure: DataFrame, pages: DataFrame) -> DataFrame:
+    """``links`` (``src, dst``) with the path that their target has now: a page's own, else the planned one, else none."""
+    real = pages.where(~F.coalesce("placeholder", F.lit(False))).groupBy(F.col("url").alias("dst")).agg(F.max("path").alias("page_path"))
+    planned = structure.groupBy(F.col("url").alias("dst")).agg(F.max("path").alias("planned_path"))
+    both = real.join(planned, "dst", "full").select("dst", F.coalesce("page_path", "planned_path").alias("path"))
+    return links.join(both, "dst", "left").select("src", "dst", "path", F.when(F.col("path").isNull(), "internal_unresolved").otherwise("internal").alias("kind"))

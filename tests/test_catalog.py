@@ -72,3 +72,20 @@ def test_bfs_and_scaling(spark):
 @pytest.mark.parametrize("label, key", [("Main – Site name", "main"), ("Ёлка 2!", "ёлка2"), ("a-b", "ab")])
 def test_label_key(spark, label, key):
     assert spark.range(1).select(C.nav_label_key(F.lit(label))).first()[0] == key
+
+
+def test_placeholders_folders_roots_and_relink(spark):
+    known = spark.createDataFrame([("a", 0, None, ["A"], 1, False)], "url string, depth int, parent string, nav_path array<string>, ord long, placeholder boolean")
+    wanted = spark.createDataFrame([("b", "B", "a", 5), ("b", "B2", None, 9), ("c", "C", None, 20_001), ("a", "A", None, 1)], "url string, title string, parent string, seq long")
+    got = {r.url: (r.depth, r.nav_path, r.ord, r.placeholder) for r in C.insert_placeholders(known, wanted).collect()}
+    assert got == {"a": (0, ["A"], 1, False), "b": (1, ["A", "B"], 2, True), "c": (1, ["C"], 3, True)}
+    pages = spark.createDataFrame([("d/_index.md", "Dee doc", 1), ("d/e-f/x.md", "Xylo doc", 3), ("d/e-f/w.md", "War", 2)], "path string, title string, ord int")
+    index = {r.path: r for r in C.folder_index(pages).collect()}
+    assert index["d"].title == "Dee doc" and index["d"].children == ["d/e-f"] and index["d/e-f"].title == "E F" and index["."].children == ["d"] and index["."].pages is None
+    assert [p.path for p in index["d/e-f"].pages] == ["d/e-f/w.md", "d/e-f/x.md"] and index["d/e-f"].keywords == ["doc", "war", "xylo"]
+    roots = C.document_roots(spark.createDataFrame([("h/Content/a.md",), ("content/b.md",), ("z.md",)], "path string"))
+    assert rows(roots) == [(".",), ("h",)]
+    links = spark.createDataFrame([("p", "u"), ("p", "v"), ("p", "w")], "src string, dst string")
+    structure = spark.createDataFrame([("u", "old"), ("v", "plan")], "url string, path string")
+    real = spark.createDataFrame([("u", "new", False), ("w", "no", True)], "url string, path string, placeholder boolean")
+    assert [tuple(r)[1:3] for r in rows(C.relink(links, structure, real))] == [("u", "new"), ("v", "plan"), ("w", None)]
