@@ -35,7 +35,7 @@ def index_path(path: Column) -> Column:
 def under_folder(path: Column, folder: Column) -> Column:
     """A path moved below a folder: an index file takes its own folder along."""
     parts = F.split(path, "/")
-    name = F.when(F.element_at(parts, -1) == "_index.md", F.concat(F.element_at(parts, -2), F.lit("/_index.md"))).otherwise(F.element_at(parts, -1))
+    name = F.when(F.element_at(parts, -1) == "_index.md", F.concat_ws("/", F.try_element_at(parts, F.lit(-2)), F.lit("_index.md"))).otherwise(F.element_at(parts, -1))
     return F.when((folder == "") | F.startswith(path, F.concat(folder, F.lit("/"))), path).otherwise(F.concat(folder, F.lit("/"), name))
 
 
