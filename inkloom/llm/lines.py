@@ -25,9 +25,9 @@ def prose_lines(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     The text is cut at its fence lines, so every second piece lies inside one; newline counts of the pieces before
     give the line numbers.  Null texts give no rows.
     """
-    pieces = F.split(F.col(text), FENCE, -1)
+    pieces = F.when(F.contains(F.col(text), F.lit("```")), F.split(F.col(text), FENCE, -1)).otherwise(F.array(F.col(text)))
     breaks = F.transform(F.col("_pieces"), lambda p: F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit(""))))
-    cut = df.select(*keep, pieces.alias("_pieces")).where("_pieces is not null").select(*keep, F.posexplode(F.arrays_zip("_pieces", breaks.alias("_breaks"))).alias("_i", "_z"), breaks.alias("_all"))
+    cut = df.where(F.col(text).isNotNull()).select(*keep, pieces.alias("_pieces")).select(*keep, F.posexplode(F.arrays_zip("_pieces", breaks.alias("_breaks"))).alias("_i", "_z"), breaks.alias("_all"))
     outside = cut.where(F.col("_i") % 2 == 0)
     before = F.aggregate(F.slice("_all", F.lit(1), F.col("_i")), F.lit(0), lambda a, b: a + b)
     return outside.select(*keep, before.alias("_before"), F.posexplode(F.split("_z._pieces", "\n", -1)).alias("_j", "line")).select(
