@@ -20,7 +20,7 @@ DEFAULTS = {
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session with the engine's defaults."""
-    builder = SparkSession.builder.master(master).appName("inkloom").config("spark.ui.enabled", "false")
+    builder = SparkSession.builder.master(master).appName("inkloom").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     builder = builder.config("spark.driver.memory", memory).config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in DEFAULTS.items():
         builder = builder.config(key, value)
