@@ -1,13 +1,12 @@
 """Page boilerplate mixed with main content.
 
-Method: the pages of a site are streams of line tokens.  Streams are aligned iteratively with the site's wrapper, a
-union-free expression over tokens: what fails to match becomes an optional or a repeated group, or a text slot.  Lines
-that differ only in rare words (names, products) share a token with text slots.  Partial wrappers of parts of a site are
-merged by the same alignment.  A page is parsed with its site's wrapper: lines under its tokens are boilerplate, what
-falls into text slots after the title heading is the article.
-
-A line is a token if it recurs in several documents of the site or on several sites, the site owner's name counting as
-a slot, so sites with few pages are parsed with what the others taught.
+Method: a line-frequency rule.  A line is a token if its letters recur in several documents of the site or on several
+sites, the site owner's name counting as a slot, so sites with few pages are parsed with what the others taught.  Label
+lines that differ only in rare words (names, products) recur by their shape.  Fixed rules on the kinds of lines
+(``parse``) then tell the article from what stands around and inside it.
+
+The token streams of a site's pages are aligned to a wrapper, but only two sums of it are read, for headings: the pages
+a heading is on, and those where text follows it.  Order, optional and repeated groups of the wrapper decide no line.
 """
 
 from __future__ import annotations
