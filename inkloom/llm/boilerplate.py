@@ -24,7 +24,6 @@ from inkloom.session import store
 
 TITLE, HEADING, TABLE, CODE, LINK_ITEM, TOC_ITEM, LINKS, TEXT = range(1, 9)
 RECUR = 3  # documents of one site, or sites, that make a line a token
-LONG = 320  # characters; a longer line is text
 PART = 5000  # page streams aligned in one task
 SMALL = 400_000  # rows of two numbers that are broadcast, at most; a larger side is shuffled
 _BOTH = r"(?:\*{0,2})"
@@ -39,7 +38,7 @@ def _letters(text: Column) -> Column:
 def page_lines(pages: DataFrame, text: str, site: str, document: str, row_id: str, owner: str) -> DataFrame:
     """``page, site, doc, line_no, kind, key, token, opens, listed, label, owner`` of the lines that aren't blank.
 
-    A code block is one line.  ``site`` and ``doc`` are hashes.  Lines of more than LONG characters are never tokens.
+    A code block is one line.  ``site`` and ``doc`` are hashes.  Lines of any length may be tokens.
     """
     pieces = F.when(F.contains(F.col(text), F.lit("```")), F.split(F.col(text), FENCE, -1)).otherwise(F.array(F.col(text)))
     # Copies of one article under several addresses are one document: its title tells it.
@@ -69,7 +68,7 @@ def page_lines(pages: DataFrame, text: str, site: str, document: str, row_id: st
     )
     shown = F.when(linked, link_labels(F.col("s"))).otherwise(F.col("s"))
     rows = rows.select("page", "site", "doc", "line_no", kind.cast("tinyint").alias("kind"), "s", shown.alias("shown"), "owner")
-    token = F.col("kind").isin(HEADING, LINK_ITEM, LINKS, TEXT) & (F.length("shown") <= LONG)
+    token = F.col("kind").isin(HEADING, LINK_ITEM, LINKS, TEXT)
     rows = rows.select("page", "site", "doc", "line_no", "kind", "s", "shown", "owner", token.alias("token"), F.when(token, _letters(F.col("shown"))).alias("letters"))
     letters = F.when((F.length("owner") > 2) & F.contains("letters", F.col("owner")), F.replace("letters", F.col("owner"), F.lit("{}"))).otherwise(F.col("letters"))
     # The last bit of a token tells headings.

@@ -133,3 +133,10 @@ def test_boilerplate_lines(spark):
     assert got[0] == {1, 2, 17, 18, 20} | ({6} if 6 in got[0] else set()) and 51 not in got and 52 not in got
     assert {1, 2, 18} <= got[50]
     assert B.boilerplate_lines(df.limit(0), "t", "site", "url", "id", "own").count() == 0
+
+
+def test_long_notices_are_boilerplate(spark):
+    notice = "We use cookies, and this licence notice says at length which ones. " * 12
+    rows = [(i, "acme.test", f"u{i}", f"# Guide {chr(97 + i)}x\n\nAll about {chr(97 + i) * 4} is said here. {chr(97 + i) * 400}.\n\n{notice}{i}\n", None) for i in range(4)]
+    df = spark.createDataFrame(rows, "id long, site string, url string, t string, own string")
+    assert sorted(tuple(r) for r in B.boilerplate_lines(df, "t", "site", "url", "id", "own").collect()) == [(i, 5) for i in range(4)]
