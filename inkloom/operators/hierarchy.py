@@ -204,13 +204,14 @@ def solve_forest(edges: DataFrame, fragment_rows: int = 50_000, with_paths: bool
 def resolve_hierarchy(
     rows: DataFrame, row_id: str, key: str, parent_key: str, tree: str, near: str | None = None, fragment_rows: int = 50_000, with_paths: bool = False
 ) -> DataFrame:
-    """One row per node: ``id, key, root_id, depth, fault, path``.
+    """One row per node: ``id, tree, key, root_id, depth, fault, path, local_path``, and ``parent`` ``with_paths``.
 
     ``rows`` may repeat; of several rows with one ``tree`` and ``key`` the least ``row_id`` is the node.  A null or
     empty parent key makes a root.  ``fault``: ``cycle`` for a node that is its own ancestor, ``below_cycle`` for one
     that isn't but has such an ancestor, ``detached`` where the chain ends at a parent key that names no node, else
     null.  ``depth`` and ``root_id`` are null for nodes with a fault, ``path`` (ids from the root to the node, only
-    ``with_paths``) is null for them too.  Rows with a null id or key are no nodes.  Empty tables give none.
+    ``with_paths``) is null for them too.  ``parent`` is the parent's id; ``local_path`` is the path, for detached nodes
+    that from the top entry of their chain.  Rows with a null id or key are no nodes.  Empty tables give none.
     """
     near_col = F.col(near).cast("bigint") if near else F.lit(None).cast("bigint")
     named = rows.where(F.col(row_id).isNotNull() & F.col(key).isNotNull()).select(
@@ -223,15 +224,58 @@ def resolve_hierarchy(
         F.when(F.col("c.parent_key").isNull(), F.lit(ROOT)).otherwise(F.lit(MISSING)).alias("final"),
         F.array(F.col("c.id")).alias("via"), F.col("c.tree").alias("tree"), F.col("c.near").alias("near"),
     )
-    solved = solve_forest(cut(edges), fragment_rows, with_paths)
+    edges = cut(edges)
+    solved = solve_forest(edges, fragment_rows, with_paths)
     fault = F.create_map(*[F.lit(x) for pair in FAULTS.items() for x in pair])[F.col("kind")]
     sound = F.col("kind") == ROOT
-    return nodes.join(solved, "id").select(
-        "id", "tree", "key", F.when(sound, F.col("end_id")).alias("root_id"), F.when(sound, F.col("steps")).alias("depth"), fault.alias("fault"), F.when(sound, F.col("path")).alias("path")
-    )
+    found = nodes.join(solved, "id").select(
+        "id", "tree", "key", F.when(sound, F.col("end_id")).alias("root_id"), F.when(sound, F.col("steps")).alias("depth"), fault.alias("fault"),
+        F.when(sound, F.col("path")).alias("path"), F.when(sound | (F.col("kind") == MISSING), F.col("path")).alias("local_path"),
+    )
+    return found.join(edges.select("id", "parent"), "id") if with_paths else found
 
 
 def descendants(resolved: DataFrame) -> DataFrame:
     """``ancestor_id, descendant_id, distance`` for every sound node and each of its ancestors; needs the paths."""
     up = resolved.where("fault is null and depth > 0").select("id", "depth", F.posexplode("path").alias("place", "ancestor_id"))
     return up.where("place < depth").select("ancestor_id", F.col("id").alias("descendant_id"), (F.col("depth") - F.col("place")).cast("bigint").alias("distance"))
+
+
+def cycle_paths(resolved: DataFrame, fragment_rows: int = 50_000) -> DataFrame:
+    """``id, low, steps, path`` of the nodes on and below cycles; ``resolved`` needs the paths.
+
+    Each cycle is cut above its least id, ``low``; ``path`` leads from there to the node in ``steps`` steps.
+    """
+    # The least id of each cycle by doubling: ``low`` of a window of nodes upwards, ``jump`` the node right above it.
+    state = cut(resolved.where("fault = 'cycle'").select("id", F.col("parent").alias("jump"), F.col("id").alias("low")))
+    growing = True
+    while growing:
+        ahead = state.select(F.col("id").alias("jump"), F.col("jump").alias("far"), F.col("low").alias("far_low"))
+        grown = cut(state.join(ahead, "jump").select("id", F.col("far").alias("jump"), F.least("low", "far_low").alias("low"), (F.col("far_low") < F.col("low")).alias("moved")))
+        growing, state = not grown.where("moved").isEmpty(), grown.drop("moved")
+    lows = state.where("id = low").select("id", "low")
+    edges = resolved.where("fault in ('cycle', 'below_cycle')").join(lows, "id", "left").select(
+        "id", F.when(F.col("low").isNull(), F.col("parent")).alias("parent"), F.lit(1).cast("bigint").alias("weight"), F.lit(ROOT).alias("final"),
+        F.array("id").alias("via"), "tree", F.lit(None).cast("bigint").alias("near"),
+    )
+    return solve_forest(cut(edges), fragment_rows, True).select("id", F.col("end_id").alias("low"), "steps", "path")
+
+
+def all_descendants(resolved: DataFrame, fragment_rows: int = 50_000) -> DataFrame:
+    """``ancestor_id, descendant_id, distance, fault`` for every node and each of its ancestors; needs the paths.
+
+    ``fault`` is the descendant's.  Nodes of a cycle are ancestors of all nodes on and below it, themselves included;
+    the distance is that of the shortest way up.
+    """
+    looped = cut(cycle_paths(resolved, fragment_rows))
+    faults = resolved.select("id", "fault")
+    open_ended = resolved.where("local_path is not null").select("id", F.col("local_path").alias("path"))
+    up = open_ended.unionByName(looped.select("id", "path")).select("id", (F.size("path") - 1).alias("last"), F.posexplode("path").alias("place", "ancestor_id")).where("place < last")
+    pairs = up.select("ancestor_id", "id", (F.col("last") - F.col("place")).cast("bigint").alias("distance"))
+    # Where a cycle was cut: its nodes that the path doesn't pass lie above its top.
+    ring = cut(looped.join(resolved.where("fault = 'cycle'").select("id"), "id").select(F.col("id").alias("ancestor_id"), "low", F.col("steps").alias("rank")))
+    sizes = ring.groupBy("low").agg(F.count(F.lit(1)).alias("ring"))
+    passed = looped.select("id", F.explode("path").alias("ancestor_id"), "steps").where("id <> ancestor_id").join(ring, "ancestor_id").groupBy("id").agg((F.max("rank") + 1).alias("first"))
+    rest = looped.select("id", "low", "steps").join(passed, "id", "left").join(ring, "low").join(sizes, "low").where(F.col("rank") >= F.coalesce("first", F.lit(0)))
+    around = rest.select("ancestor_id", "id", (F.col("steps") + F.col("ring") - F.col("rank")).cast("bigint").alias("distance"))
+    return pairs.unionByName(around).join(faults, "id").select("ancestor_id", F.col("id").alias("descendant_id"), "distance", "fault")

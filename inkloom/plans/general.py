@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkloom.functions.urls import canonical_url
-from inkloom.operators.hierarchy import descendants, resolve_hierarchy
+from inkloom.operators.hierarchy import all_descendants, cycle_paths, resolve_hierarchy
 from inkloom.operators.orphans import month_label, month_number, orphan_keys
 from inkloom.operators.snapshots import snapshot_changes, text_state
 from inkloom.plans import mirror
@@ -63,15 +63,22 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_paths(spark: SparkSession, folder: str) -> DataFrame:
-    """Every entry with its root, true depth and full path of entry ids."""
+    """Every entry with its root, true depth and full path of entry ids; ``local_path`` is that of entries with a fault.
+
+    It leads from the top entry of a detached chain, or from a cycle's least id.
+    """
     _, solved = _hierarchy(spark, folder, True)
-    return solved.select(F.col("id").alias("entry_id"), "root_id", "depth", F.array_join(F.col("path").cast("array<string>"), "/").alias("path"), "fault")
+    solved = cut(solved)
+    joined = lambda path: F.array_join(path.cast("array<string>"), "/")
+    looped = cycle_paths(solved).select("id", F.col("path").alias("looped"))
+    local = F.when(F.col("fault").isNotNull(), joined(F.coalesce("local_path", "looped")))
+    return solved.join(looped, "id", "left").select(F.col("id").alias("entry_id"), "root_id", "depth", joined(F.col("path")).alias("path"), "fault", local.alias("local_path"))
 
 
 def p7_descendants(spark: SparkSession, folder: str) -> DataFrame:
-    """Every entry with each of its descendants and their distance."""
+    """Every entry with each of its descendants, their distance and the descendant's fault."""
     _, solved = _hierarchy(spark, folder, True)
-    return descendants(cut(solved))
+    return all_descendants(cut(solved))
 
 
 QUERIES = {f.__name__: f for f in (p4_found, p5_found, p5_report, p7_found, p7_paths, p7_descendants)}

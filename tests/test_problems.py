@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from inkloom.operators.hierarchy import descendants, resolve_hierarchy
+from inkloom.operators.hierarchy import all_descendants, descendants, resolve_hierarchy
 from inkloom.operators.orphans import BITS, orphan_keys, pack, unpack
 from inkloom.operators.snapshots import snapshot_changes, text_state
 
@@ -68,6 +68,26 @@ def test_hierarchy_descendants_nulls_and_empty(spark):
     assert resolve_hierarchy(rows.limit(0), "id", "key", "up", "site").count() == 0
 
 
+@pytest.mark.parametrize("fragment_rows", [4, 1000])
+def test_all_descendants_match_brute_force(spark, fragment_rows):
+    rng = random.Random(5)
+    parent = {i: None if i % 20 == 0 else 900 + i if i % 20 == 1 else i - 1 if rng.random() < 0.6 else rng.randrange(i - i % 20, i) for i in range(80)}
+    parent |= {20: 27, 33: 33, 40: 55}  # rings, one of a single entry
+    rows = spark.createDataFrame([(i, f"k{i}", None if p is None else f"k{p}", "s", i) for i, p in parent.items()], "id long, key string, up string, site string, near long")
+    want = set()
+    for x in parent:
+        seen, y, d = set(), parent[x], 1
+        while y in parent and y not in seen:
+            want.add((y, x, d))
+            seen.add(y)
+            y, d = parent[y], d + 1
+    solved = resolve_hierarchy(rows, "id", "key", "up", "site", "near", fragment_rows, True)
+    got = [tuple(r) for r in all_descendants(solved, fragment_rows).collect()]
+    assert {g[:3] for g in got} == want and len(got) == len(want)
+    faults = {r.id: r.fault for r in solved.collect()}
+    assert set(faults.values()) == {None, "detached", "cycle", "below_cycle"} and all(faults[x] == f for _, x, _, f in got)
+
+
 def test_bitmap_round_trip():
     import numpy as np
 
