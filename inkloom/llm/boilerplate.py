@@ -89,17 +89,23 @@ def _sized(df: DataFrame, limit: int = SMALL) -> DataFrame:
 
 
 def _spread(of: Column) -> list[Column]:
-    """Two words of bits, one set for each value: their number is at most, and for small numbers nearly always, that of the values."""
+    """Two words of bits, one set for each value: their number is at most that of the values."""
     bit = lambda seed, n: F.expr(f"shiftleft(1L, cast(pmod(xxhash64({n}L, doc), 63) as int))")
     return [F.bit_or(bit(of, 1)).alias("b1"), F.bit_or(bit(of, 2)).alias("b2")]
 
 
 def _recurring(rows: DataFrame) -> DataFrame:
     """``site, key`` of the keys that stand in at least RECUR documents of the site, or on as many sites."""
-    own = rows.groupBy("site", "key").agg(*_spread(F.col("doc")))
-    own = store(own.select("site", "key", F.greatest(F.bit_count("b1"), F.bit_count("b2")).cast("tinyint").alias("docs")))
+    own = rows.groupBy("site", "key").agg(*_spread(F.col("doc")), F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+    docs = F.greatest(F.bit_count("b1"), F.bit_count("b2")).cast("tinyint")
+    unsure = (docs < RECUR) & (F.col("lo") < F.col("hi"))
+    own = store(own.select("site", "key", docs.alias("docs"), F.when(unsure, F.col("lo")).alias("lo"), F.when(unsure, F.col("hi")).alias("hi")))
+    # Bits may fall together: where two documents are told but not RECUR, one beside the least and the greatest is looked for.
+    two = own.where("lo is not null").select("site", "key", "lo", "hi")
+    more = rows.join(_sized(two), ["site", "key"]).where("doc <> lo and doc <> hi").groupBy("site", "key").agg(F.countDistinct("doc").alias("more"))
+    more = store(more.where(F.col("more") + 2 >= RECUR).select("site", "key", F.lit(True).alias("sure")))
     wide = own.groupBy("key").agg(F.count(F.lit(1)).alias("sites")).where(F.col("sites") >= RECUR).select("key", F.lit(True).alias("wide"))
-    return own.join(_sized(store(wide)), "key", "left").where((F.col("docs") >= RECUR) | F.col("wide")).select("site", "key")
+    return own.join(_sized(store(wide)), "key", "left").join(_sized(more), ["site", "key"], "left").where((F.col("docs") >= RECUR) | F.col("wide") | F.col("sure")).select("site", "key")
 
 
 def _slotted(lines: DataFrame) -> DataFrame:

@@ -140,3 +140,10 @@ def test_long_notices_are_boilerplate(spark):
     rows = [(i, "acme.test", f"u{i}", f"# Guide {chr(97 + i)}x\n\nAll about {chr(97 + i) * 4} is said here. {chr(97 + i) * 400}.\n\n{notice}{i}\n", None) for i in range(4)]
     df = spark.createDataFrame(rows, "id long, site string, url string, t string, own string")
     assert sorted(tuple(r) for r in B.boilerplate_lines(df, "t", "site", "url", "id", "own").collect()) == [(i, 5) for i in range(4)]
+
+
+def test_documents_of_a_token_are_counted_exactly(spark):
+    bits = spark.range(20000).select(F.col("id").alias("doc")).selectExpr("doc", "pmod(xxhash64(1L, doc), 63) x", "pmod(xxhash64(2L, doc), 63) y")
+    docs = bits.groupBy("x", "y").agg(F.array_sort(F.collect_list("doc")).alias("d")).where("size(d) >= 3").orderBy("x", "y").first().d[:3]
+    rows = [(1, 7, d) for d in docs] + [(1, 8, d) for d in docs[:2]] * 2 + [(2, 8, docs[2]), (1, 9, docs[0])]
+    assert [tuple(r) for r in B._recurring(spark.createDataFrame(rows, "site long, key long, doc long")).collect()] == [(1, 7)]
