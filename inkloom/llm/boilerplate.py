@@ -1,304 +1,373 @@
 """Page boilerplate mixed with main content.
 
-Method: a line-frequency rule.  A line is a token if its letters recur in several documents of the site or on several
-sites, the site owner's name counting as a slot, so sites with few pages are parsed with what the others taught.  Label
-lines that differ only in rare words (names, products) recur by their shape.  Fixed rules on the kinds of lines
-(``parse``) then tell the article from what stands around and inside it.
-
-The token streams of a site's pages are aligned to a wrapper, but only two sums of it are read, for headings: the pages
-a heading is on, and those where text follows it.  Order, optional and repeated groups of the wrapper decide no line.
+Method: union-free regular expressions inferred per site.  A page is a stream of lines.  The streams of one site are
+aligned one after the other into a wrapper: an ordered list of constants, with text slots wherever streams differ.  A
+line that stands in its place on some pages only is an optional part, a run of link lines is a repeated group whose
+labels are slots, and a label line of which only some words agree is a constant with a slot inside.  A line that the
+site repeats, but at a place of its own on every page, gets no place in the wrapper and stays part of a text slot.
+Every page is then parsed by the wrapper: what falls into a text slot is article, what matches a constant, an optional
+part or a repeated group is not.
+
+Hosts with few pages can't tell their constants by themselves; constants found on several other hosts hold for them too.
 """
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkloom.llm.lines import FENCE, link_labels
 from inkloom.session import store
 
 TITLE, HEADING, TABLE, CODE, LINK_ITEM, TOC_ITEM, LINKS, TEXT = range(1, 9)
-RECUR = 3  # documents of one site, or sites, that make a line a token
-PART = 5000  # page streams aligned in one task
-SMALL = 400_000  # rows of two numbers that are broadcast, at most; a larger side is shuffled
-_BOTH = r"(?:\*{0,2})"
+OPENS, LISTED = 1, 2  # flags of a line: announces what follows; is a list item
+RECUR = 3  # documents of one site at one place, or sites, that make a line constant
+PART = 20_000  # pages of one site that are aligned in one task, about
+SHARED = 500_000  # keys of eight bytes that are broadcast, at most; more are joined
+WORDS, ENDS = 20, 4  # words of a label line at most; constant words tried at each of its ends
+_TITLE_TOKEN, _ITEMS, _LINKS = 1, 2, 3  # tokens that stand for the kind of a line
+_BLANK = " \t\r 　"
+_LETTERS = re.compile(r"[\W\d_]+")
+_WORD = re.compile(r"[^\W\d_]+")
+_LABEL = re.compile(r"!?\[([^\]\n]*)\]\([^)\n]*\)")
 _LINK = r"!?\[[^\]\n]*\]\([^)\n]*\)"
 _MARK = r"(?:[-*+]|\d{1,3}[.)])"
+_HEAD = re.compile(r"(#{1,6})\s")
+_TOC = re.compile(rf"{_MARK}\s+\*{{0,2}}\[[^\]]*\]\(#[^)]*\)\*{{0,2}}$")
+_ITEM = re.compile(rf"{_MARK}\s+\*{{0,2}}{_LINK}\*{{0,2}}$")
+_ROW = re.compile(rf"[>\s*_]*{_LINK}(?:[\s|·•,/*_]*{_LINK})*[\s*_]*$")
+_BULLET = re.compile(rf"{_MARK}\s")
+_CLOSED = re.compile(r"[.!?:;。！？：…]\W*$")
+_OPEN = re.compile(r"[:：]\W*$")
+_NAME = re.compile(r"\w_\w")
+
+
+def letters(text: str) -> str:
+    return _LETTERS.sub("", text.lower().replace("ß", "ss"))
+
+
+def classify(line: str) -> tuple[int, str, int, str]:
+    """``kind, letters, flags, label`` of a line; ``label``: the words of short lines that don't end as sentences do."""
+    linked = "](" in line
+    shown = _LABEL.sub(r"\1", line) if linked else line
+    if line[0] == "#":
+        m = _HEAD.match(line)
+        kind = TEXT if not m else TITLE if len(m[1]) == 1 else HEADING
+    elif line[0] == "|":
+        kind = TABLE
+    elif not linked:
+        kind = TEXT
+    else:
+        kind = TOC_ITEM if _TOC.match(line) else LINK_ITEM if _ITEM.match(line) else LINKS if _ROW.match(line) else TEXT
+    end = line[-4:]
+    flags = (OPENS if _OPEN.search(end) else 0) | (LISTED if _BULLET.match(line) else 0)
+    label = ""
+    if kind == TEXT and not flags & LISTED and len(line) < 120 and not _CLOSED.search(end) and not _NAME.search(line):
+        words = _WORD.findall(shown.lower())
+        label = " ".join(words) if 1 < len(words) <= WORDS else ""
+    return kind, letters(shown) if kind in (TITLE, HEADING, TEXT) else "", flags, label
+
+
+def _hash(text: str, seed: int = 0) -> int:
+    """A signed 62-bit number, never one of the tokens that stand for kinds."""
+    return (xxhash.xxh64_intdigest(text, seed) >> 2) | 8
+
+
+def line_key(kind: int, shown: str) -> int:
+    """The string of a line as a number; link lines have none, as their labels are slots."""
+    return _hash(shown, kind == HEADING) if shown and kind in (HEADING, TEXT) else 0
+
+
+def label_keys(label: str) -> list[int]:
+    """Keys of a label line with one slot inside, from the most constant words to the fewest."""
+    words = label.split(" ")
+    n = len(words)
+    ends = sorted(((p + s, p, s) for p in range(min(ENDS, n - 1) + 1) for s in range(min(ENDS, n - 1 - p) + 1) if p + s), reverse=True)
+    return [_hash(" ".join(words[:p]) + "\0" + " ".join(words[n - s :] if s else []), 2) for _, p, s in ends]
+
+
+class _Reader:
+    """Texts to lines; lines met before aren't looked at again."""
 
+    def __init__(self) -> None:
+        self.seen: dict[str, tuple[int, str, int, str]] = {}
+
+    def read(self, text: str, owner: str) -> tuple[str, list[int], list[int], list[int], list[int], list[str]]:
+        """Letters of the title, and ``number, kind, flags, key, label`` of the lines that aren't blank; code is one line."""
+        title, numbers, kinds, flags, keys, labels = "", [], [], [], [], []
+        inside = titled = False
+        for n, line in enumerate(text.split("\n"), 1):
+            line = line.strip(_BLANK)
+            if not line or inside and not line.startswith("```"):
+                continue
+            if line.startswith("```"):
+                inside = not inside
+                if not inside:
+                    continue
+                kind, shown, flag, label = CODE, "", 0, ""
+            else:
+                found = self.seen.get(line)
+                if found is None:
+                    found = classify(line)
+                    if len(line) < 300:
+                        self.seen[line] = found
+                kind, shown, flag, label = found
+                if owner and owner in shown:  # the owner's name is a slot
+                    shown = shown.replace(owner, "{}")
+                    label = " ".join("{}" if w == owner else w for w in label.split(" "))
+            if kind == TITLE and not titled:
+                title, titled = shown, True
+            numbers.append(n)
+            kinds.append(kind)
+            flags.append(flag)
+            keys.append(line_key(kind, shown))
+            labels.append(label if titled else "")
+        if len(self.seen) > 200_000:
+            self.seen.clear()
+        return title, numbers, kinds, flags, keys, labels
+
+
+_PAGES = "page bigint, site bigint, doc bigint, numbers binary, kinds binary, flags binary, keys binary, labels string"
+
+
+def _read_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    reader = _Reader()
+    for batch in batches:
+        rows = []
+        for page, site, doc, owner, text in batch[["page", "site", "doc", "owner", "text"]].itertuples(index=False, name=None):
+            name = letters(owner) if owner else ""
+            title, numbers, kinds, flags, keys, labels = reader.read(text, name if len(name) > 2 else "")
+            if numbers:
+                # Copies of one article under several addresses are one document: its title tells it.
+                rows.append((
+                    page, site, _hash(title, 3) if title else doc, np.array(numbers, "<i4").tobytes(), np.array(kinds, "i1").tobytes(), np.array(flags, "i1").tobytes(),
+                    np.array(keys, "<i8").tobytes(), "\n".join(labels) if any(labels) else "",
+                ))
+        yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in _PAGES.split(", ")])
+
+
+def page_streams(pages: DataFrame, text: str, site: str, document: str, row_id: str, owner: str) -> DataFrame:
+    """The lines of every page, those that aren't blank, as packed numbers: one row a page, ``site`` and ``doc`` hashed."""
+    rows = pages.where(F.col(text).isNotNull() & F.col(row_id).isNotNull()).select(
+        F.col(row_id).cast("bigint").alias("page"), F.xxhash64(F.coalesce(site, F.lit(""))).alias("site"), F.xxhash64(F.coalesce(document, F.lit(""))).alias("doc"),
+        F.col(owner).cast("string").alias("owner"), F.col(text).alias("text"),
+    )
+    return rows.mapInPandas(_read_pages, _PAGES)
 
-def _letters(text: Column) -> Column:
-    return F.regexp_replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), r"[^\p{L}]+", "")
 
+def _keys_of(keys: bytes, labels: str) -> set[int]:
+    found = set(np.frombuffer(keys, "<i8").tolist())
+    if labels:
+        for label in labels.split("\n"):
+            if label:
+                found.update(label_keys(label))
+    found.discard(0)
+    return found
 
-def page_lines(pages: DataFrame, text: str, site: str, document: str, row_id: str, owner: str) -> DataFrame:
-    """``page, site, doc, line_no, kind, key, token, opens, listed, label, owner`` of the lines that aren't blank.
 
-    A code block is one line.  ``site`` and ``doc`` are hashes.  Lines of any length may be tokens.
-    """
-    pieces = F.when(F.contains(F.col(text), F.lit("```")), F.split(F.col(text), FENCE, -1)).otherwise(F.array(F.col(text)))
-    # Copies of one article under several addresses are one document: its title tells it.
-    title = _letters(F.regexp_extract(F.col(text), r"(?m)^[ \t]*#[ \t]+([^\n]+)", 1))
-    rows = pages.where(F.col(text).isNotNull()).select(
-        F.col(row_id).alias("page"), F.xxhash64(F.coalesce(site, F.lit(""))).alias("site"), F.xxhash64(F.when(title != "", title).otherwise(F.coalesce(document, F.lit("")))).alias("doc"),
-        _letters(F.coalesce(owner, F.lit(""))).alias("owner"), pieces.alias("_p"),
-    )
-    breaks = F.transform("_p", lambda p: F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit(""))))
-    rows = rows.withColumn("_b", breaks).select("page", "site", "doc", "owner", "_b", F.posexplode("_p").alias("_i", "_piece"))
-    before = F.aggregate(F.slice("_b", F.lit(1), F.col("_i")), F.lit(0), lambda a, b: a + b)
-    lines = F.when(F.col("_i") % 2 == 0, F.split("_piece", "\n", -1)).otherwise(F.array(F.lit("```")))
-    rows = rows.select("page", "site", "doc", "owner", before.alias("_before"), F.posexplode(lines).alias("_j", "line"))
-    s = F.btrim("line", F.lit(" \t\r\u00a0\u3000"))
-    rows = rows.select("page", "site", "doc", "owner", (F.col("_before") + F.col("_j") + 1).cast("int").alias("line_no"), s.alias("s")).where("s <> ''")
-    head = F.substring("s", 1, 1)
-    linked = F.contains("s", F.lit("]("))
-    kind = (
-        F.when(head == "#", F.when(F.col("s").rlike(r"(?U)^#\s"), TITLE).when(F.col("s").rlike(r"(?U)^#{2,6}\s"), HEADING).otherwise(TEXT))
-        .when(head == "|", TABLE)
-        .when(F.col("s") == "```", CODE)
-        .when(~linked, TEXT)
-        .when(F.col("s").rlike(rf"^{_MARK}\s+{_BOTH}\[[^\]]*\]\(#[^)]*\){_BOTH}$"), TOC_ITEM)
-        .when(F.col("s").rlike(rf"^{_MARK}\s+{_BOTH}{_LINK}{_BOTH}$"), LINK_ITEM)
-        .when(F.col("s").rlike(rf"^[>\s*_]*{_LINK}(?:[\s|·•,/*_]*{_LINK})*[\s*_]*$"), LINKS)
-        .otherwise(TEXT)
-    )
-    shown = F.when(linked, link_labels(F.col("s"))).otherwise(F.col("s"))
-    rows = rows.select("page", "site", "doc", "line_no", kind.cast("tinyint").alias("kind"), "s", shown.alias("shown"), "owner")
-    token = F.col("kind").isin(HEADING, LINK_ITEM, LINKS, TEXT)
-    rows = rows.select("page", "site", "doc", "line_no", "kind", "s", "shown", "owner", token.alias("token"), F.when(token, _letters(F.col("shown"))).alias("letters"))
-    letters = F.when((F.length("owner") > 2) & F.contains("letters", F.col("owner")), F.replace("letters", F.col("owner"), F.lit("{}"))).otherwise(F.col("letters"))
-    # The last bit of a token tells headings.
-    key = F.when(F.col("token"), F.xxhash64(letters).bitwiseAND(F.lit(-2)) + (F.col("kind") == HEADING).cast("bigint")).otherwise(F.lit(0))
-    end = F.substring("s", -4, 4)
-    # Short lines that don't end as sentences do may be labels with names in them.
-    short = (F.col("kind") == TEXT) & (F.length("s") < 120) & ~end.rlike(r"[.!?:;。！？：…]\W*$") & ~F.col("s").rlike(r"\w_\w")
-    return rows.select(
-        "page", "site", "doc", "line_no", "kind", key.alias("key"), "token", end.rlike(r"[:：]\W*$").alias("opens"),
-        F.substring("s", 1, 5).rlike(rf"^{_MARK}\s").alias("listed"), F.when(short, F.lower(F.replace("shown", F.initcap("owner"), F.lit("{}")))).alias("label"),
-        F.when(short, F.col("owner")).alias("owner"),
-    )
+def _count(group: pd.DataFrame) -> pd.DataFrame:
+    """``key, doc``: of every key up to RECUR documents of a part; where the site has one part, only what recurs."""
+    docs: dict[int, set[int]] = defaultdict(set)
+    for doc, keys, labels in group.drop_duplicates(["doc", "keys", "labels"])[["doc", "keys", "labels"]].itertuples(index=False, name=None):
+        for key in _keys_of(keys, labels):
+            own = docs[key]
+            if len(own) < RECUR:
+                own.add(doc)
+    alone = group["parts"].iloc[0] == 1
+    rows = [(key, doc) for key, own in docs.items() if not alone or len(own) >= RECUR for doc in sorted(own)]
+    out = pd.DataFrame(rows, columns=["key", "doc"], dtype=np.int64)
+    return out.assign(site=group["site"].iloc[0], part=group["part"].iloc[0])[["site", "part", "key", "doc"]]
 
 
-def _sized(df: DataFrame, limit: int = SMALL) -> DataFrame:
-    """The frame with a hint to broadcast it if a count shows that it is small."""
-    return F.broadcast(df) if df.count() <= limit else df
-
-
-def _spread(of: Column) -> list[Column]:
-    """Two words of bits, one set for each value: their number is at most that of the values."""
-    bit = lambda seed, n: F.expr(f"shiftleft(1L, cast(pmod(xxhash64({n}L, doc), 63) as int))")
-    return [F.bit_or(bit(of, 1)).alias("b1"), F.bit_or(bit(of, 2)).alias("b2")]
-
-
-def _recurring(rows: DataFrame) -> DataFrame:
-    """``site, key`` of the keys that stand in at least RECUR documents of the site, or on as many sites."""
-    own = rows.groupBy("site", "key").agg(*_spread(F.col("doc")), F.min("doc").alias("lo"), F.max("doc").alias("hi"))
-    docs = F.greatest(F.bit_count("b1"), F.bit_count("b2")).cast("tinyint")
-    unsure = (docs < RECUR) & (F.col("lo") < F.col("hi"))
-    own = store(own.select("site", "key", docs.alias("docs"), F.when(unsure, F.col("lo")).alias("lo"), F.when(unsure, F.col("hi")).alias("hi")))
-    # Bits may fall together: where two documents are told but not RECUR, one beside the least and the greatest is looked for.
-    two = own.where("lo is not null").select("site", "key", "lo", "hi")
-    more = rows.join(_sized(two), ["site", "key"]).where("doc <> lo and doc <> hi").groupBy("site", "key").agg(F.countDistinct("doc").alias("more"))
-    more = store(more.where(F.col("more") + 2 >= RECUR).select("site", "key", F.lit(True).alias("sure")))
-    wide = own.groupBy("key").agg(F.count(F.lit(1)).alias("sites")).where(F.col("sites") >= RECUR).select("key", F.lit(True).alias("wide"))
-    return own.join(_sized(store(wide)), "key", "left").join(_sized(more), ["site", "key"], "left").where((F.col("docs") >= RECUR) | F.col("wide") | F.col("sure")).select("site", "key")
-
-
-def _slotted(lines: DataFrame) -> DataFrame:
-    """``page, line_no`` of the label lines that recur when words known to few sites are text slots."""
-    lines = store(lines.where("label is not null").select("page", "site", "doc", "line_no", "label", "owner"))
-    labels = lines.select("page", "site", "doc", "line_no", F.regexp_extract_all(F.col("label"), F.lit(r"[\p{L}]+"), F.lit(0)).alias("words"), "owner")
-    labels = labels.where((F.size("words") > 1) & (F.size("words") <= 14))
-    words = labels.select("site", F.explode(F.array_distinct("words")).alias("word")).distinct().groupBy("word").agg(F.count(F.lit(1)).alias("sites"))
-    sites = labels.select("site").distinct().agg(F.greatest(F.lit(RECUR), F.count(F.lit(1)) * 0.03).alias("least"))
-    known = words.crossJoin(sites).where(F.col("sites") >= F.col("least")).select("word")  # sites is a single row
-    placed = labels.select("page", "site", "doc", "line_no", "owner", F.posexplode("words").alias("at", "word"))
-    placed = placed.join(known.withColumn("kept", F.lit(True)), "word", "left")
-    shape = placed.groupBy("page", "site", "doc", "line_no").agg(
-        F.array_sort(F.collect_list(F.struct("at", F.when(F.col("kept") & (F.col("word") != F.col("owner")), F.col("word")).otherwise("*").alias("word")))).alias("shape"),
-        F.max("kept").alias("told"),
-    )
-    keyed = shape.where("told").select("page", "site", "doc", "line_no", F.xxhash64(F.transform("shape", lambda x: x["word"])).alias("key"))
-    # A label before a colon, all behind it being a slot.
-    lead = F.regexp_extract("label", r"^([^:：]*\p{L}[^:：]*)[:：]\s*\S", 1)
-    leads = lines.select("page", "site", "doc", "line_no", lead.alias("lead")).where((F.col("lead") != "") & (F.length("lead") < 40))
-    keyed = keyed.unionByName(leads.select("page", "site", "doc", "line_no", F.xxhash64(F.lit(":"), _letters(F.col("lead"))).alias("key")))
-    keyed = store(keyed)
-    return keyed.join(_sized(_recurring(keyed)), ["site", "key"], "left_semi").select("page", "line_no").distinct()
+def _present(group: pd.DataFrame) -> pd.DataFrame:
+    found: set[int] = set()
+    for keys, labels in group[["keys", "labels"]].itertuples(index=False, name=None):
+        found |= _keys_of(keys, labels)
+    out = pd.DataFrame({"key": np.array(sorted(found), dtype=np.int64)})
+    return out.assign(site=group["site"].iloc[0], part=group["part"].iloc[0])[["site", "part", "key"]]
 
 
 class Wrapper:
-    """Tokens in order: ``token -> [rank, pages, before text, out of order, repeated]``, with text slots between.
-
-    A token on fewer pages than the wrapper has seen is optional.
-    """
+    """Places in order, each for one token; a token that streams have in several orders has several places."""
 
     def __init__(self) -> None:
-        self.items: dict[int, list[float]] = {}
-        self.pages = 0
-
-    def align(self, stream: list[int], follows: list[bool], weight: int = 1) -> None:
-        """Match a stream, 0 standing for text; ``follows``: whether text follows the token.  Mismatches become options."""
-        self.pages += weight
-        tokens, seen = [], set()
-        for token, text in zip(stream, follows, strict=True):
-            if token:
-                if token in seen:
-                    self.items.setdefault(token, [0.0, 0, 0, 0, 0])[4] += weight
-                else:
-                    seen.add(token)
-                    tokens.append((token, text))
-        # The longest run of known tokens in the wrapper's order is what matches.
-        known = [(self.items[t][0], t) for t, _ in tokens if t in self.items and self.items[t][1]]
-        tails: list[float] = []
-        back: list[int] = []
-        ends: list[int] = []
-        for i, (rank, _) in enumerate(known):
-            at = bisect_left(tails, rank)
-            back.append(ends[at - 1] if at else -1)
-            if at == len(tails):
-                tails.append(rank)
-                ends.append(i)
-            else:
-                tails[at], ends[at] = rank, i
-        matched, i = set(), ends[-1] if ends else -1
-        while i >= 0:
-            matched.add(known[i][1])
-            i = back[i]
-        low = 0.0
-        fresh: list[int] = []
-        for token, text in tokens:
-            item = self.items.setdefault(token, [0.0, 0, 0, 0, 0])
-            if not item[1]:
-                fresh.append(token)
-            elif token in matched:
-                self._place(fresh, low, item[0])
-                fresh, low = [], item[0]
+        self.rank: list[float] = []
+        self.docs: list[set[int]] = []  # up to RECUR documents matched at the place
+        self.pages: list[int] = []
+        self.text: list[int] = []  # pages on which a text slot follows
+        self.places: dict[int, list[int]] = {}  # by token, the last place first
+
+    def align(self, stream: list[int], follows: list[bool], doc: int, weight: int = 1) -> list[int]:
+        """The place of every token of a stream; tokens differ.  What has no place in the wrapper's order becomes an option there."""
+        # Of all runs in the wrapper's order, the one whose places most pages stand for matches.
+        ranks: list[float] = []  # where the best runs so far end, with what they weigh and their links, all ascending
+        best: list[int] = []
+        ends: list[tuple] = []
+        for j, token in enumerate(stream):
+            for place in self.places.get(token, ()):
+                rank = self.rank[place]
+                at = bisect_left(ranks, rank)
+                total = (best[at - 1] if at else 0) + self.pages[place]
+                to = at
+                while to < len(ranks) and best[to] <= total:
+                    to += 1
+                if to > at or at == len(ranks) or ranks[at] > rank:
+                    ranks[at:to], best[at:to], ends[at:to] = [rank], [total], [(j, place, ends[at - 1] if at else None)]
+        got = [-1] * len(stream)
+        link = ends[-1] if ends else None
+        while link:
+            got[link[0]], link = link[1], link[2]
+        low, fresh = 0.0, []
+        for j, place in enumerate(got):
+            if place < 0:
+                fresh.append(j)
+                continue
+            self._insert(stream, got, fresh, low, self.rank[place])
+            fresh, low = [], self.rank[place]
+        self._insert(stream, got, fresh, low, low + len(fresh) + 1)
+        for j, place in enumerate(got):
+            self.pages[place] += weight
+            self.text[place] += weight * follows[j]
+            if len(self.docs[place]) < RECUR:
+                self.docs[place].add(doc)
+        return got
+
+    def _insert(self, stream: list[int], got: list[int], fresh: list[int], low: float, high: float) -> None:
+        step = (high - low) / (len(fresh) + 1)
+        for n, j in enumerate(fresh, 1):
+            got[j] = len(self.rank)
+            self.rank.append(low + step * n)
+            self.docs.append(set())
+            self.pages.append(0)
+            self.text.append(0)
+            self.places.setdefault(stream[j], []).append(got[j])
+            self.places[stream[j]].sort(key=lambda p: -self.rank[p])
+        if fresh and step < 1e-6:  # no room left between two places: number all of them anew
+            number = {r: float(n) for n, r in enumerate(sorted(set(self.rank)), 1)}
+            self.rank = [number[r] for r in self.rank]
+
+
+def tokens(kinds: list[int], flags: list[int], keys: list[int], labels: list[str], known: set[int], wide: set[int], slotted: dict[str, int]) -> list[int]:
+    """The token of every line, 0 for what is text.  Links that a sentence of the text announces belong to that text."""
+    out = [0] * len(kinds)
+    announced = titled = False
+    for i, kind in enumerate(kinds):
+        if kind in (TITLE, HEADING, TABLE, CODE):
+            announced = False
+            if kind == TITLE and not titled:
+                out[i], titled = _TITLE_TOKEN, True
+            elif kind == HEADING and (keys[i] in known or keys[i] in wide):
+                out[i] = keys[i]
+        elif kind in (LINK_ITEM, TOC_ITEM) or flags[i] & LISTED:
+            if not announced:
+                out[i] = _ITEMS if kind != TEXT else keys[i] if keys[i] in known or keys[i] in wide else 0
+        elif kind == LINKS:
+            out[i], announced = _LINKS, False
+        else:
+            if keys[i] in wide:
+                out[i] = keys[i]
             else:
-                item[3] += weight
-            item[1] += weight
-            item[2] += weight * text
-        self._place(fresh, low, low + len(fresh) + 1)
-
-    def _place(self, fresh: list[int], low: float, high: float) -> None:
-        for n, token in enumerate(fresh, 1):
-            self.items[token][0] = low + (high - low) * n / (len(fresh) + 1)
+                out[i] = slotted.get(labels[i], 0) or (keys[i] if keys[i] in known else 0)
+            announced = bool(flags[i] & OPENS) and not out[i]
+    return out
 
-    def merge(self, rows: list[tuple[int, float, int, int, int, int]], pages: int) -> None:
-        """Align another wrapper as a stream and add up what both have seen."""
-        rows = sorted(rows, key=lambda r: r[1])
-        before = {r[0]: list(self.items.get(r[0], [0, 0, 0, 0, 0])) for r in rows}
-        self.align([r[0] for r in rows], [False] * len(rows), 1)
-        for token, _, n, text, moved, repeated in rows:
-            item, old = self.items[token], before[token]
-            item[1:] = [old[1] + n, old[2] + text, old[3] + moved, old[4] + repeated]
-        self.pages += pages - 1
 
+def slots(labels: set[str], known: set[int], wide: set[int]) -> dict[str, int]:
+    """The key of every label line that has one: of those its site repeats, the one that most labels agree in."""
+    fit = {label: [k for k in label_keys(label) if k in known or k in wide] for label in labels}
+    alike = Counter(k for found in fit.values() for k in found)
+    return {label: max(found, key=alike.__getitem__) for label, found in fit.items() if found}
 
-_ITEMS = "site bigint, part bigint, token bigint, rank double, n bigint, text bigint, moved bigint, repeated bigint, pages bigint"
 
+def infer_and_parse(streams: list[tuple[int, list[int], list[int], list[int], list[str], int]], known: set[int], wide: set[int]) -> list[list[bool]]:
+    """Infer the wrapper of a site's streams, ``doc, kinds, flags, keys, labels, pages``, and parse them: which lines aren't article.
 
-def _rows(site: int, part: int, wrapper: Wrapper) -> pd.DataFrame:
-    data = [(site, part, t, float(v[0]), int(v[1]), int(v[2]), int(v[3]), int(v[4]), wrapper.pages) for t, v in wrapper.items.items()]
-    return pd.DataFrame(data, columns=[c.split(" ")[0] for c in _ITEMS.split(", ")])
-
-
-def _infer(group: pd.DataFrame) -> pd.DataFrame:
-    wrapper = Wrapper()
-    for stream, text, weight in group.sort_values("h")[["stream", "text", "n"]].itertuples(index=False):
-        wrapper.align([int(x) for x in stream], [bool(x) for x in text], int(weight))
-    return _rows(int(group["site"].iloc[0]), int(group["part"].iloc[0]), wrapper)
-
-
-def _join_parts(group: pd.DataFrame) -> pd.DataFrame:
+    ``known``: keys that the site repeats; ``wide``: constants of other hosts.  A key of ``known`` is constant where
+    RECUR documents have it at one place of the wrapper; where fewer have it at all here, in one of several parts of a
+    site, all of them must.
+    """
     wrapper = Wrapper()
-    for _, part in group.groupby("part", sort=True):
-        wrapper.merge(list(part[["token", "rank", "n", "text", "moved", "repeated"]].itertuples(index=False, name=None)), int(part["pages"].iloc[0]))
-    return _rows(int(group["site"].iloc[0]), 0, wrapper)
-
-
-def wrappers(streams: DataFrame) -> DataFrame:
-    """The wrapper of each site, a row per token, from ``site, stream, text`` of its pages."""
-    h = F.xxhash64("stream")
-    distinct = streams.groupBy("site", "stream", "text").agg(F.count(F.lit(1)).alias("n")).withColumn("h", h)
-    size = distinct.groupBy("site").agg(F.ceil(F.count(F.lit(1)) / PART).cast("bigint").alias("parts"))
-    parts = distinct.join(size, "site").withColumn("part", F.pmod("h", "parts")).groupBy("site", "part").applyInPandas(_infer, _ITEMS)
-    return parts.groupBy("site").applyInPandas(_join_parts, _ITEMS)
-
-
-def parse(kinds: list[int], token: list[bool], opens: list[bool], listed: list[bool]) -> np.ndarray:
-    """Which lines of a page are boilerplate.  ``token``: whether the line stands under a token of the wrapper."""
-    n = len(kinds)
-    start = kinds.index(TITLE) if TITLE in kinds else -1
-    out = [i < start for i in range(n)]
-    announced = False
-    for i in range(start + 1, n):
-        kind = kinds[i]
-        if kind == HEADING or kind == TITLE:
-            announced = False
-        elif kind in (TABLE, CODE):
-            announced = False
-        elif kind in (LINK_ITEM, TOC_ITEM) or kind == TEXT and listed[i]:
-            out[i] = not announced and (kind != TEXT or token[i])
-        else:
-            out[i] = kind == LINKS or token[i]
-            announced = bool(opens[i]) and not out[i]
-    # A heading goes with the group it opens.
-    for i in range(n - 1, start, -1):
-        if kinds[i] == HEADING:
-            out[i] = token[i] and (i + 1 == n or out[i + 1])
-    return np.array(out, dtype=bool)
-
-
-def _parse_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        pages, numbers = [], []
-        for page, lines, kinds, keys, flags, slots in batch[["page", "lines", "kinds", "keys", "flags", "slots"]].itertuples(index=False, name=None):
-            token = (keys != 0) | (flags & 4 > 0)
-            if slots is not None and len(slots):
-                token &= ~np.isin(keys, slots)
-            marks = parse(kinds.tolist(), token.tolist(), (flags & 1 > 0).tolist(), (flags & 2 > 0).tolist())
-            found = lines[marks]
-            pages.append(np.full(len(found), page, dtype=np.int64))
-            numbers.append(found)
-        if pages:
-            yield pd.DataFrame({"page": np.concatenate(pages), "line_no": np.concatenate(numbers).astype(np.int32)})
+    marks, docs = [], defaultdict(set)
+    slotted = slots({label for *_, labels, _ in streams for label in labels if label}, known, wide)
+    for doc, kinds, flags, keys, labels, pages in streams:
+        made = tokens(kinds, flags, keys, labels, known, wide, slotted)
+        first: dict[int, int] = {}
+        for i, token in enumerate(made):
+            if token:
+                first.setdefault(token, i)  # a token met again repeats its group
+                if len(docs[token]) < RECUR:
+                    docs[token].add(doc)
+        text = [i + 1 < len(made) and not made[i + 1] and kinds[i + 1] in (TITLE, TABLE, CODE, TEXT) for i in first.values()]
+        got = wrapper.align(list(first), text, doc, pages)
+        marks.append((kinds, made, dict(zip(first, got, strict=True))))
+    out = []
+    for kinds, made, place in marks:
+        start = kinds.index(TITLE) if TITLE in kinds else -1
+        n = len(kinds)
+        found = [i < start for i in range(n)]  # nothing is article before its title heading
+        for i in range(start + 1, n):
+            token = made[i]
+            if token:
+                fixed = token <= _LINKS or token in wide or len(wrapper.docs[place[token]]) >= min(RECUR, len(docs[token]))
+                # Headings that mostly lead into text label a text slot.
+                found[i] = fixed and not (kinds[i] == HEADING and wrapper.text[place[token]] * 2 >= wrapper.pages[place[token]])
+        for i in range(n - 1, start, -1):
+            if kinds[i] == HEADING:  # a heading goes with the group it opens
+                found[i] = found[i] and (i + 1 == n or found[i + 1])
+        out.append(found)
+    return out
+
+
+def _parse(pages: pd.DataFrame, known: set[int], wide: set[int]) -> pd.DataFrame:
+    alike = ["doc", "kinds", "flags", "keys", "labels", "numbers"]
+    groups = [(*key, group) for key, group in pages.drop_duplicates(["page", *alike]).groupby(alike, sort=True)["page"]]
+    streams = [
+        (doc, np.frombuffer(kinds, "i1").tolist(), np.frombuffer(flags, "i1").tolist(), np.frombuffer(keys, "<i8").tolist(), labels.split("\n") if labels else [""] * len(kinds), len(group))
+        for doc, kinds, flags, keys, labels, _, group in groups
+    ]
+    ids, lines = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+    for (*_, numbers, group), marks in zip(groups, infer_and_parse(streams, known, wide), strict=True):
+        found = np.frombuffer(numbers, "<i4")[np.array(marks, dtype=bool)]
+        ids.append(np.repeat(group.to_numpy(np.int64), len(found)))
+        lines.append(np.tile(found, len(group)))
+    return pd.DataFrame({"page": np.concatenate(ids), "line_no": np.concatenate(lines)})
 
 
 def boilerplate_lines(pages: DataFrame, text: str, site: str, document: str, row_id: str, owner: str) -> DataFrame:
     """``row_id, line_no`` of every non-blank line that isn't part of a page's article.
 
-    ``row_id`` tells the rows apart.  Null or empty texts have no lines; a null site is a site of its own, a null owner
-    leaves no slot for its name.  Before the title heading nothing is article; a page without one is parsed from its
-    first line.  An empty table gives an empty result; other columns are ignored.
+    ``row_id`` (an integer) tells the rows apart; rows without it are left out, repeated ones count once.  Null or empty
+    texts have no lines; a null site is a site of its own, a null owner leaves no slot for its name.  Before the title
+    heading nothing is article; a page without one is parsed from its first line.  An empty table gives an empty result;
+    other columns are ignored.  Lines of any length may be constants.  Large sites are aligned in parts of about PART
+    pages each, cut by row and not by content, so copies of one page can't gather in one task.
     """
-    lines = store(page_lines(pages, text, site, document, row_id, owner))
-    tokens = store(_recurring(lines.where("token").select("site", "key", "doc")))
-    flagged = lines.select("page", "site", "line_no", "kind", "key", "opens", "listed").join(_sized(tokens).withColumn("fixed", F.lit(True)), ["site", "key"], "left")
-    flags = F.when(F.col("opens"), 1).otherwise(0) + F.when(F.col("listed"), 2).otherwise(0)
-    row = F.struct("line_no", "kind", F.when(F.col("fixed"), F.col("key")).otherwise(F.lit(0)).alias("key"), flags.cast("tinyint").alias("flags"))
-    # Lines under tokens with slots come as rows of kind 0.
-    slotted = _slotted(lines).select("page", F.lit(None).cast("bigint").alias("site"), F.struct("line_no", F.lit(0).cast("tinyint").alias("kind"), F.lit(0).cast("bigint").alias("key"), F.lit(4).cast("tinyint").alias("flags")).alias("row"))
-    packed = flagged.select("page", "site", row.alias("row")).unionByName(slotted).groupBy("page").agg(F.max("site").alias("site"), F.array_sort(F.collect_set("row")).alias("rows"))
-    # A row of kind 0 stands right before the line that it marks.
-    own = F.filter("rows", lambda r: r["kind"] != 0)
-    named = F.transform(F.filter("rows", lambda r: r["kind"] == 0), lambda r: r["line_no"])
-    full = packed.select("page", "site", own.alias("rows"), named.alias("named"))
-    full = store(
-        full.select(
-            "page", "site", F.transform("rows", lambda r: r["line_no"]).alias("lines"), F.transform("rows", lambda r: r["kind"]).alias("kinds"), F.transform("rows", lambda r: r["key"]).alias("keys"),
-            F.transform("rows", lambda r: F.when(F.array_contains("named", r["line_no"]), r["flags"] + F.lit(4)).otherwise(r["flags"]).cast("tinyint")).alias("flags"),
-        )
-    )
-    # The stream of a page: its tokens, each with whether text follows it.
-    text_next = lambda i: F.coalesce((F.get("keys", i) == 0) & F.get("kinds", i).isin(TITLE, TABLE, CODE, TEXT) & (F.get("flags", i) < 4), F.lit(False))
-    pairs = F.filter(F.transform("keys", lambda k, i: F.struct(k.alias("key"), text_next(i + 1).alias("text"))), lambda z: z["key"] != 0)
-    made = wrappers(full.select("site", pairs.alias("p")).select("site", F.transform("p", lambda z: z["key"]).alias("stream"), F.transform("p", lambda z: z["text"]).alias("text")).where(F.size("stream") > 0))
-    # Headings that mostly lead into text are those of the articles themselves: part of a text slot.
-    slots = made.where((F.col("token").bitwiseAND(F.lit(1)) == 1) & (F.col("text") * 2 >= F.col("n"))).groupBy("site").agg(F.collect_list("token").alias("slots"))
-    parsed = full.join(slots, "site", "left").mapInPandas(_parse_pages, "page bigint, line_no int")
+    streams = store(page_streams(pages, text, site, document, row_id, owner))
+    size = streams.groupBy("site").agg(F.ceil(F.count(F.lit(1)) / PART).cast("bigint").alias("parts"))
+    size = F.broadcast(size) if size.count() <= SHARED else size
+    parted = streams.join(size, "site").withColumn("part", F.pmod(F.xxhash64("page"), "parts"))
+    counted = store(parted.select("site", "part", "parts", "doc", "keys", "labels").groupBy("site", "part").applyInPandas(_count, "site bigint, part bigint, key bigint, doc bigint"))
+    own = store(counted.select("site", "key", "doc").distinct().groupBy("site", "key").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= RECUR).select("site", "key"))
+    known = counted.select("site", "part", "key").distinct().join(own, ["site", "key"], "left_semi")
+    wide = store(own.groupBy("key").agg(F.count(F.lit(1)).alias("sites")).where(F.col("sites") >= RECUR).select("key"))
+    if wide.count() <= SHARED:  # eight bytes each
+        shared = streams.sparkSession.sparkContext.broadcast(np.array([r[0] for r in wide.collect()], dtype=np.int64))
+        keys = known.withColumn("wide", F.lit(False))
+    else:
+        shared = None
+        present = parted.groupBy("site", "part").applyInPandas(_present, "site bigint, part bigint, key bigint")
+        keys = known.withColumn("wide", F.lit(False)).unionByName(present.join(wide, "key", "left_semi").withColumn("wide", F.lit(True)))
+
+    def parse(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        others = set(shared.value.tolist()) if shared else set(right.loc[right["wide"], "key"].tolist())
+        return _parse(left, set(right.loc[~right["wide"].astype(bool), "key"].tolist()), others)
+
+    parsed = parted.drop("parts").groupBy("site", "part").cogroup(keys.groupBy("site", "part")).applyInPandas(parse, "page bigint, line_no int")
     return parsed.select(F.col("page").alias(row_id), "line_no")
