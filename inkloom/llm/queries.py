@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from inkloom.llm.boilerplate import boilerplate_lines
 from inkloom.llm.encoding import repair_text, train_on
 from inkloom.llm.lookalikes import changed_texts, plain_texts, suspects
-from inkloom.llm.repeated_lines import repeated_lines, without_lines
+from inkloom.llm.repeated_lines import repeated_lines, repeated_templates, without_lines
 from inkloom.llm.mixing import mix_report, mix_sources
 from inkloom.llm.packing import pack
 from inkloom.llm.subjects import fit, score
 from inkloom.llm.tokens import with_tokens
-from inkloom.session import cut, store, table
+from inkloom.session import store, table
 
 
 def _garbled(spark: SparkSession, folder: str) -> DataFrame:
@@ -75,13 +75,18 @@ def p2_articles(spark: SparkSession, folder: str) -> DataFrame:
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Lines whose wording stands in at least 12 documents of their site."""
     pages = table(spark, folder, "mirror_pages")
-    return repeated_lines(pages, "markdown", "site_host", "canonical_url", "page_id").select("page_id", "line_no").distinct()
+    return repeated_lines(pages, "markdown", "site_host", "canonical_url", "page_id")
+
+
+def p3_templates(spark: SparkSession, folder: str) -> DataFrame:
+    """Templates with slots that cover lines of at least 12 documents of their site."""
+    return repeated_templates(table(spark, folder, "mirror_pages"), "markdown", "site_host", "canonical_url", "page_id").withColumnRenamed("site", "site_host")
 
 
 def p3_clean(spark: SparkSession, folder: str) -> DataFrame:
     """Every page without the lines that its site repeats."""
     pages = table(spark, folder, "mirror_pages").select("page_id", "site_host", "canonical_url", "markdown").distinct()
-    return without_lines(pages, "markdown", "page_id", cut(repeated_lines(pages, "markdown", "site_host", "canonical_url", "page_id")))
+    return without_lines(pages, "markdown", "page_id", repeated_lines(pages, "markdown", "site_host", "canonical_url", "page_id"))
 
 
 def _sized(spark: SparkSession, folder: str) -> DataFrame:
@@ -135,17 +140,25 @@ def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_plain, p2_found, p2_articles, p3_found, p3_clean, p6_found, p6_restored, p8_contents, p8_fill, p9_selection, p9_shares, p10_found, p10_shares,
+        p1_found, p1_plain, p2_found, p2_articles, p3_found, p3_templates, p3_clean, p6_found, p6_restored, p8_contents, p8_fill, p9_selection, p9_shares, p10_found, p10_shares,
     )
 }
 
-SQL = {
-    "p3_found": r"""
+_REPEATED = r"""
         with p as (select distinct page_id, site_host, canonical_url, markdown from mirror_pages where markdown is not null),
         l as (select page_id, site_host, canonical_url, i, string_split(markdown, chr(10))[i] line from (select *, unnest(range(1, len(string_split(markdown, chr(10))) + 1)) i from p)),
         f as (select *, regexp_matches(line, '^[ \t]*```') fence, sum(regexp_matches(line, '^[ \t]*```')::int) over (partition by page_id order by i) n from l),
         w as (select page_id, site_host, canonical_url, i, replace(replace(replace(lower(regexp_replace(regexp_replace(line, '!?\[([^\]\n]*)\]\([^)\n]*\)', '\1', 'g'), '[^\p{L}]+', '', 'g')), 'ß', 'ss'), 'ﬁ', 'fi'), 'ﬂ', 'fl') k
           from f where not fence and n % 2 = 0 and not regexp_matches(line, '^[ \t]*[#|]')),
         o as (select site_host, k from w where k <> '' group by 1, 2 having count(distinct canonical_url) >= 12)
-        select distinct page_id, i::int line_no from w join o using (site_host, k)""".replace("\\\\", "\\"),
+        select distinct page_id, i::int line_no from w join o using (site_host, k)"""
+
+SQL = {
+    "p3_found": _REPEATED,
+    "p3_clean": f"""
+        with found as ({_REPEATED}),
+        p as (select distinct page_id, site_host, canonical_url, markdown from mirror_pages),
+        l as (select page_id, i, string_split(markdown, chr(10))[i] line from (select *, unnest(range(1, len(string_split(markdown, chr(10))) + 1)) i from p where markdown is not null)),
+        k as (select l.page_id, string_agg(line, chr(10) order by i) filter (line_no is null) kept from l left join found f on l.page_id = f.page_id and l.i = f.line_no group by 1)
+        select page_id, site_host, canonical_url, case when markdown is not null then coalesce(kept, '') end markdown from p left join k using (page_id)""",
 }

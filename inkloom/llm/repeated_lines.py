@@ -1,110 +1,197 @@
 """Lines repeated across one site's documents.
 
-Method: distinct line wordings go down a fixed-depth tree per site - number of letters, leading letters - to leaves that
-hold templates, token lists with wildcard slots.  Trees grow on partitions of the wordings; crowded leaves grow in
-several pieces that are merged afterwards.  Leaves and templates that cover too few lines fall away, and the lines of the
-rest are checked exactly: a wording counts if it stands in the texts of enough different documents of its site.
+Method: lines go down a fixed-depth tree per site - number of words, first word, second word, with a wildcard branch for
+words too rare to lead to a template - to leaves that hold templates, word lists with wildcard slots.  Branches are
+counted on partitions and the trees merged by adding the counts; crowded leaves grow in several pieces, whose equal
+templates are one.  Templates that can't cover enough documents fall away, and of the rest those wordings count that
+stand in the texts of enough documents of their site themselves.  Texts are cut into lines once.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkloom.llm.lines import letter_words, prose_lines
-from inkloom.session import cut
+from inkloom.session import store
 
-HEAD = 8  # leading letters that the tree branches on
-ALIKE = 0.6  # share of equal tokens from which a wording joins a template
+ALIKE = 0.6  # share of equal words from which a wording joins a template
 CROWD = 20_000  # wordings of one leaf in one piece
+SMALL = 200_000  # rows of a few numbers that are broadcast, at most; a larger side is shuffled
 SLOT = "*"
-
-
-def grow(templates: list[list[str]], tokens: list[str]) -> int:
-    """Place a token list in a leaf: the most similar template of its length takes it, differing tokens becoming slots."""
-    best, at = 0.0, -1
-    for i, template in enumerate(templates):
-        if len(template) == len(tokens):
-            same = sum(a == b for a, b in zip(template, tokens, strict=True)) / len(tokens)
-            if same > best:
-                best, at = same, i
-    if at >= 0 and best >= ALIKE:
-        templates[at] = [a if a == b else SLOT for a, b in zip(templates[at], tokens, strict=True)]
-        return at
-    templates.append(list(tokens))
-    return len(templates) - 1
-
-
-def _leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Local trees over rows sorted by leaf and wording: one row per wording, with its template in the piece."""
-    leaf, templates, last, slot = None, [], None, -1
+_GAP = re.compile(r"[\W\d_]+")
+_LABEL = re.compile(r"!?\[([^\]\n]*)\]\([^)\n]*\)")
+_LINES = "row bigint, doc bigint, line_no int, k1 bigint, k2 bigint, site string, words string, n bigint"
+
+
+def wordings(text: str) -> list[tuple[int, str, str]]:
+    """``number, words, letters`` of the lines that count: their letters in one case, between single spaces; of a link its label."""
+    shown = _LABEL.sub(r"\1", text) if "](" in text else text
+    out, inside = [], False
+    for n, (line, label) in enumerate(zip(text.split("\n"), shown.split("\n"), strict=True), 1):
+        line = line.lstrip(" \t")
+        if line.startswith("```"):
+            inside = not inside
+        elif not inside and line and line[0] not in "#|":
+            words = _GAP.sub(" ", label.upper().lower()).strip()
+            letters = words.replace(" ", "")
+            if letters and not letters.isalpha():  # signs such as ² ½ Ⅷ
+                words = " ".join("".join(c if c.isalpha() else " " for c in words).split())
+                letters = words.replace(" ", "")
+            if letters:
+                out.append((n, words, letters))
+    return out
+
+
+def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for every line, and one without ``row`` for every wording of a batch, which has its words and lines."""
+    names = [c.split(" ")[0] for c in _LINES.split(", ")]
     for batch in batches:
-        out = np.empty(len(batch), dtype=np.int64)
-        for i, row in enumerate(zip(batch["site"], batch["letters"], batch["head"], batch["piece"], batch["k1"], batch["k2"], batch["words"], strict=True)):
-            if row[:4] != leaf:
-                leaf, templates, last = row[:4], [], None
-            if row[4:6] != last:  # spellings of one wording stay together
-                slot, last = grow(templates, row[6].split(" ")) if row[1] else -1, row[4:6]
-            out[i] = slot
-        yield batch.assign(slot=out)[["site", "letters", "head", "piece", "k1", "k2", "n", "slot", "words"]]
-
-
-def _merge(group: pd.DataFrame) -> pd.DataFrame:
-    """Trees of the pieces of one crowded leaf into one."""
-    templates: list[list[str]] = []
-    merged = [grow(templates, words.split(" ")) for words in group["words"]]
-    return group.assign(merged=np.array(merged, dtype=np.int64))[["site", "letters", "head", "piece", "slot", "merged"]]
-
-
-def line_wordings(pages: DataFrame, text: str, site: str, document: str, row_id: str) -> DataFrame:
-    """``row_id, site, doc, line_no, words, k1, k2`` of the lines that count; the keys tell the wordings of all sites apart."""
-    lines = prose_lines(pages.where(F.col(site).isNotNull() & F.col(document).isNotNull()), text, [row_id, site, document])
-    # A filter on the words would have them worked out twice; a line has some if it has a letter.
-    head = F.substring(F.ltrim("line"), 1, 1)
-    lines = lines.where((head != "#") & (head != "|") & (head != "") & F.col("line").rlike(r"\p{L}"))
-    lines = lines.select(row_id, F.col(site).alias("site"), F.xxhash64(document).alias("doc"), "line_no", letter_words(F.col("line")).alias("words"))
-    letters = F.replace("words", F.lit(" "), F.lit(""))
-    return lines.withColumns({"k1": F.xxhash64("site", letters), "k2": F.xxhash64(F.lit(1), "site", letters)})
-
-
-def line_templates(lines: DataFrame, least: int) -> DataFrame:
-    """``k1, k2, template, n``: the wordings of all templates that cover at least ``least`` lines."""
-    leaf = ["site", "letters", "head"]
-    spelled = lines.groupBy("site", "k1", "k2", "words").agg(F.count(F.lit(1)).alias("n"))
-    run = F.replace("words", F.lit(" "), F.lit(""))
-    spelled = spelled.select("site", F.length(run).alias("letters"), F.substring(run, 1, HEAD).alias("head"), "k1", "k2", "words", "n")
-    crowded = spelled.groupBy(*leaf).agg(F.sum("n").alias("lines"), F.count(F.lit(1)).alias("spelled")).where(F.col("lines") >= least)
-    pieces = F.ceil(F.col("spelled") / CROWD)
-    kept = spelled.join(crowded, leaf).withColumn("piece", F.pmod("k1", pieces).cast("bigint"))
-    kept = kept.select(*leaf, "piece", "k1", "k2", "words", "n").repartition(*leaf, "piece").sortWithinPartitions(*leaf, "piece", "k1", "k2", "words")
-    grown = cut(kept.mapInPandas(_leaves, "site string, letters int, head string, piece bigint, k1 bigint, k2 bigint, n bigint, slot bigint, words string"))
-    grown = grown.where("slot >= 0")  # links without a letter in their labels have no wording
-    # Templates of leaves that grew in more than one piece are merged; there are as many rows as templates.
-    local = grown.groupBy(*leaf, "piece", "slot").agg(F.min("words").alias("words"))
-    several = grown.where("piece > 0").select(*leaf).distinct()
-    merged = local.join(several, leaf, "left_semi").groupBy(*leaf).applyInPandas(_merge, "site string, letters int, head string, piece bigint, slot bigint, merged bigint")
-    named = grown.join(merged, [*leaf, "piece", "slot"], "left").withColumn("template", F.xxhash64(*leaf, F.coalesce("merged", "slot")))
-    cover = named.groupBy("site", "template").agg(F.sum("n").alias("cover")).where(F.col("cover") >= least)
-    return named.join(cover, ["site", "template"], "left_semi").groupBy("k1", "k2", "template").agg(F.sum("n").alias("n"))
+        seen: dict[tuple[str, str], list[int]] = {}
+        rows, docs, numbers, first, second = [], [], [], [], []
+        for row, doc, site, text in batch[["row", "doc", "site", "text"]].itertuples(index=False, name=None):
+            for n, words, letters in wordings(text):
+                own = seen.get((site, words))
+                if own is None:
+                    key = f"{site}\0{letters}"
+                    own = seen[site, words] = [xxhash.xxh64_intdigest(key, 1) - (1 << 63), xxhash.xxh64_intdigest(key, 2) - (1 << 63), 0]
+                own[2] += 1
+                rows.append(row)
+                docs.append(doc)
+                numbers.append(n)
+                first.append(own[0])
+                second.append(own[1])
+        yield pd.DataFrame({"row": pd.array(rows, "Int64"), "doc": pd.array(docs, "Int64"), "line_no": pd.array(numbers, "Int32"), "k1": np.array(first, np.int64), "k2": np.array(second, np.int64), "site": None, "words": None, "n": pd.array([None] * len(rows), "Int64")})[names]
+        spelled = [(*own[:2], site, words, own[2]) for (site, words), own in seen.items()]
+        made = pd.DataFrame(spelled, columns=["k1", "k2", "site", "words", "n"])
+        yield made.assign(row=pd.array([None] * len(made), "Int64"), doc=pd.array([None] * len(made), "Int64"), line_no=pd.array([None] * len(made), "Int32"))[names]
+
+
+def cut_lines(pages: DataFrame, text: str, site: str, document: str, row_id: str) -> tuple[DataFrame, DataFrame]:
+    """``row, doc, line_no, k1, k2`` of the lines that count, and ``k1, k2, site, words, n``; keys tell the wordings of all sites apart."""
+    rows = pages.where(F.col(site).isNotNull() & F.col(document).isNotNull() & F.col(text).isNotNull() & F.col(row_id).isNotNull())
+    rows = rows.select(F.col(row_id).cast("bigint").alias("row"), F.xxhash64(document).alias("doc"), F.col(site).alias("site"), F.col(text).alias("text"))
+    both = store(rows.mapInPandas(_cut, _LINES))
+    return both.where("row is not null").select("row", "doc", "line_no", "k1", "k2"), both.where("row is null").select("k1", "k2", "site", "words", "n")
+
+
+class Leaf:
+    """Templates of one length; words are numbers here, and a slot is none of them."""
+
+    def __init__(self, length: int) -> None:
+        self.codes: dict[str, int] = {}
+        self.rows = np.empty((4, length), dtype=np.int32)
+        self.size = 0
+
+    def grow(self, words: list[str]) -> int:
+        """Place words in the leaf: the most similar template takes them, differing words becoming slots."""
+        row = np.array([self.codes.setdefault(w, len(self.codes)) for w in words], dtype=np.int32)
+        if self.size:
+            same = (self.rows[: self.size] == row).sum(axis=1)
+            at = int(same.argmax())
+            if same[at] >= ALIKE * len(words):
+                self.rows[at][self.rows[at] != row] = -1
+                return at
+        if self.size == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
+        self.rows[self.size] = row
+        self.size += 1
+        return self.size - 1
+
+    def patterns(self) -> list[str]:
+        names = list(self.codes)
+        return [" ".join(SLOT if c < 0 else names[c] for c in row) for row in self.rows[: self.size].tolist()]
+
+
+def _close(site: str, pieces: int, rows: list[tuple[int, int, int, int]], leaf: Leaf, least: int) -> list[tuple]:
+    """Rows of a leaf with their patterns; a leaf in one piece knows what its templates cover."""
+    cover = np.bincount([r[3] for r in rows], weights=[r[2] for r in rows], minlength=leaf.size)
+    patterns = leaf.patterns()
+    return [(site, a, b, n, patterns[slot]) for a, b, n, slot in rows if pieces > 1 or cover[slot] >= least]
+
+
+def _leaves(least: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Templates of rows sorted by leaf, piece and words."""
+        last, leaf, rows, out = None, None, [], []
+        for batch in batches:
+            for *at, pieces, a, b, words, n in zip(*(batch[c] for c in ("site", "size", "first", "second", "piece", "pieces", "k1", "k2", "words", "n")), strict=True):
+                if at != last:
+                    if rows:
+                        out += _close(last[0], last_pieces, rows, leaf, least)
+                    last, last_pieces, leaf, rows = at, pieces, Leaf(at[1]), []
+                rows.append((a, b, n, leaf.grow(words.split(" "))))
+            yield pd.DataFrame(out, columns=["site", "k1", "k2", "n", "pattern"])
+            out = []
+        if rows:
+            yield pd.DataFrame(_close(last[0], last_pieces, rows, leaf, least), columns=["site", "k1", "k2", "n", "pattern"])
+
+    return run
+
+
+def _sized(df: DataFrame) -> DataFrame:
+    """The frame with a hint to broadcast it if a count shows that it is small."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
+def line_templates(spelled: DataFrame, least: int) -> DataFrame:
+    """``k1, k2, template, site, pattern, n``: the wordings of all templates that cover at least ``least`` lines."""
+    words = F.split("words", " ")
+    spelled = spelled.select("*", F.size(words).alias("size"), words[0].alias("w1"), F.coalesce(F.get(words, F.lit(1)), F.lit("")).alias("w2"))
+    # The trees of all partitions merged: lines and wordings of every path.
+    paths = store(spelled.groupBy("site", "size", "w1", "w2").agg(F.sum("n").alias("lines"), F.count(F.lit(1)).alias("spelled")))
+    firsts = paths.groupBy("site", "size", "w1").agg((F.sum("lines") >= least).alias("common"))
+    tree = paths.join(firsts, ["site", "size", "w1"]).withColumn("first", F.when(F.col("common"), F.col("w1")).otherwise(SLOT))
+    seconds = tree.groupBy("site", "size", "first", "w2").agg((F.sum("lines") >= least).alias("known"))
+    tree = tree.join(seconds, ["site", "size", "first", "w2"]).withColumn("second", F.when(F.col("known"), F.col("w2")).otherwise(SLOT))
+    leaf = ["site", "size", "first", "second"]
+    # No template of a leaf with fewer lines than asked for can cover as many.
+    full = tree.groupBy(*leaf).agg(F.sum("lines").alias("all"), F.ceil(F.sum("spelled") / CROWD).cast("int").alias("pieces")).where(F.col("all") >= least)
+    tree = _sized(store(tree.join(full.drop("all"), leaf).select("site", "size", "w1", "w2", "first", "second", "pieces")))
+    placed = spelled.join(tree, ["site", "size", "w1", "w2"]).withColumn("piece", F.pmod("k1", "pieces").cast("int"))
+    order = [*leaf, "piece"]
+    placed = placed.select(*order, "pieces", "k1", "k2", "words", "n").repartition(*order).sortWithinPartitions(*order, "words")
+    grown = store(placed.mapInPandas(_leaves(least), "site string, k1 bigint, k2 bigint, n bigint, pattern string").withColumn("template", F.xxhash64("site", "pattern")))
+    cover = grown.groupBy("template").agg(F.sum("n").alias("cover")).where(F.col("cover") >= least).select("template")
+    return grown.join(_sized(store(cover)), "template", "left_semi")
+
+
+def _documents(lines: DataFrame, templates: DataFrame) -> DataFrame:
+    """``template, k1, k2, doc``: the documents of every wording of the templates, once each."""
+    return lines.select("k1", "k2", "doc").join(templates.select("k1", "k2", "template").distinct(), ["k1", "k2"]).groupBy("k1", "k2", "template", "doc").agg(F.count(F.lit(1)).alias("lines"))
 
 
 def repeated_lines(pages: DataFrame, text: str, site: str, document: str, row_id: str, least: int = 12) -> DataFrame:
-    """``row_id, line_no, template`` of each line whose wording stands in at least ``least`` documents of its site.
+    """``row_id, line_no`` of each line whose wording stands in at least ``least`` documents of its site.
 
     Wording: the letters in one case, of a link its label.  Lines without letters, lines beginning with ``#`` or ``|``,
-    and code fences with what they hold don't count.  Rows without site, document or text have no lines; repeated rows
-    and several rows of one document count once; an empty table gives an empty result; other columns are ignored.
+    and code fences with what they hold don't count.  Rows without ``row_id`` (an integer), site, document or text have
+    no lines; repeated rows and several rows of one document count once; an empty table gives an empty result; other
+    columns are ignored.
+    """
+    lines, spelled = cut_lines(pages, text, site, document, row_id)
+    templates = line_templates(spelled, least)
+    often = _documents(lines, templates).groupBy("k1", "k2", "template").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= least)
+    often = _sized(store(often.select("k1", "k2").distinct()))
+    return lines.join(often, ["k1", "k2"], "left_semi").select(F.col("row").alias(row_id), "line_no").distinct()
+
+
+def repeated_templates(pages: DataFrame, text: str, site: str, document: str, row_id: str, least: int = 12) -> DataFrame:
+    """``site, pattern, wordings, lines, documents`` of the templates that cover at least ``least`` documents of a site.
+
+    A ``*`` in a pattern is a slot for one word.  What counts as a line is as in ``repeated_lines``; ``lines`` counts
+    repeated rows too.
     """
-    lines = line_wordings(pages, text, site, document, row_id)
-    # A wording on fewer lines than asked for can't stand in that many documents.
-    wordings = line_templates(lines, least).where(F.col("n") >= least)
-    covered = cut(lines.select(row_id, "doc", "line_no", "k1", "k2").join(wordings.drop("n"), ["k1", "k2"]))
-    often = covered.select("k1", "k2", "doc").distinct().groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= least)
-    return covered.join(often, ["k1", "k2"], "left_semi").select(row_id, "line_no", "template").distinct()
+    lines, spelled = cut_lines(pages, text, site, document, row_id)
+    templates = store(line_templates(spelled, least))
+    size = templates.groupBy("template").agg(F.first("site").alias("site"), F.first("pattern").alias("pattern"), F.countDistinct("k1", "k2").alias("wordings"))
+    cover = _documents(lines, templates).groupBy("template", "doc").agg(F.sum("lines").alias("lines")).groupBy("template").agg(F.sum("lines").alias("lines"), F.count(F.lit(1)).alias("documents"))
+    return size.join(cover.where(F.col("documents") >= least), "template").select("site", "pattern", "wordings", "lines", "documents")
 
 
 def without_lines(pages: DataFrame, text: str, row_id: str, lines: DataFrame) -> DataFrame:

@@ -9,7 +9,6 @@ from inkloom.llm import boilerplate as B
 from inkloom.llm import encoding as E
 from inkloom.llm import lookalikes as L
 from inkloom.llm import repeated_lines as R
-from inkloom.llm.lines import prose_lines
 
 PLAIN = [
     ("Ｃｏｎｆ１", "Conf1"), ("conﬁg", "config"), ("a b c", "a b c"), ("re⁠ce­nt​", "recent"), ("Ка́бель", None), ("éá̧", "éá̧"),
@@ -68,14 +67,9 @@ def test_repair_frame(spark, model):
     assert E.repair_text(df.limit(0), "text", model, ["id"]).count() == 0
 
 
-def test_prose_lines(spark):
-    df = spark.createDataFrame([(1, "a\n```\nb\n```\nc\n\n ```\nd"), (2, None), (3, "")], "id int, t string")
-    assert sorted(tuple(r) for r in prose_lines(df, "t", ["id"]).where("line <> ''").collect()) == [(1, 1, "a"), (1, 5, "c")]
-
-
 def test_repeated_lines_match_brute_force(spark):
     rows = [(i, "s" if i % 3 else None, f"u{i // 2}", f"Share  THIS page {i}!\n# Share this page\n| share this page |\n[Share this](x{i}) page\nline {chr(97 + i % 5)}\n```\nShare this page\n```\n[1](/abc)\n") for i in range(60)]
-    df = spark.createDataFrame(rows + rows[:5], "id int, site string, url string, t string").withColumn("site_host", F.lit(1))
+    df = spark.createDataFrame(rows + rows[:5], "id long, site string, url string, t string").withColumn("site_host", F.lit(1))
     got = {(r.id, r.line_no) for r in R.repeated_lines(df, "t", "site", "url", "id", 12).collect()}
     docs = {}
     for i, s, u, t in rows:
@@ -89,17 +83,39 @@ def test_repeated_lines_match_brute_force(spark):
     assert R.repeated_lines(df.limit(0), "t", "site", "url", "id").count() == 0
 
 
-def test_crowded_leaves_merge(spark, monkeypatch):
-    monkeypatch.setattr(R, "CROWD", 3)
-    df = spark.createDataFrame([(i, "s", f"u{i}", f"Abcdefgh same words here {chr(97 + i % 20)}{chr(97 + i % 7)}") for i in range(140)], "id int, site string, url string, t string")
-    lines = R.line_wordings(df, "t", "site", "url", "id")
-    made = R.line_templates(lines, 12).collect()
-    assert len({r.template for r in made}) < len(made)
+def test_wordings():
+    text = "Share  THIS page ²5!\n # no\n[1](/abc)\n[Straße](x) ½\n\n ```\nin\n```\n|no|\n_a_b"
+    assert R.wordings(text) == [(1, "share this page", "sharethispage"), (4, "strasse", "strasse"), (10, "a b", "ab")]
+    assert R.wordings("") == []
+
+
+def test_repeated_templates(spark, monkeypatch):
+    """Bylines with different names are one template with slots, whether its leaf grows in one piece or in several."""
+    names = "abcdefghijklmnopqrst"
+    rows = [(i, "s", f"u{i}", f"Written by {names[i] * 4} at the desk\nOnly here {names[i] * 3}.\nLegal notice of us") for i in range(20)]
+    df = spark.createDataFrame(rows + rows[:3], "id long, site string, url string, t string")
+    get = lambda: sorted(tuple(r) for r in R.repeated_templates(df, "t", "site", "url", "id", 12).collect())
+    legal, written, only = ("s", "legal notice of us", 1, 23, 20), ("s", "written by * at the desk", 20, 23, 20), ("s", "only here *", 20, 23, 20)
+    assert get() == sorted([legal, written, only])
+    found = {(r.id, r.line_no) for r in R.repeated_lines(df, "t", "site", "url", "id", 12).collect()}
+    assert found == {(i, 3) for i in range(20)}  # the wording counts, within its template
+    monkeypatch.setattr(R, "CROWD", 5)
+    monkeypatch.setattr(R, "SMALL", 0)
+    assert get() == sorted([legal, written, only])
+    assert R.repeated_templates(df.limit(0), "t", "site", "url", "id").count() == 0
+
+
+def test_spellings_of_one_wording(spark):
+    """A wording counts over all its spellings, though they go to leaves of their own."""
+    rows = [(i, "s", f"u{i}", "Accept all of it" if i % 2 else "Ac cept all of it") for i in range(24)]
+    df = spark.createDataFrame(rows, "id long, site string, url string, t string")
+    assert R.repeated_lines(df, "t", "site", "url", "id", 12).count() == 24
 
 
-def test_grow_templates():
-    made = []
-    assert R.grow(made, ["a", "b", "c"]) == 0 and R.grow(made, ["a", "b", "d"]) == 0 and made == [["a", "b", "*"]] and R.grow(made, ["x", "y", "z"]) == 1
+def test_leaf_growth():
+    leaf = R.Leaf(3)
+    assert [leaf.grow(x.split()) for x in ("a b c", "a b d", "x y z", "a b c", "p q r", "s t u", "v w x")] == [0, 0, 1, 0, 2, 3, 4]
+    assert leaf.patterns()[:2] == ["a b *", "x y z"]
 
 
 def test_wrapper_alignment():
