@@ -1,7 +1,7 @@
 """Garbled text from wrong character encodings.
 
 Method: a multinomial classifier over hashed byte bigrams tells clean words from words garbled by one of the encoding
-chains below.  It is trained on a bounded sample of the table's own lines, garbled synthetically by every chain.  The
+chains below.  It is trained on a bounded sample of the table's own words, garbled synthetically by every chain.  The
 predicted chain is inverted; only a strict decoding that reads better than what stood there before is taken.
 """
 
@@ -52,10 +52,11 @@ CHAINS: dict[str, tuple[tuple[str, str], ...]] = {
     "shift-jis > cp1252": (("shift-jis", "cp1252"),),
     "shift-jis > latin-1": (("shift-jis", "latin-1"),),
 }
-CLEAN, LOST = "clean", "lost"  # lost: replacement characters stand where the bytes were
+CLEAN, CAPITALS, LOST = "clean", "clean, in capitals", "lost"  # lost: replacement characters stand where the bytes were
 BUCKETS = 1 << 15
 SAMPLE_PAGES = 3000  # texts that the classifier is trained on, at most
 MARGIN = 4.0  # nats by which a chain must beat the clean reading
+SURE = 12.0  # nats from which a single word is enough
 _EDGE = r" \t\n\r\f\v\[\](){}<>|*_#\"`"
 _WORD = re.compile(rf"[^{_EDGE}]*[^\x00-\x7f{_EDGE}][^{_EDGE}]*")
 _SENTENCE = re.compile(r"(?<=[.!?;])[ \t]+")
@@ -120,40 +121,44 @@ def _bigrams(words: Iterable[str]) -> np.ndarray:
     return (((raw[:-1] * np.uint32(256) + raw[1:]) * np.uint32(2654435761)) >> np.uint32(17)) & np.uint32(BUCKETS - 1)
 
 
+def _counts(words: list[tuple[str, int]]) -> np.ndarray:
+    """How often each bigram stands in the words, each as often as it occurs."""
+    if not words:
+        return np.zeros(BUCKETS)
+    sizes = [len(w.encode("utf-8", "surrogatepass")) + 1 for w, _ in words]
+    return np.bincount(_bigrams(w for w, _ in words), np.repeat([n for _, n in words], sizes), BUCKETS)
+
+
 def _core(word: str) -> str:
     return word.strip(".,;:!?()[]{}<>\"'*_#|`~/-").lower()
 
 
 class Classifier:
-    """Multinomial naive Bayes over hashed byte bigrams of words that aren't plain ASCII, with a word list to read by."""
+    """Multinomial naive Bayes over hashed byte bigrams of words that aren't plain ASCII."""
 
-    def __init__(self, classes: list[str], logs: np.ndarray, known: dict[str, int]):
-        self.classes, self.logs, self.known = classes, logs, known
+    def __init__(self, classes: list[str], logs: np.ndarray):
+        self.classes, self.logs = classes, logs
         self.seen: dict[str, tuple] = {}
 
     @classmethod
     def train(cls, texts: Iterable[str], alpha: float = 0.02) -> Classifier:
         """From texts mostly clean; words that a first model takes for garbled are left out of the second."""
         count: Counter[str] = Counter()
-        known: Counter[str] = Counter()
         for text in texts:
             if "\ufffd" not in text and not text.isascii():
-                words = _WORD.findall(_QUOTED.sub(" ", text))
-                count.update(words)
-                known.update({_core(w) for w in words})
+                count.update(_WORD.findall(_QUOTED.sub(" ", text)))
         model = None
         for _ in range(2):
             if model:
                 model.prepare(count)
             kept = [w for w in count if model is None or not any(sure for *_, sure in model.readings(w))]
-            # Clean words in every case, and with the usual look-alike damage, stay clean.
-            clean = [x for w in kept for x in {w, w.upper(), w.capitalize(), w.translate(_LOOKALIKE)} for _ in range(min(3, count[w]))]
-            words = {CLEAN: clean}
+            # Clean words in every case, and with the usual look-alike damage, stay clean; capitals are a class of their own.
+            words = {CLEAN: [(x, count[w]) for w in kept for x in {w, w.capitalize(), w.translate(_LOOKALIKE)}], CAPITALS: [(w.upper(), count[w]) for w in kept]}
             for chain in CHAINS:
-                words[chain] = [g for w in kept for g in [garble(w, chain)] if g is not None and g != w for _ in range(min(3, count[w]))]
+                words[chain] = [(g, count[w]) for w in kept for g in [garble(w, chain)] if g is not None and g != w]
             classes = list(words)
-            counts = np.stack([np.bincount(_bigrams(words[c]), minlength=BUCKETS) for c in classes]).astype(np.float64) + alpha
-            model = cls(classes, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32), dict(known))
+            counts = np.stack([_counts(words[c]) for c in classes]) + alpha
+            model = cls(classes, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32))
         return model
 
     def scores(self, words: list[str]) -> np.ndarray:
@@ -170,41 +175,40 @@ class Classifier:
         if not new:
             return
         total = self.scores(new)
-        gain = total - total[:, :1]
-        hopeful = gain[:, 1:].max(axis=1) > 0
+        clean = total[:, :2].max(axis=1)
+        gain = total - clean[:, None]
+        hopeful = gain[:, 2:].max(axis=1) > 0
         for i, word in enumerate(new):
-            self.seen[word] = self._readings(word, total[i], gain[i]) if hopeful[i] or _WIDE.search(word) else ()
+            self.seen[word] = self._readings(word, float(clean[i]), gain[i]) if hopeful[i] else ()
 
     def readings(self, word: str) -> tuple[tuple[str, str, float, bool], ...]:
         """``chain, restored, gain, sure`` of the chains that may have garbled a word, best first.
 
-        ``sure``: the restored word is one the word list knows better than the one that stands there, or has several
-        characters that only a strict multi-byte decoding could yield.
+        ``gain``: the nats by which the classifier holds the chain for likelier than a clean word, or the restored word
+        for a likelier clean word than what stands there, whichever are fewer; ``sure``: by a wide margin.
         """
         if word not in self.seen:
             self.prepare([word])
         return self.seen[word]
 
-    def _readings(self, word: str, total: np.ndarray, gains: np.ndarray) -> tuple[tuple[str, str, float, bool], ...]:
-        mine = self.known.get(_core(word), 0)
+    def _readings(self, word: str, clean: float, gains: np.ndarray) -> tuple[tuple[str, str, float, bool], ...]:
+        """The classes that beat the clean one, in the classifier's order, as far as they decode strictly."""
         bare = word.translate(_FAINT)
         out = []
-        for k in range(1, len(self.classes)):
+        for k in np.argsort(-gains):
             chain, gain = self.classes[k], float(gains[k])
+            if chain in (CLEAN, CAPITALS):
+                break
             wide = chain.startswith("utf-8")
-            if gain <= 0 and not wide or not wide and (bare.isascii() or chain.startswith(_CYRILLIC) and _MIXED.search(word)):
+            if not wide and (bare.isascii() or chain.startswith(_CYRILLIC) and _MIXED.search(word)):
                 continue
             back = invert(word, chain)
             if back is None or back == word or _CONTROL.search(back) or not wide and not _core(back):
                 continue
-            theirs = self.known.get(_core(back), 0)
-            if wide and sum(c > "\x7f" for c in back) >= 3 or theirs > 20 * mine and gain > 0:
-                out.append((chain, back, max(gain, MARGIN), True))
-                continue
-            better = 0.0 if back.isascii() else float(self.scores([back])[0, 0] - total[0])
-            if gain > 0 and better > 0 and (wide and mine <= max(theirs, 3) or mine <= theirs and gain > 2 * MARGIN and better > MARGIN):
-                out.append((chain, back, gain, False))
-        return tuple(sorted(out, key=lambda x: (not x[3], -x[2])))
+            better = float(self.scores([back])[0, :2].max()) - clean
+            if better > 0:
+                out.append((chain, back, min(gain, better), min(gain, better) >= SURE))
+        return tuple(out)
 
     def passages(self, line: str) -> list[tuple[int, int, str, str | None]]:
         """``start, end, chain, restored`` of each garbled passage of a line; passages quoted in backticks aren't ones."""
@@ -213,18 +217,23 @@ class Classifier:
         words = [(m.start(), m.end(), m[0]) for m in _WORD.finditer(line)]
         found = [(a, b, LOST, None) for a, b, w in words if "\ufffd" in w]
         open_ = [(a, b, r) for a, b, w in words if "\ufffd" not in w and (r := self.readings(w))]
-        # The chain that most speaks for goes first: neighbouring words were garbled together.
+        # The chain that most speaks for goes first: neighbouring words were garbled together.  A single character, which
+        # any language may have as a word, speaks for none.
         weight: Counter[str] = Counter()
-        for *_, readings in open_:
+        most: Counter[str] = Counter()
+        for a, b, readings in open_:
+            if len(_core(line[a:b])) < 2:
+                continue
             for chain, _, gain, sure in readings:
                 weight[chain] += min(gain, 20.0) * (3 if sure else 1)
+                most[chain] = max(most[chain], gain)
         for a, b, readings in open_:
             chain, back, gain, sure = max(readings, key=lambda r: (weight[r[0]], r[2]))
             if chain.startswith("utf-8"):
                 if sure or gain >= MARGIN or weight[chain] >= 2 * MARGIN:
                     found.append((a, b, chain, back))
-            # One byte a character decodes nearly always, so words around must have gone the same way.
-            elif weight[chain] >= 2 * MARGIN and self._together(line, a, words, chain):
+            # One byte a character decodes nearly always, so a word must be told well, and those around have gone the same way.
+            elif most[chain] >= 2 * MARGIN and self._together(line, a, words, chain):
                 found.append((a, b, chain, back))
         return sorted(found)
 
@@ -256,7 +265,9 @@ class Classifier:
         for line in text.split("\n"):
             start, at = at, at + len(line) + 1
             if not line.isascii() and not any(a <= start < b for a, b in inside):
-                for _ in range(3):  # what was garbled twice may come out step by step
+                before: set[str] = set()
+                while line not in before:  # what was garbled several times comes out step by step
+                    before.add(line)
                     passages = self.passages(line)
                     for a, b, chain, back in reversed(passages):
                         chains.append(chain)
@@ -284,7 +295,7 @@ def repair_text(rows: DataFrame, text: str, model: Classifier, keep: list[str])
     apart however equal they are.
     """
     schema = rows.select(*keep, F.col(text).alias("restored")).schema.add("chains", T.ArrayType(T.StringType()))
-    shared = rows.sparkSession.sparkContext.broadcast((model.classes, model.logs, model.known))  # a fixed number of buckets; words of the bounded sample
+    shared = rows.sparkSession.sparkContext.broadcast((model.classes, model.logs))  # a fixed number of buckets
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Classifier(*shared.value)

@@ -191,3 +191,19 @@ def test_long_notices_are_boilerplate(spark):
     rows = [(i, "acme.test", f"u{i}", f"# Guide {chr(97 + i)}x\n\nAll about {chr(97 + i) * 4} is said here. {chr(97 + i) * 400}.\n\n{notice}{i}\n", None) for i in range(4)]
     df = spark.createDataFrame(rows, "id long, site string, url string, t string, own string")
     assert sorted(tuple(r) for r in B.boilerplate_lines(df, "t", "site", "url", "id", "own").collect()) == [(i, 5) for i in range(4)]
+
+
+def test_deep_chains_come_out(model):
+    """More steps than any listed chain has."""
+    text, chain = "L’accès à la règle d’été est protégé; où ça ?", "utf-8 > cp1252 > utf-8 > cp1252"
+    bad = E.garble(E.garble(text, chain), chain)
+    assert model.repair(bad)[0] == text and model.repair(bad)[1]
+
+
+def test_encoding_classifier_on_held_out_words(model):
+    """Words that the model hasn't seen, garbled by the chains of UTF-8; nothing but the classifier decides."""
+    clean = "Größenänderung läßt früher Überblicke für schöne Häuser zu; später prüfen wir Münzen."
+    chains = [c for c in E.CHAINS if c.startswith("utf-8 > ") and c.count(">") == 1 and "koi8" not in c and "866" not in c and "1251" not in c]
+    got = [model.repair(E.garble(clean, c)) for c in chains]
+    assert sum(back == clean for back, _ in got) >= len(chains) - 1 and all(found for _, found in got)
+    assert model.repair(clean) == (clean, [])
