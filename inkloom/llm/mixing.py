@@ -3,7 +3,8 @@
 Method: Pfair scheduling.  A source's documents, laid end to end and repeated as often as needed, form blocks of equal
 size.  Block k of a source of weight w may go from slot floor(k/w) on and must go before slot ceil((k+1)/w); among the
 blocks released, the one with the earliest deadline takes the next slot.  At every slot each source is then less than a
-block from its target.
+block from its target.  The schedule is worked out for one period, after which every source has had whole blocks and
+all begins anew, so mixes of any length have blocks of one size.
 """
 
 from __future__ import annotations
@@ -18,9 +19,10 @@ from pyspark.sql import functions as F
 
 from inkloom.session import store
 
-BLOCK = 4096  # tokens, at least
-SLOTS = 1_000_000  # of one mix, at most; blocks grow beyond
-SALTS = 256
+BLOCK = 4096  # tokens
+PERIOD = 100_000  # slots of a period, at most; weights without so small a common denominator are rounded to as many parts
+PLANS = 500_000  # rows of the periods that are broadcast, at most
+SALTED = 200_000  # documents of one salt, about: where they begin is summed in one task
 
 
 def schedule(blocks: dict[str, int], weights: dict[str, Fraction]) -> list[tuple[str, int]]:
@@ -44,22 +46,35 @@ def schedule(blocks: dict[str, int], weights: dict[str, Fraction]) -> list[tuple
     return out
 
 
+def period(weights: dict[str, Fraction]) -> dict[str, int]:
+    """Blocks of every source in one period: exact where the weights' common denominator is small enough, else rounded."""
+    size = math.lcm(*(w.denominator for w in weights.values()))
+    if size <= PERIOD:
+        return {s: int(w * size) for s, w in weights.items()}
+    size = max(PERIOD, len(weights))
+    whole = {s: max(1, math.floor(w * size)) for s, w in weights.items()}
+    most = sorted(weights, key=lambda s: (whole[s] - weights[s] * size, s))  # what rounding cost most comes first
+    for s in most[: max(0, size - sum(whole.values()))]:
+        whole[s] += 1
+    return whole
+
+
 def _plan(group: pd.DataFrame) -> pd.DataFrame:
-    """Quotas and the slot of every block of one mix; its rows are as many as sources."""
+    """Quotas of one mix and the slots of one period; its rows are as many as sources."""
     mix = group["mix"].iloc[0]
     have = group[(group["supply"] > 0) & (group["share"] > 0) & (group["repeats"] > 0)].sort_values("source")
     if not len(have):
-        return pd.DataFrame(columns=["mix", "source", "quota", "block", "slots"])
+        return pd.DataFrame(columns=["mix", "source", "quota", "period", "slots"])
     total_share = sum(Fraction(x).limit_denominator(10**9) for x in have["share"])
     weights = {s: Fraction(x).limit_denominator(10**9) / total_share for s, x in zip(have["source"], have["share"], strict=True)}
     # The largest mix for which every source has enough.
     total = min(Fraction(int(n) * int(r)) / weights[s] for s, n, r in zip(have["source"], have["supply"], have["repeats"], strict=True))
-    block = max(BLOCK, math.ceil(total / SLOTS))
-    quota = {s: math.floor(w * total) for s, w in weights.items()}
-    slots: dict[str, list[int]] = {s: [] for s in quota}
-    for at, (s, _) in enumerate(schedule({s: -(-q // block) for s, q in quota.items()}, weights)):
+    blocks = period(weights)
+    size = sum(blocks.values())
+    slots: dict[str, list[int]] = {s: [] for s in blocks}
+    for at, (s, _) in enumerate(schedule(blocks, {s: Fraction(n, size) for s, n in blocks.items()})):
         slots[s].append(at)
-    return pd.DataFrame([(mix, s, quota[s], block, slots[s]) for s in quota], columns=["mix", "source", "quota", "block", "slots"])
+    return pd.DataFrame([(mix, s, math.floor(weights[s] * total), size, slots[s]) for s in blocks], columns=["mix", "source", "quota", "period", "slots"])
 
 
 def mix_sources(documents: DataFrame, doc_id: str, source: str, size: str, targets: DataFrame) -> DataFrame:
@@ -74,23 +89,27 @@ def mix_sources(documents: DataFrame, doc_id: str, source: str, size: str, targe
     docs = documents.where(F.col(doc_id).isNotNull() & F.col(source).isNotNull() & (F.col(size) > 0))
     docs = docs.select(F.col(doc_id).alias("item"), F.col(source).alias("source"), F.col(size).cast("bigint").alias("size")).dropDuplicates(["item"])
     order = F.xxhash64("item")
-    docs = store(docs.withColumn("order", order).withColumn("salt", F.floor(F.col("order") / (1 << 56))))
+    docs = store(docs.withColumn("order", order))
+    salts = max(1, -(-docs.count() // SALTED))
+    docs = docs.withColumn("salt", F.floor((F.col("order") / F.lit(2.0**64) + 0.5) * salts))
     targets = targets.where("mix is not null and source is not null").groupBy("mix", "source").agg(F.max("share").cast("double").alias("share"), F.max("repeats").alias("repeats"))
     sums = store(docs.groupBy("source", "salt").agg(F.sum("size").alias("n")))
     supply = sums.groupBy("source").agg(F.sum("n").alias("supply"))
     plan = targets.join(supply, "source", "left").na.fill({"supply": 0, "share": 0.0, "repeats": 1})
-    plan = store(plan.groupBy("mix").applyInPandas(_plan, "mix string, source string, quota bigint, block bigint, slots array<bigint>"))
+    plan = store(plan.groupBy("mix").applyInPandas(_plan, "mix string, source string, quota bigint, period bigint, slots array<bigint>"))
     # Where a document begins among its source's: behind the salts before, and inside its own.
     before = sums.select("source", "salt", (F.sum("n").over(Window.partitionBy("source").orderBy("salt")) - F.col("n")).alias("before"))
     inside = F.sum("size").over(Window.partitionBy("source", "salt").orderBy("order", "item").rowsBetween(Window.unboundedPreceding, -1))
     placed = docs.withColumn("inside", F.coalesce(inside, F.lit(0))).join(before, ["source", "salt"]).join(supply, "source").withColumn("begin", F.col("before") + F.col("inside"))
-    per = placed.join(plan.select("mix", "source", "quota", "block"), "source")
+    per = placed.join(plan.select("mix", "source", "quota", "period", F.size("slots").alias("share")), "source")
     # Uses: the passes in which the middle of the document lies within the quota.
     uses = F.ceil((F.col("quota") - F.col("begin") - F.col("size") / 2) / F.col("supply")).cast("int")
-    used = per.withColumn("uses", uses).where("uses > 0").select("mix", "source", "item", "size", "begin", "supply", "block", F.explode(F.sequence(F.lit(1), F.col("uses"))).alias("use_no"))
-    used = used.withColumn("nth", F.floor(((F.col("use_no") - 1) * F.col("supply") + F.col("begin")) / F.col("block")))
-    slots = plan.select("mix", "source", F.posexplode("slots").alias("nth", "slot")).withColumn("nth", F.col("nth").cast("bigint"))
-    return used.join(slots, ["mix", "source", "nth"], "left").select("mix", "source", "item", "use_no", "size", "slot")
+    used = per.withColumn("uses", uses).where("uses > 0").select("mix", "source", "item", "size", "begin", "supply", "period", "share", F.explode(F.sequence(F.lit(1), F.col("uses"))).alias("use_no"))
+    block = F.floor(((F.col("use_no") - 1) * F.col("supply") + F.col("begin")) / BLOCK)
+    used = used.withColumn("round", F.floor(block / F.col("share"))).withColumn("nth", F.pmod(block, F.col("share")))
+    slots = store(plan.select("mix", "source", F.posexplode("slots").alias("nth", "at")).withColumn("nth", F.col("nth").cast("bigint")))
+    slots = F.broadcast(slots) if slots.count() <= PLANS else slots
+    return used.join(slots, ["mix", "source", "nth"]).select("mix", "source", "item", "use_no", "size", (F.col("round") * F.col("period") + F.col("at")).alias("slot"))
 
 
 def mix_report(uses: DataFrame, targets: DataFrame) -> DataFrame:

@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from inkloom.session import store
 
-SALTS = 64
+SALTED = 200_000  # items of one salt, about: their ranks are counted in one task
+SPAN = 4096  # ranks that are looked up together
+KINDS = 10_000  # kinds that are broadcast, at most
 
 
 class _Sizes:
@@ -178,22 +180,30 @@ def pack(items: DataFrame, item: str, size: str, kinds: DataFrame, kind: str, ca
     tells the items apart: repeated rows are one.
     """
     kinds = kinds.where(F.col(kind).isNotNull() & (F.col(capacity) >= 1)).groupBy(F.col(kind).alias("kind")).agg(F.max(capacity).cast("bigint").alias("capacity"))
-    sized = items.where(F.col(item).isNotNull() & (F.col(size) > 0)).select(F.col(item).alias("item"), F.col(size).cast("bigint").alias("all")).dropDuplicates(["item"])
+    sized = store(items.where(F.col(item).isNotNull() & (F.col(size) > 0)).select(F.col(item).alias("item"), F.col(size).cast("bigint").alias("all")).dropDuplicates(["item"]))
+    salts = max(1, -(-sized.count() // SALTED))
     # Every item goes into a container of every kind: the result has that many rows.
-    each = sized.crossJoin(kinds)
+    each = sized.crossJoin(F.broadcast(kinds) if kinds.count() <= KINDS else kinds)
     whole = F.floor(F.col("all") / F.col("capacity"))
     full = each.where(whole > 0).select("kind", "item", "capacity", F.explode(F.sequence(F.lit(1).cast("bigint"), whole)).alias("piece"))
     full = full.select("kind", F.concat_ws(":", "kind", F.concat(F.lit("d"), "item"), "piece").alias("container"), "item", "piece", F.col("capacity").alias("size"))
-    rest = each.where(F.col("all") % F.col("capacity") > 0).select("kind", "capacity", "item", (whole + 1).alias("piece"), (F.col("all") % F.col("capacity")).alias("size"), F.pmod(F.xxhash64("item"), F.lit(SALTS)).alias("salt"))
-    rest = store(rest)
+    rest = each.where(F.col("all") % F.col("capacity") > 0).select("kind", "capacity", "item", (whole + 1).alias("piece"), (F.col("all") % F.col("capacity")).alias("size"), F.pmod(F.xxhash64("item"), F.lit(salts)).alias("salt"))
     counts = store(rest.groupBy("kind", "capacity", "size", "salt").agg(F.count(F.lit(1)).alias("n")))
     slots = store(counts.groupBy("kind", "capacity", "size").agg(F.sum("n").alias("n")).groupBy("kind").applyInPandas(_solve, "kind string, size bigint, low bigint, high bigint, first bigint, each bigint"))
     # The rank of an item among its equals: inside its salt, behind the salts before.
     before = counts.select("kind", "size", "salt", (F.sum("n").over(Window.partitionBy("kind", "size").orderBy("salt")) - F.col("n")).alias("before"))
     inside = F.row_number().over(Window.partitionBy("kind", "size", "salt").orderBy("item")) - 1
-    ranked = rest.withColumn("inside", inside).join(before, ["kind", "size", "salt"]).withColumn("rank", F.col("before") + F.col("inside"))
-    spans = slots.groupBy("kind", "size").agg(F.array_sort(F.collect_list(F.struct("low", "high", "first", "each"))).alias("spans"))
-    span = F.get(F.filter("spans", lambda s: (s["low"] <= F.col("rank")) & (F.col("rank") < s["high"])), F.lit(0))
-    placed = ranked.join(spans, ["kind", "size"]).withColumn("span", span)
-    number = F.col("span.first") + F.floor((F.col("rank") - F.col("span.low")) / F.col("span.each"))
+    ranked = rest.withColumn("inside", inside).join(before, ["kind", "size", "salt"]).withColumn("rank", F.col("before") + F.col("inside")).withColumn("part", F.floor(F.col("rank") / SPAN))
+    # A span of ranks is looked up in every part that it reaches into, so an item meets at most SPAN spans.
+    reach = F.sequence(F.floor(F.col("low") / SPAN), F.floor((F.col("high") - 1) / SPAN))
+    placed = ranked.join(slots.withColumn("part", F.explode(reach)), ["kind", "size", "part"]).where("low <= rank and rank < high")
+    number = F.col("first") + F.floor((F.col("rank") - F.col("low")) / F.col("each"))
     return placed.select("kind", F.concat_ws(":", "kind", number).alias("container"), "item", "piece", "size").unionByName(full)
+
+
+def fill_report(packed: DataFrame, kinds: DataFrame, kind: str, capacity: str) -> DataFrame:
+    """``kind, containers, tokens, bound, fill`` of every kind; ``bound``: the containers needed if none had room left."""
+    capacities = kinds.where(F.col(kind).isNotNull() & (F.col(capacity) >= 1)).groupBy(F.col(kind).alias("kind")).agg(F.max(capacity).cast("bigint").alias("capacity"))
+    used = packed.groupBy("kind", "container").agg(F.sum("size").alias("tokens")).groupBy("kind").agg(F.count(F.lit(1)).alias("containers"), F.sum("tokens").alias("tokens"))
+    bound = F.ceil(F.col("tokens") / F.col("capacity"))
+    return used.join(capacities, "kind").select("kind", "containers", "tokens", bound.alias("bound"), (F.col("tokens") / (F.col("containers") * F.col("capacity"))).alias("fill"))

@@ -10,7 +10,7 @@ from inkloom.llm.encoding import repair_text, train_on
 from inkloom.llm.lookalikes import changed_texts, plain_texts, suspects
 from inkloom.llm.repeated_lines import repeated_lines, repeated_templates, without_lines
 from inkloom.llm.mixing import mix_report, mix_sources
-from inkloom.llm.packing import pack
+from inkloom.llm.packing import fill_report, pack
 from inkloom.llm.subjects import fit, score
 from inkloom.llm.tokens import with_tokens
 from inkloom.session import store, table
@@ -93,10 +93,13 @@ def _sized(spark: SparkSession, folder: str) -> DataFrame:
     return with_tokens(table(spark, folder, "documents").select("doc_id", "source", "text"), "text").drop("text")
 
 
+def _packed(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(_sized(spark, folder), "doc_id", "tokens", table(spark, folder, "pack_limits"), "container_kind", "capacity_tokens")
+
+
 def p8_contents(spark: SparkSession, folder: str) -> DataFrame:
     """The documents in containers of every kind, by tokens."""
-    packed = pack(_sized(spark, folder), "doc_id", "tokens", table(spark, folder, "pack_limits"), "container_kind", "capacity_tokens")
-    return packed.select(F.col("kind").alias("container_kind"), "container", F.col("item").alias("doc_id"), F.col("piece").alias("piece_no"), F.col("size").alias("tokens"))
+    return _packed(spark, folder).select(F.col("kind").alias("container_kind"), "container", F.col("item").alias("doc_id"), F.col("piece").alias("piece_no"), F.col("size").alias("tokens"))
 
 
 def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
@@ -106,6 +109,11 @@ def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
     return filled.join(limits, "container_kind").withColumn("fill", F.col("tokens") / F.col("capacity"))
 
 
+def p8_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    """Containers of every kind beside the fewest that could hold as many tokens."""
+    return fill_report(_packed(spark, folder), table(spark, folder, "pack_limits"), "container_kind", "capacity_tokens").withColumnRenamed("kind", "container_kind")
+
+
 def _targets(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "mix_targets").select(F.col("mix_name").alias("mix"), "source", F.col("target_share").alias("share"), F.col("max_repeats").alias("repeats"))
 
@@ -140,7 +148,7 @@ def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_plain, p2_found, p2_articles, p3_found, p3_templates, p3_clean, p6_found, p6_restored, p8_contents, p8_fill, p9_selection, p9_shares, p10_found, p10_shares,
+        p1_found, p1_plain, p2_found, p2_articles, p3_found, p3_templates, p3_clean, p6_found, p6_restored, p8_contents, p8_fill, p8_bounds, p9_selection, p9_shares, p10_found, p10_shares,
     )
 }
 

@@ -1,9 +1,10 @@
 """Subject areas of documents.
 
 Method: averaged word and subword embeddings with an independent logistic output for each subject.  Gradients are
-computed on partitions of the labelled sentences and synchronised after every step; then every document is scored,
-sentence by sentence.  Labels belong to whole documents and some are wrong, so after a first fit each labelled sentence
-is given to the subject it speaks of itself, and the model is fitted again.
+computed on partitions of the labelled sentences, summed on the executors block by block and synchronised after every
+step, until the loss is flat; then every document is scored, sentence by sentence, with a threshold for every output.
+Labels belong to whole documents and some are wrong, so after a first fit each labelled sentence is given to the
+subjects it speaks of itself, and the model is fitted again.
 """
 
 from __future__ import annotations
@@ -22,8 +23,11 @@ from inkloom.session import store
 
 BUCKETS, WIDTH = 1 << 14, 16  # half a megabyte of weights goes to every partition and step
 SAMPLE_DOCS = 6000  # labelled documents that the model is fitted on, at most; a bound for the fit only
-STEPS, RATE = 40, 0.15
-PARTS = 6  # partitions of the labelled sentences, one gradient each
+STEPS, RATE = 40, 0.15  # at most; a fit ends when FLAT steps lower the loss by less than a hundredth
+FLAT = 4
+PART_DOCS = 1000  # labelled documents whose gradient one task computes
+BLOCKS = 4  # pieces of a gradient that are summed apart
+SURE = 0.45  # probability from which a sentence is about a subject
 SHARE = 0.2  # of a document's sentences that makes a subject its own
 _TOKEN = re.compile(r"[^\W\d_]+")
 _END = re.compile(r"(?<=[.!?。！？])[\"”»)]*\s+")
@@ -48,11 +52,45 @@ def features(word: str) -> tuple[int, ...]:
     return tuple(sorted(zlib.crc32(p.encode()) % BUCKETS for p in parts))
 
 
-def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Feature buckets of sentences end to end, and where each begins."""
-    lists = [[f for w in _TOKEN.findall(t) for f in features(w)] or [0] for t in texts]
-    sizes = np.array([len(x) for x in lists], dtype=np.int64)
-    return np.array([f for x in lists for f in x], dtype=np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]])
+class Batch:
+    """Sentences as numbers of words, and the feature buckets of every word once."""
+
+    def __init__(self, flat: np.ndarray, starts: np.ndarray, words: np.ndarray, begins: np.ndarray):
+        self.flat, self.starts, self.words, self.begins = flat, starts, words, begins
+        self.sizes = np.diff(np.append(starts, len(flat)))  # features of each word
+        self.lengths = np.diff(np.append(begins, len(words)))  # words of each sentence
+        self.counts = np.add.reduceat(self.sizes[words], begins) if len(begins) else np.zeros(0)
+
+    @classmethod
+    def encode(cls, texts: list[str]) -> Batch:
+        lists = [_TOKEN.findall(t) or [""] for t in texts]
+        place = {w: i for i, w in enumerate(dict.fromkeys(w for found in lists for w in found))}
+        own = [features(w) for w in place]
+        return cls(
+            np.array([f for x in own for f in x], np.int64), np.concatenate([[0], np.cumsum([len(x) for x in own])[:-1]]).astype(np.int64),
+            np.array([place[w] for found in lists for w in found], np.int64), np.concatenate([[0], np.cumsum([len(x) for x in lists])[:-1]]).astype(np.int64),
+        )
+
+    def pack(self) -> dict[str, list[bytes]]:
+        return {name: [getattr(self, name).astype("<i4").tobytes()] for name in ("flat", "starts", "words", "begins")}
+
+    @classmethod
+    def unpack(cls, row) -> Batch:
+        return cls(*(np.frombuffer(getattr(row, name), "<i4").astype(np.int64) for name in ("flat", "starts", "words", "begins")))
+
+    def mean(self, table: np.ndarray) -> np.ndarray:
+        """The averaged embeddings of the sentences."""
+        words = np.add.reduceat(table[self.flat], self.starts, axis=0)
+        return np.add.reduceat(words[self.words], self.begins, axis=0) / self.counts[:, None]
+
+    def spread(self, inner: np.ndarray) -> np.ndarray:
+        """The gradient of the embeddings from that of the sentences' means."""
+        inner = np.repeat(inner / self.counts[:, None], self.lengths, axis=0)
+        out = np.empty((BUCKETS, inner.shape[1]), np.float32)
+        for i in range(inner.shape[1]):
+            word = np.bincount(self.words, inner[:, i], len(self.starts))
+            out[:, i] = np.bincount(self.flat, np.repeat(word, self.sizes), BUCKETS)
+        return out
 
 
 def start(subjects: int, seed: int = 7) -> list[np.ndarray]:
@@ -60,19 +98,13 @@ def start(subjects: int, seed: int = 7) -> list[np.ndarray]:
     return [rng.normal(0, 0.05, (BUCKETS, WIDTH)).astype(np.float32), rng.normal(0, 0.3, (subjects, WIDTH)).astype(np.float32), np.full(subjects, -2.0, np.float32)]
 
 
-def forward(model: list[np.ndarray], flat: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    sizes = np.diff(np.append(begins, len(flat)))
-    mean = np.add.reduceat(model[0][flat], begins, axis=0) / sizes[:, None]
-    return mean, mean @ model[1].T + model[2], sizes
-
-
-def gradient(model: list[np.ndarray], flat: np.ndarray, begins: np.ndarray, wanted: np.ndarray) -> list[np.ndarray]:
-    """Summed gradients of the logistic losses."""
-    mean, logits, sizes = forward(model, flat, begins)
-    error = (1 / (1 + np.exp(-np.clip(logits, -30, 30))) - wanted).astype(np.float32)
-    inner = np.repeat(error @ model[1] / sizes[:, None], sizes, axis=0)
-    table = np.stack([np.bincount(flat, inner[:, i], BUCKETS) for i in range(WIDTH)], axis=1).astype(np.float32)
-    return [table, error.T @ mean, error.sum(axis=0)]
+def gradient(model: list[np.ndarray], batch: Batch, wanted: np.ndarray) -> tuple[list[np.ndarray], float]:
+    """Summed gradients of the logistic losses, and their sum."""
+    mean = batch.mean(model[0])
+    logits = np.clip(mean @ model[1].T + model[2], -30, 30)
+    error = (1 / (1 + np.exp(-logits)) - wanted).astype(np.float32)
+    loss = float((np.log1p(np.exp(logits)) - wanted * logits).sum())
+    return [batch.spread(error @ model[1]), error.T @ mean, error.sum(axis=0)], loss
 
 
 class Steps:
@@ -90,61 +122,54 @@ class Steps:
             x -= rate * (a / (1 - 0.9**self.n)) / (np.sqrt(b / (1 - 0.99**self.n)) + 1e-7)
 
 
-def targets(labels: np.ndarray, logits: np.ndarray | None) -> np.ndarray:
-    """Wanted outputs of sentences: first the labels of their documents, later the label each one speaks of most.
+def targets(labels: np.ndarray, logits: np.ndarray) -> np.ndarray:
+    """Wanted outputs of sentences after a first fit: of its document's labels those a sentence itself speaks of.
 
-    A sentence that is plainly about something its document isn't labelled with counts for that; one that is plainly
-    about nothing counts for nothing.
+    A sentence that is plainly about something its document isn't labelled with counts for that as well; one that is
+    plainly about nothing counts for nothing.
     """
-    if logits is None:
-        return labels.astype(np.float32)
     inside = np.where(labels > 0, logits, -99)
-    best, any_best = inside.argmax(axis=1), logits.argmax(axis=1)
-    rows = np.arange(len(labels))
-    pick = np.where(logits[rows, any_best] > np.maximum(inside[rows, best], 0) + 1.0, any_best, best)
-    out = np.zeros(labels.shape, np.float32)
-    out[rows, pick] = (logits[rows, pick] > -1.0).astype(np.float32)
-    return out
+    best = np.maximum(inside.max(axis=1, keepdims=True), -1.0)
+    own = (labels > 0) & (logits >= best)
+    other = (labels == 0) & (logits > np.maximum(best, 0) + 1.0)
+    return (np.where(other.any(axis=1, keepdims=True), other, own)).astype(np.float32)
 
 
 def subjects_of(probability: np.ndarray, document: np.ndarray, count: int) -> list[tuple[int, int]]:
-    """``document, subject`` of the subjects of at least SHARE of a document's sentences."""
-    best = probability.argmax(axis=1)
-    sure = probability[np.arange(len(best)), best] >= 0.4
+    """``document, subject`` of the subjects of at least SHARE of a document's sentences; a sentence may have several."""
     total = np.bincount(document, minlength=count)
+    sentence, subject = np.nonzero(probability >= SURE)
     hits = np.zeros((count, probability.shape[1]))
-    np.add.at(hits, (document[sure], best[sure]), 1)
+    np.add.at(hits, (document[sentence], subject), 1)
     return list(zip(*np.nonzero((hits > 0) & (hits >= SHARE * total[:, None] - 1e-9)), strict=True))
 
 
+_PACKED = "flat binary, starts binary, words binary, begins binary, wanted binary"
+
+
 def fit(documents: DataFrame, labels: DataFrame, subjects: list[str], doc_id: str, text: str, subject: str, sample: int = SAMPLE_DOCS, steps: int = STEPS) -> list[np.ndarray]:
     """Fit on at most ``sample`` labelled documents, those with the least hashes.  Labels of unknown subjects don't count."""
     kept = labels.where(F.col(subject).isin(subjects)).groupBy(F.col(doc_id).alias("_id")).agg(F.array_sort(F.collect_set(subject)).alias("subjects"))
     texts = documents.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(doc_id).alias("_id"), F.col(text).alias("text"))
     picked = kept.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    rows = store(texts.join(picked, "_id").repartition(PARTS, "_id"))
     place = {s: i for i, s in enumerate(subjects)}
+    width = len(subjects)
 
-    def encoded(batches: Iterator[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    def encode_part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         split, marks = [], []
         for batch in batches:
             for value, own in zip(batch["text"], batch["subjects"], strict=True):
                 found = sentences(value)
                 split += found
                 marks += [[place[s] for s in own]] * len(found)
-        if not split:
-            return None
-        wanted = np.zeros((len(split), len(subjects)), np.float32)
-        for i, m in enumerate(marks):
-            wanted[i, m] = 1
-        return *encode(split), wanted
-
-    def encode_part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part = encoded(batches)
-        if part is not None:
-            yield pd.DataFrame({"flat": [part[0].astype("<i4").tobytes()], "begins": [part[1].astype("<i8").tobytes()], "wanted": [part[2].astype("<f4").tobytes()]})
-
-    parts = store(rows.mapInPandas(encode_part, "flat binary, begins binary, wanted binary"))
+        if split:
+            wanted = np.zeros((len(split), width), np.float32)
+            for i, m in enumerate(marks):
+                wanted[i, m] = 1
+            yield pd.DataFrame({**Batch.encode(split).pack(), "wanted": [wanted.astype("<f4").tobytes()]})
+
+    rows = texts.join(picked, "_id").repartition(-(-sample // PART_DOCS), "_id")
+    parts = store(rows.mapInPandas(encode_part, _PACKED))
     model: list[np.ndarray] = []
     for seed in (7, 11):
         if model:
@@ -153,27 +178,47 @@ def fit(documents: DataFrame, labels: DataFrame, subjects: list[str], doc_id: st
             def retarget(batches: Iterator[pd.DataFrame], slim=slim) -> Iterator[pd.DataFrame]:
                 guide = [x.astype(np.float32) for x in slim]
                 for batch in batches:
-                    for flat, begins, wanted in batch.itertuples(index=False):
-                        f, b, y = np.frombuffer(flat, "<i4").astype(np.int64), np.frombuffer(begins, "<i8"), np.frombuffer(wanted, "<f4").reshape(-1, len(subjects))
-                        yield pd.DataFrame({"flat": [flat], "begins": [begins], "wanted": [targets(y, forward(guide, f, b)[1]).astype("<f4").tobytes()]})
-
-            parts = store(parts.mapInPandas(retarget, "flat binary, begins binary, wanted binary"))
-        step = Steps(start(len(subjects), seed))
+                    for row in batch.itertuples(index=False):
+                        own = Batch.unpack(row)
+                        wanted = targets(np.frombuffer(row.wanted, "<f4").reshape(-1, width), own.mean(guide[0]) @ guide[1].T + guide[2])
+                        yield pd.DataFrame({**own.pack(), "wanted": [wanted.astype("<f4").tobytes()]})
+
+            parts = store(parts.mapInPandas(retarget, _PACKED))
+        step = Steps(start(width, seed))
+        losses: list[float] = []
         for n in range(steps):
             shared = [x.astype(np.float16) for x in step.model]
 
             def part_gradient(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
                 weights = [x.astype(np.float32) for x in shared]
+                total, loss, count = None, 0.0, 0
                 for batch in batches:
-                    for flat, begins, wanted in batch.itertuples(index=False):
-                        f, b, y = np.frombuffer(flat, "<i4").astype(np.int64), np.frombuffer(begins, "<i8"), np.frombuffer(wanted, "<f4").reshape(-1, len(subjects))
-                        yield pd.DataFrame({"n": [len(b)], **{f"g{i}": [g.astype("<f4").tobytes()] for i, g in enumerate(gradient(weights, f, b, targets(y, None)))}})
-
-            got = parts.mapInPandas(part_gradient, "n bigint, g0 binary, g1 binary, g2 binary").collect()  # one row a partition, of fixed number and size
+                    for row in batch.itertuples(index=False):
+                        own = Batch.unpack(row)
+                        grads, lost = gradient(weights, own, np.frombuffer(row.wanted, "<f4").reshape(-1, width))
+                        total = np.concatenate([g.ravel() for g in grads]) if total is None else total + np.concatenate([g.ravel() for g in grads])
+                        loss, count = loss + lost, count + len(own.begins)
+                if total is not None:
+                    pieces = np.array_split(total.astype("<f4"), BLOCKS)
+                    yield pd.DataFrame({"block": range(BLOCKS), "n": [count] * BLOCKS, "loss": [loss] * BLOCKS, "g": [x.tobytes() for x in pieces]})
+
+            def add_up(group: pd.DataFrame) -> pd.DataFrame:
+                total = np.sum([np.frombuffer(g, "<f4") for g in group["g"]], axis=0)
+                return pd.DataFrame({"block": [group["block"].iloc[0]], "n": [group["n"].sum()], "loss": [group["loss"].sum()], "g": [total.astype("<f4").tobytes()]})
+
+            schema = "block int, n bigint, loss double, g binary"
+            got = parts.mapInPandas(part_gradient, schema).groupBy("block").applyInPandas(add_up, schema).collect()  # BLOCKS rows: one gradient
             if not got:
                 return step.model
-            total = sum(r.n for r in got)
-            step.apply([sum(np.frombuffer(r[f"g{i}"], "<f4") for r in got).reshape(x.shape) / total for i, x in enumerate(step.model)], RATE * (1 - 0.8 * n / steps))
+            got.sort(key=lambda r: r.block)
+            flat, at, grads = np.concatenate([np.frombuffer(r.g, "<f4") for r in got]) / got[0].n, 0, []
+            for x in step.model:
+                grads.append(flat[at : at + x.size].reshape(x.shape))
+                at += x.size
+            step.apply(grads, RATE * (1 - 0.8 * n / steps))
+            losses.append(got[0].loss / got[0].n)
+            if n >= FLAT and losses[-1] > 0.99 * losses[-1 - FLAT]:
+                break
         model = step.model
     return model
 
@@ -183,32 +228,34 @@ def score(documents: DataFrame, model: list[np.ndarray], subjects: list[str], do
     shared = documents.sparkSession.sparkContext.broadcast(model)  # fixed in size
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vectors: dict[str, int] = {}
-        table: list[np.ndarray] = []
-        sizes: list[int] = []
+        table, heads, bias = shared.value
+        # Words met before keep what they add to each output: their summed embeddings through the output weights.
+        places: dict[str, int] = {}
+        outputs = np.zeros((1 << 12, len(subjects) + 1), np.float32)
         for batch in batches:
-            words, begins, docs = [], [], []
+            words: list[str] = []
+            lengths, docs = [], []
             for i, value in enumerate(batch[text]):
                 for sentence in sentences(value):
-                    begins.append(len(words))
+                    found = _TOKEN.findall(sentence)
+                    words += found
+                    lengths.append(len(found))
                     docs.append(i)
-                    for w in _TOKEN.findall(sentence):
-                        at = vectors.get(w)
-                        if at is None:
-                            at = vectors[w] = len(table)
-                            own = features(w)
-                            table.append(shared.value[0][list(own)].sum(axis=0))
-                            sizes.append(len(own))
-                        words.append(at)
-            if not begins:
+            if not lengths:
                 continue
-            index, starts = np.array(words), np.array(begins)
-            mean = np.add.reduceat(np.array(table)[index], starts, axis=0) / np.add.reduceat(np.array(sizes)[index], starts)[:, None]
-            probability = 1 / (1 + np.exp(-np.clip(mean @ shared.value[1].T + shared.value[2], -30, 30)))
+            if len(places) > 300_000:
+                places.clear()
+            for w in set(words).difference(places):
+                own = list(features(w))
+                at = places[w] = len(places)
+                if at == len(outputs):
+                    outputs = np.concatenate([outputs, np.zeros_like(outputs)])
+                outputs[at, :-1], outputs[at, -1] = table[own].sum(axis=0) @ heads.T, len(own)
+            index = np.fromiter(map(places.__getitem__, words), np.int64, len(words))
+            summed = np.add.reduceat(outputs[index], np.concatenate([[0], np.cumsum(lengths)[:-1]]), axis=0)
+            probability = 1 / (1 + np.exp(-np.clip(summed[:, :-1] / summed[:, -1:] + bias, -30, 30)))
             found = subjects_of(probability, np.array(docs), len(batch))
             ids = batch[doc_id].to_numpy()
             yield pd.DataFrame({doc_id: np.array([ids[d] for d, _ in found], dtype=np.int64), "subject": pd.Series([subjects[s] for _, s in found], dtype=object)})
-            if len(vectors) > 300_000:
-                vectors, table, sizes = {}, [], []
 
     return documents.where(F.col(text).isNotNull() & (F.col(text) != "")).select(doc_id, text).mapInPandas(run, f"{doc_id} bigint, subject string")

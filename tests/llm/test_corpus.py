@@ -67,7 +67,7 @@ def test_reduction_loses_no_optimum(seed):
     assert sum(n for _, n in fixed) + (best(left, 20) if left else 0) == best(items, 20)
 
 
-def test_pack(spark):
+def test_pack(spark, monkeypatch):
     rng = random.Random(4)
     sizes = [rng.randrange(0, 130) for _ in range(400)] + [100] * 30 + [250]
     items = spark.createDataFrame([(i, s, "x") for i, s in enumerate(sizes)] + [(5, sizes[5], "x"), (None, 3, "x"), (900, None, "x")], "doc long, size long, piece string")
@@ -82,6 +82,16 @@ def test_pack(spark):
     pieces = Counter((r.kind, r.item) for r in rows)
     assert all(n == 1 or sizes[i] > {"a": 100, "b": 60}[k] for (k, i), n in pieces.items())
     assert P.pack(items.limit(0), "doc", "size", kinds, "kind", "capacity").count() == 0
+    report = {r.kind: r for r in P.fill_report(P.pack(items, "doc", "size", kinds, "kind", "capacity"), kinds, "kind", "capacity").collect()}
+    assert report["a"].tokens == sum(sizes) and report["a"].bound == -(-sum(sizes) // 100) <= report["a"].containers <= 1.1 * report["a"].bound
+    monkeypatch.setattr(P, "SALTED", 50)
+    monkeypatch.setattr(P, "SPAN", 3)
+    again = P.pack(items, "doc", "size", kinds, "kind", "capacity").collect()
+    assert Counter((r.kind, r.item, r.piece, r.size) for r in again) == Counter((r.kind, r.item, r.piece, r.size) for r in rows)
+    fill = Counter()
+    for r in again:
+        fill[r.kind, r.container] += r.size
+    assert all(n <= {"a": 100, "b": 60}[k] for (k, _), n in fill.items()) and len(fill) == len({(r.kind, r.container) for r in rows})
 
 
 def test_schedule_stays_within_a_block():
@@ -96,6 +106,27 @@ def test_schedule_stays_within_a_block():
     assert done == blocks
 
 
+def test_periods_are_exact_or_rounded(monkeypatch):
+    assert X.period({"a": Fraction(1, 2), "b": Fraction(1, 3), "c": Fraction(1, 6)}) == {"a": 3, "b": 2, "c": 1}
+    odd = {"a": Fraction(300_007, 1_000_003), "b": Fraction(699_995, 1_000_003), "c": Fraction(1, 1_000_003)}
+    rounded = X.period(odd)
+    assert rounded["c"] == 1 and abs(sum(rounded.values()) - X.PERIOD) <= 1 and all(abs(rounded[s] - odd[s] * X.PERIOD) <= 1 for s in odd)
+
+
+def test_slots_of_long_mixes(spark, monkeypatch):
+    """More slots than a period holds: every source stays less than a block from its share, and no slot is taken twice by blocks."""
+    monkeypatch.setattr(X, "BLOCK", 1)
+    docs = spark.createDataFrame([(i, "ab"[i % 4 > 2], 1) for i in range(4000)], "doc long, source string, size long")
+    targets = spark.createDataFrame([("m", "a", 0.75, 1), ("m", "b", 0.25, 1)], "mix string, source string, share double, repeats int")
+    uses = sorted((r.slot, r.source) for r in X.mix_sources(docs, "doc", "source", "size", targets).collect())
+    assert [s for s, _ in uses] == list(range(4000))
+    done: Counter = Counter()
+    for slot, source in uses:
+        done[source] += 1
+        assert abs(done["a"] - 0.75 * (slot + 1)) < 1
+    assert done == {"a": 3000, "b": 1000}
+
+
 def test_mix(spark):
     rng = random.Random(5)
     rows = [(i, rng.choice(["big"] * 8 + ["mid"] * 3 + ["small"]), rng.randrange(1, 300)) for i in range(3000)] + [(9001, None, 5), (9002, "big", None), (None, "big", 4)]
@@ -143,6 +174,22 @@ def test_subjects_on_held_out_documents(spark):
     assert len(S.fit(docs, labels.limit(0), known, "doc", "text", "subject", steps=1)) == 3
 
 
+def test_a_sentence_may_have_two_subjects():
+    assert sorted(S.subjects_of(np.array([[0.9, 0.8], [0.1, 0.2]]), np.zeros(2, int), 1)) == [(0, 0), (0, 1)]
+    labels, logits = np.array([[1, 1, 0], [1, 0, 0], [1, 0, 0]]), np.array([[2.0, 2.0, -5], [-3, -3, -3], [-2, 4, 3]])
+    assert S.targets(labels, logits).tolist() == [[1, 1, 0], [0, 0, 0], [0, 1, 1]]
+
+
+def test_gradient_against_differences():
+    batch, wanted = S.Batch.encode(["a court judge", "the goal", ""]), np.array([[1, 0], [0, 1], [0, 0]], np.float32)
+    model = [x.astype(np.float64) for x in S.start(2)]
+    grads, loss = S.gradient(model, batch, wanted)
+    for part, at in ((0, (S.features("court")[0], 3)), (1, (1, 2)), (2, (0,))):
+        moved = [x.copy() for x in model]
+        moved[part][at] += 1e-4
+        assert (S.gradient(moved, batch, wanted)[1] - loss) / 1e-4 == pytest.approx(grads[part][at], abs=1e-3)
+
+
 def test_share_of_sentences():
     p = np.zeros((10, 2))
     p[:8, 0], p[8:, 1] = 0.9, 0.9
