@@ -8,12 +8,18 @@ words are rebuilt and put back in place.  Distinct words are worked on once, how
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from inkloom.session import cut, store
+from inkloom.session import store
 
 # Letters that a reader can't tell apart, by script.  Fixed values.
 LATIN = "AaBCcEeHIiJjKMOoPpSsTXxYyAaEIiKMNOoPpTXYZ"
@@ -21,88 +27,126 @@ OTHER = "АаВСсЕеНІіЈјКМОоРрЅѕТХхУуΑαΕΙιΚΜΝΟο
 # Look-alikes that only go one way: into Cyrillic words.  Fixed values.
 TO_CYRILLIC = {"k": "к", "m": "м", "t": "т", "N": "И", "Z": "З", "Α": "А", "Β": "В", "Ε": "Е", "Η": "Н", "Ι": "І", "Κ": "К", "Μ": "М", "Ο": "О", "Ρ": "Р", "Τ": "Т", "Χ": "Х", "Υ": "У", "ο": "о", "α": "а", "ρ": "р", "χ": "х", "γ": "у"}
 TO_LATIN = {"Β": "B", "Η": "H", "Χ": "X", "Υ": "Y", "Ζ": "Z", "ν": "v", "γ": "y", "χ": "x", "κ": "k", "τ": "t", "ε": "e", "һ": "h", "Һ": "H", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l", "к": "k", "т": "t", "м": "m", "г": "r", "п": "n", "ь": "b", "З": "3"}
-SPACES = r"\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}"
+# Characters that aren't seen.  Fixed values.
 _UNSEEN = [0xAD, 0x34F, 0x61C, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180E, 0x200B, 0x200C, 0x200E, 0x200F, *range(0x202A, 0x202F), *range(0x2060, 0x2065), *range(0x2066, 0x2070), 0xFEFF]
-INVISIBLE = "".join(rf"\x{{{c:X}}}" for c in _UNSEEN)
-_EMOJI = r"\x{1F000}-\x{1FAFF}\x{2190}-\x{21FF}\x{2600}-\x{27BF}\x{2B00}-\x{2BFF}\x{FE0F}"
-_JOINERS = r"[\x{200D}\x{FE00}-\x{FE0F}]"
-_FULL = r"\x{FF10}-\x{FF19}\x{FF21}-\x{FF3A}\x{FF41}-\x{FF5A}\x{FF66}-\x{FF9F}"
-_COMPAT = r"\x{FB00}-\x{FB06}\x{212A}\x{212B}\x{2126}\x{F900}-\x{FAD9}\x{1D400}-\x{1D7FF}\x{2010}\x{2011}\x{0132}\x{0133}\x{01C4}-\x{01CC}\x{01F1}-\x{01F3}\x{1F71}-\x{1FFD}"
-# Ranges, as scripts by name are looked up letter by letter.
-_LAT, _CYR, _GRE = r"A-Za-z\xAA\xBA\xC0-\xD6\xD8-\xF6\xF8-\x{24F}\x{1E00}-\x{1EFF}", r"\x{400}-\x{52F}", r"\x{370}-\x{373}\x{376}-\x{37D}\x{37F}-\x{3FF}\x{1F00}-\x{1FFF}"
-_CG = _CYR + _GRE
-# Anything that may not be plain; the rest of the work decides.  Plain ASCII and runs of plain Cyrillic are passed over
-# before the long class is looked at.
-_ODD = rf"[{SPACES}{INVISIBLE}\x{{300}}-\x{{34E}}\x{{350}}-\x{{36F}}\x{{1AB0}}-\x{{1AFF}}\x{{1DC0}}-\x{{1DFF}}\x{{3099}}\x{{309A}}{_FULL}{_COMPAT}]"
-TRIGGER = (
-    rf"(?=[^\x00-\x7F])(?![а-яё](?:[а-яё]|[\x00-\x40]))(?:{_ODD}|(?<![{_EMOJI}]){_JOINERS}|[{_CYR}][{_LAT}{_GRE}]|[{_GRE}][{_LAT}{_CYR}]|[{_LAT}][{_CG}])"
-    rf"|[A-Za-z](?=[^\x00-\x7F])[{_CG}]"
-)
-_AMBIGUOUS = "".join(sorted(set(OTHER) - set(LATIN)))
-_LONE = rf"[{_AMBIGUOUS}]"
-_TELLING = rf"[{_CG}&&[^{_AMBIGUOUS}]]"
-_BREAK = r"[\x00-\x20]+"
-
-
-def alone(text: Column) -> Column:
-    """Whether letters of another script stand in a text without any letter that only that script has."""
-    return text.rlike(rf"[{_CG}]") & text.rlike(_LONE) & ~text.rlike(_TELLING)
-
-
-def _tables(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """``(ch, parts)``, ``(ch, cls)`` of non-zero classes, ``(base, mark, whole)``, ``(ch, script, plain)``."""
-    parts, classes, pairs = [], [], []
+_EMOJI = ((0x1F000, 0x1FAFF), (0x2190, 0x21FF), (0x2600, 0x27BF), (0x2B00, 0x2BFF), (0xFE0F, 0xFE0F))
+_JOINERS = ((0x200D, 0x200D), (0xFE00, 0xFE0F))
+# Letters of three scripts that have doubles in each other.
+_LAT = ((0x41, 0x5A), (0x61, 0x7A), (0xAA, 0xAA), (0xBA, 0xBA), (0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x24F), (0x1E00, 0x1EFF))
+_CYR = ((0x400, 0x52F),)
+_GRE = ((0x370, 0x373), (0x376, 0x37D), (0x37F, 0x3FF), (0x1F00, 0x1FFF))
+_SHAPES = ("wide", "narrow", "font", "initial", "medial", "final", "isolated")  # kinds of decompositions that change the shape only
+_BREAK = re.compile(r"[\x00-\x20]+")
+
+
+def _java(*ranges: tuple[int, int]) -> str:
+    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges)
+
+
+def _python(ranges: Iterable[tuple[int, int]]) -> str:
+    return "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in ranges)
+
+
+@lru_cache(1)
+def parts() -> dict[str, str]:
+    """Every character that is written otherwise, fully decomposed: from the Unicode tables, spaces and invisible ones besides."""
+    out: dict[str, str] = {}
     for code in range(0x80, 0x30000):
         if 0xAC00 <= code < 0xD7A4 or 0xD800 <= code < 0xE000:
             continue
         ch = chr(code)
-        if unicodedata.combining(ch):
-            classes.append((ch, unicodedata.combining(ch)))
-        whole = unicodedata.normalize("NFD", ch)
         given = unicodedata.decomposition(ch)
         kind = given[1 : given.index(">")] if given.startswith("<") else ""
-        letters = unicodedata.category(ch)[0] in "LN"
-        if whole != ch:
-            parts.append((ch, list(whole)))
-            composed = unicodedata.normalize("NFC", whole)
-            if composed == ch and not kind and " " in given:
-                base, mark = given.split(" ")
-                pairs.append((chr(int(base, 16)), chr(int(mark, 16)), ch))
-        elif kind in ("noBreak", "compat") and unicodedata.category(ch) == "Zs" and code != 0x3000 or code == 0x1680:
-            parts.append((ch, [" "]))
-        elif kind in ("wide", "narrow", "font") and letters or 0xFB00 <= code <= 0xFB06 or code in (0x132, 0x133) or 0x1C4 <= code <= 0x1CC or 0x1F1 <= code <= 0x1F3:
-            parts.append((ch, list(unicodedata.normalize("NFKD", ch))))
-    parts += [("‐", ["-"]), ("‑", ["-"])]
-    parts += [(chr(c), []) for c in _UNSEEN]
-    parts = list({ch: (ch, out) for ch, out in parts}.values())
+        category = unicodedata.category(ch)
+        if unicodedata.normalize("NFD", ch) != ch:
+            out[ch] = unicodedata.normalize("NFD", ch)
+        elif kind in ("noBreak", "compat") and category == "Zs" and code != 0x3000 or code == 0x1680:
+            out[ch] = " "
+        elif kind in _SHAPES and category[0] in "LN" or 0xFB00 <= code <= 0xFB06 or code in (0x132, 0x133) or 0x1C4 <= code <= 0x1CC or 0x1F1 <= code <= 0x1F3:
+            out[ch] = unicodedata.normalize("NFKD", ch)
+    return out | {"\u2010": "-", "\u2011": "-"} | {chr(c): "" for c in _UNSEEN}
+
+
+_ODD, _L, _C, _G, _DOUBLE, _JOINER = 1, 2, 4, 8, 16, 32
+
+
+@lru_cache(1)
+def kinds() -> np.ndarray:
+    """Bits of every character, from the same tables: whether it may not be plain by itself, its script, whether it has doubles."""
+    out = np.zeros(0x110000, dtype=np.uint8)
+    single = {c for c, plain in parts().items() if unicodedata.normalize("NFC", plain) != c}
+    single |= {chr(c) for c in range(0x300, 0x30000) if not 0xD800 <= c < 0xE000 and unicodedata.combining(chr(c))}
+    single |= {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}  # letters that Hangul syllables are composed of
+    out[[ord(c) for c in single]] |= _ODD
+    for bit, ranges in ((_L, _LAT), (_C, _CYR), (_G, _GRE), (_JOINER, _JOINERS)):
+        for low, high in ranges:
+            out[low : high + 1] |= bit
+    out[[ord(c) for c in frozenset(OTHER) - frozenset(LATIN)]] |= _DOUBLE
+    return np.where(out & _JOINER, out & ~np.uint8(_ODD), out)
+
+
+_JOINED = re.compile(f"(?<![{_python(_EMOJI)}])[{_python(_JOINERS)}]")
+
+
+def _look(text: str) -> tuple[bool, bool, bool]:
+    """Whether a text has anything that may not be plain, letters of another script with doubles, and such without."""
+    bits = kinds()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+    seen = int(np.bitwise_or.reduce(bits))
+    odd = bool(seen & _ODD) or bool(seen & _JOINER and _JOINED.search(text))
+    if not seen & (_C | _G):
+        return odd, False, False
+    script = bits & (_L | _C | _G)
+    odd = odd or bool(((script[1:] != script[:-1]) & (script[1:] > 0) & (script[:-1] > 0)).any())
+    foreign = bits[bits & (_C | _G) > 0]
+    return odd, bool((foreign & _DOUBLE).any()), bool((foreign & _DOUBLE == 0).any())
+
+
+def odd_words(text: str) -> tuple[bool, list[str]]:
+    """The words of a text, as between ASCII white space, that may not be plainly written; and whether its letters of
+    another script all have doubles, so that none tells that they are meant."""
+    if text.isascii():
+        return False, []
+    odd, double, telling = _look(text)
+    alone = double and not telling
+    if not (odd or alone):
+        return alone, []
+    looked = ((w, _look(w)) for w in set(_BREAK.split(text)) if not w.isascii())
+    return alone, sorted(w for w, (own, doubled, _) in looked if own or alone and doubled)
+
+
+def _tables(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(ch, parts)``, ``(ch, cls)`` of non-zero classes, ``(ch, script, plain)``; their sizes are Unicode's."""
+    classes = [(chr(c), unicodedata.combining(chr(c))) for c in range(0x300, 0x30000) if not 0xD800 <= c < 0xE000 and unicodedata.combining(chr(c))]
     to_latin = {**{o: a for a, o in zip(LATIN, OTHER, strict=True)}, **TO_LATIN}
     to_cyrillic = {**{a: o for a, o in zip(LATIN, OTHER, strict=True) if "Ѐ" <= o < "԰"}, **TO_CYRILLIC}
     alike = [(c, "L", p) for c, p in to_latin.items()] + [(c, "C", p) for c, p in to_cyrillic.items()]
     make = spark.createDataFrame
-    return (
-        make(parts, "ch string, parts array<string>"), make(classes, "mark string, cls int"),
-        make(pairs, "base string, mark string, whole string"), make(alike, "ch string, script string, plain string"),
-    )
+    return make([(c, list(out)) for c, out in parts().items()], "ch string, parts array<string>"), make(classes, "ch string, cls int"), make(alike, "ch string, script string, plain string")
+
+
+@F.pandas_udf(T.StringType())
+def _composed(words: pd.Series) -> pd.Series:
+    return words.map(lambda w: unicodedata.normalize("NFC", w))
 
 
 def plain_words(words: DataFrame) -> DataFrame:
     """``word, alone, plain`` of distinct ``word, alone`` - words as between ASCII white space - whose plain spelling differs."""
-    parts, classes, pairs, alike = _tables(words.sparkSession)
+    parted, classes, alike = _tables(words.sparkSession)
     key = ["word", "alone"]
     at = Window.partitionBy(*key).orderBy("pos")
     chars = words.select(*key, F.posexplode(F.regexp_extract_all("word", F.lit(r"(?s)."), F.lit(0))).alias("pos", "ch"))
-    emoji = lambda c: F.coalesce(c.rlike(f"[{_EMOJI}]"), F.lit(False))
-    joiner = F.col("ch").rlike(_JOINERS)
+    emoji = lambda c: F.coalesce(c.rlike(f"[{_java(*_EMOJI)}]"), F.lit(False))
+    joiner = F.col("ch").rlike(f"[{_java(*_JOINERS)}]")
     kept_joiner = joiner & (emoji(F.col("before")) | (F.col("ch") != "\u200d") & F.col("before").rlike(r"[0-9#*]"))
     chars = chars.withColumn("before", F.lag("ch").over(at)).where(~joiner | F.coalesce(kept_joiner, F.lit(False)))
-    chars = chars.join(F.broadcast(parts), "ch", "left")
+    chars = chars.join(F.broadcast(parted), "ch", "left")
     spelled = chars.select(*key, "pos", F.posexplode(F.coalesce("parts", F.array("ch"))).alias("sub", "ch"))
-    spelled = spelled.join(F.broadcast(classes.withColumnRenamed("mark", "ch")), "ch", "left").withColumn("cls", F.coalesce("cls", F.lit(0)))
+    spelled = spelled.join(F.broadcast(classes), "ch", "left").withColumn("cls", F.coalesce("cls", F.lit(0)))
     # The script of each run of letters: that of the letters which have no double elsewhere, else of most letters.
     order = Window.partitionBy(*key).orderBy("pos", "sub")
     letter = F.col("ch").rlike(r"^[\p{L}\p{M}]$")
     runs = spelled.withColumn("run", F.sum(F.when(letter, 0).otherwise(1)).over(order))
-    is_latin, is_cyrillic, is_greek = F.col("ch").rlike(f"^[{_LAT}]$"), F.col("ch").rlike(f"^[{_CYR}]$"), F.col("ch").rlike(f"^[{_GRE}]$")
+    is_latin, is_cyrillic, is_greek = (F.col("ch").rlike(f"^[{_java(*r)}]$") for r in (_LAT, _CYR, _GRE))
     doubled = F.col("ch").isin(*sorted({*LATIN, *OTHER}))
     in_run = Window.partitionBy(*key, "run")
     count = lambda c: F.sum(F.when(c, 1).otherwise(0)).over(in_run)
@@ -112,42 +156,27 @@ def plain_words(words: DataFrame) -> DataFrame:
     script = F.when((F.col("l") > 0) & (F.col("l") >= F.col("c")) & (F.col("l") >= F.col("g")), "L").when(F.col("c") >= F.col("g"), "C").otherwise("G")
     script = F.when(F.col("alone") & (F.col("c") + F.col("g") > 0) & ((F.col("c") + F.col("g")) < 1000) & (F.col("l") == 0), "L").otherwise(script)
     runs = runs.withColumn("script", script).join(F.broadcast(alike), ["ch", "script"], "left").withColumn("ch", F.coalesce("plain", "ch"))
-    # Marks in order of class behind their base, then base and marks composed, one mark of every base a round.
+    # Marks in order of class behind their base, those of one class as they stood; then all is composed again.
     segment = F.sum(F.when(F.col("cls") == 0, 1).otherwise(0)).over(order)
-    packed = runs.withColumn("seg", segment).groupBy(*key, "seg").agg(F.array_sort(F.collect_list(F.struct("cls", "pos", "sub", "ch"))).alias("all"))
-    state = packed.select(
-        *key, "seg", F.element_at("all", 1)["ch"].alias("base"), F.lit("").alias("done"), F.lit(0).alias("last"),
-        F.transform(F.slice("all", F.lit(2), F.greatest(F.size("all") - 1, F.lit(0))), lambda x: F.struct(x["cls"].alias("cls"), x["ch"].alias("ch"))).alias("rest"),
-    )
-    state = cut(state)
-    rounds = state.agg(F.max(F.size("rest"))).first()[0] or 0
-    for i in range(rounds):
-        first = F.get("rest", F.lit(0))
-        joined = state.withColumn("mark", first["ch"]).join(F.broadcast(pairs), ["base", "mark"], "left")
-        fits = F.col("whole").isNotNull() & ((F.col("done") == "") | (F.col("last") < first["cls"]))
-        state = joined.select(
-            *key, "seg", F.when(fits, F.col("whole")).otherwise(F.col("base")).alias("base"),
-            F.when(fits | F.col("mark").isNull(), F.col("done")).otherwise(F.concat("done", "mark")).alias("done"),
-            F.when(fits | F.col("mark").isNull(), F.col("last")).otherwise(first["cls"]).alias("last"),
-            F.slice("rest", F.lit(2), F.greatest(F.size("rest") - 1, F.lit(0))).alias("rest"),
-        )
-        if i % 6 == 5:
-            state = cut(state)
-    rebuilt = state.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("seg", F.concat("base", "done").alias("out")))).alias("all"))
-    rebuilt = words.select(*key).join(rebuilt, key, "left").select(*key, F.coalesce(F.array_join(F.transform("all", lambda x: x["out"]), ""), F.lit("")).alias("plain"))
+    ordered = runs.withColumn("seg", segment).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("seg", "cls", "pos", "sub", "ch"))).alias("all"))
+    ordered = ordered.select(*key, F.array_join(F.transform("all", lambda x: x["ch"]), "").alias("all"))
+    rebuilt = words.select(*key).join(ordered, key, "left").select(*key, _composed(F.coalesce("all", F.lit(""))).alias("plain"))
     return rebuilt.where("plain <> word")
 
 
-def suspects(values: DataFrame, text: str) -> DataFrame:
-    """The values whose text may be other than plain, with a column ``alone`` that the next steps need."""
-    seen = values.where(F.col(text).rlike(r"[^\x00-\x7F]")).withColumn("alone", alone(F.col(text)))
-    return seen.where(F.col("alone") | F.col(text).rlike(TRIGGER))
+def suspects(values: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """``keep..., text, alone, words`` of the values that may be other than plain: the words in question."""
+    schema = T.StructType([*values.select(*keep, text).schema.fields, T.StructField("alone", T.BooleanType()), T.StructField("words", T.ArrayType(T.StringType()))])
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [odd_words(t) for t in batch[text]]
+            hit = [bool(words) for _, words in found]
+            out = batch.loc[hit].copy()
+            out["alone"], out["words"] = [a for a, w in found if w], [w for _, w in found if w]
+            yield out
 
-def odd_words(suspect: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """``keep..., word, alone``: the words of suspects that may not be plainly written."""
-    split = suspect.select(*keep, "alone", F.explode(F.split(text, _BREAK, -1)).alias("word")).where(F.col("word").rlike(r"[^\x00-\x7F]"))
-    return split.where(F.col("word").rlike(TRIGGER) | F.col("alone") & F.col("word").rlike(_LONE)).distinct()
+    return values.where(F.col(text).isNotNull() & F.col(text).rlike(r"[^\x00-\x7F]")).select(*keep, text).mapInPandas(run, schema)
 
 
 def plain_texts(values: DataFrame, text: str, row_id: list[str]) -> DataFrame:
@@ -158,8 +187,8 @@ def plain_texts(values: DataFrame, text: str, row_id: list[str]) -> DataFrame:
     to the script of their word.  Signs such as ™ № ² ½ and Japanese punctuation stay.  Null and empty texts have no
     other form and yield nothing; equal ``row_id`` with equal text yield one row.
     """
-    suspect = store(suspects(values.select(*row_id, text), text)).distinct()
-    words = odd_words(suspect, text, [*row_id, text])
+    suspect = store(suspects(values, text, row_id)).distinct()
+    words = suspect.select(*row_id, text, "alone", F.explode("words").alias("word"))
     spelled = plain_words(words.select("word", "alone").distinct())
     fixes = words.join(spelled, ["word", "alone"]).groupBy(*row_id, text).agg(F.map_from_entries(F.collect_set(F.struct("word", "plain"))).alias("fix"))
     pieces = F.split(text, r"(?<=[\x00-\x20])(?=[^\x00-\x20])|(?<=[^\x00-\x20])(?=[\x00-\x20])", -1)
@@ -167,7 +196,7 @@ def plain_texts(values: DataFrame, text: str, row_id: list[str]) -> DataFrame:
     return fixes.select(*row_id, plain.alias("plain"))
 
 
-def changed_texts(suspect: DataFrame, text: str, row_id: list[str]) -> DataFrame:
+def changed_texts(suspect: DataFrame, row_id: list[str]) -> DataFrame:
     """``row_id...`` of those suspects that have a word whose plain spelling differs."""
-    words = store(odd_words(suspect, text, row_id))
+    words = suspect.select(*row_id, "alone", F.explode("words").alias("word"))
     return words.join(plain_words(words.select("word", "alone").distinct()), ["word", "alone"], "left_semi").select(*row_id).distinct()

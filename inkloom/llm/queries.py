@@ -46,8 +46,8 @@ def _visible_values(spark: SparkSession, folder: str) -> DataFrame:
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Values with characters that look like, or hide beside, the plain spelling; garbled values aside."""
     values = _visible_values(spark, folder)
-    suspect = store(suspects(values, "value"))
-    changed = changed_texts(suspect, "value", ["field_name", "rec_id"])
+    suspect = store(suspects(values, "value", ["field_name", "rec_id"]))
+    changed = changed_texts(suspect, ["field_name", "rec_id"])
     asked = suspect.join(changed, ["field_name", "rec_id"], "left_semi")
     garbled = repair_text(asked, "value", train_on(table(spark, folder, "mirror_pages"), "markdown"), ["field_name", "rec_id"])
     return changed.join(garbled, ["field_name", "rec_id"], "left_anti")

@@ -10,9 +10,10 @@ subjects it speaks of itself, and the model is fitted again.
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,7 +27,7 @@ SAMPLE_DOCS = 6000  # labelled documents that the model is fitted on, at most; a
 STEPS, RATE = 40, 0.15  # at most; a fit ends when FLAT steps lower the loss by less than a hundredth
 FLAT = 4
 PART_DOCS = 1000  # labelled documents whose gradient one task computes
-BLOCKS = 4  # pieces of a gradient that are summed apart
+BLOCKS = 1  # pieces of a gradient that are summed apart
 SURE = 0.45  # probability from which a sentence is about a subject
 SHARE = 0.2  # of a document's sentences that makes a subject its own
 _TOKEN = re.compile(r"[^\W\d_]+")
@@ -83,16 +84,36 @@ class Batch:
         words = np.add.reduceat(table[self.flat], self.starts, axis=0)
         return np.add.reduceat(words[self.words], self.begins, axis=0) / self.counts[:, None]
 
+    @cached_property
+    def _sorted(self) -> tuple[np.ndarray, ...]:
+        """The sentences of all words in order of words, the words of all features in order of buckets, and where each begins."""
+        order = np.argsort(self.words, kind="stable")
+        sentence = np.repeat(np.arange(len(self.begins)), self.lengths)[order]
+        back = np.argsort(self.flat, kind="stable")
+        word = np.repeat(np.arange(len(self.starts)), self.sizes)[back]
+        buckets, first = np.unique(self.flat[back], return_index=True)
+        return sentence, np.searchsorted(self.words[order], np.arange(len(self.starts))), word, first, buckets
+
     def spread(self, inner: np.ndarray) -> np.ndarray:
         """The gradient of the embeddings from that of the sentences' means."""
-        inner = np.repeat(inner / self.counts[:, None], self.lengths, axis=0)
-        out = np.empty((BUCKETS, inner.shape[1]), np.float32)
-        for i in range(inner.shape[1]):
-            word = np.bincount(self.words, inner[:, i], len(self.starts))
-            out[:, i] = np.bincount(self.flat, np.repeat(word, self.sizes), BUCKETS)
+        sentence, words, word, first, buckets = self._sorted
+        by_word = np.add.reduceat((inner / self.counts[:, None]).astype(np.float32)[sentence], words, axis=0)
+        out = np.zeros((BUCKETS, inner.shape[1]), np.float32)
+        out[buckets] = np.add.reduceat(by_word[word], first, axis=0)
         return out
 
 
+_MET: dict[str, tuple[Batch, np.ndarray]] = {}  # of one worker: parts met in an earlier step, a few of bounded size
+
+
+def _met(row, width: int) -> tuple[Batch, np.ndarray]:
+    if row.part not in _MET:
+        if len(_MET) > 8:
+            _MET.clear()
+        _MET[row.part] = Batch.unpack(row), np.frombuffer(row.wanted, "<f4").reshape(-1, width)
+    return _MET[row.part]
+
+
 def start(subjects: int, seed: int = 7) -> list[np.ndarray]:
     rng = np.random.default_rng(seed)
     return [rng.normal(0, 0.05, (BUCKETS, WIDTH)).astype(np.float32), rng.normal(0, 0.3, (subjects, WIDTH)).astype(np.float32), np.full(subjects, -2.0, np.float32)]
@@ -144,7 +165,7 @@ def subjects_of(probability: np.ndarray, document: np.ndarray, count: int) -> li
     return list(zip(*np.nonzero((hits > 0) & (hits >= SHARE * total[:, None] - 1e-9)), strict=True))
 
 
-_PACKED = "flat binary, starts binary, words binary, begins binary, wanted binary"
+_PACKED = "part string, flat binary, starts binary, words binary, begins binary, wanted binary"
 
 
 def fit(documents: DataFrame, labels: DataFrame, subjects: list[str], doc_id: str, text: str, subject: str, sample: int = SAMPLE_DOCS, steps: int = STEPS) -> list[np.ndarray]:
@@ -166,7 +187,7 @@ def fit(documents: DataFrame, labels: DataFrame, subjects: list[str], doc_id: st
             wanted = np.zeros((len(split), width), np.float32)
             for i, m in enumerate(marks):
                 wanted[i, m] = 1
-            yield pd.DataFrame({**Batch.encode(split).pack(), "wanted": [wanted.astype("<f4").tobytes()]})
+            yield pd.DataFrame({"part": [uuid.uuid4().hex], **Batch.encode(split).pack(), "wanted": [wanted.astype("<f4").tobytes()]})
 
     rows = texts.join(picked, "_id").repartition(-(-sample // PART_DOCS), "_id")
     parts = store(rows.mapInPandas(encode_part, _PACKED))
@@ -179,9 +200,9 @@ def fit(documents: DataFrame, labels: DataFrame, subjects: list[str], doc_id: st
                 guide = [x.astype(np.float32) for x in slim]
                 for batch in batches:
                     for row in batch.itertuples(index=False):
-                        own = Batch.unpack(row)
-                        wanted = targets(np.frombuffer(row.wanted, "<f4").reshape(-1, width), own.mean(guide[0]) @ guide[1].T + guide[2])
-                        yield pd.DataFrame({**own.pack(), "wanted": [wanted.astype("<f4").tobytes()]})
+                        own, labels = _met(row, width)
+                        wanted = targets(labels, own.mean(guide[0]) @ guide[1].T + guide[2])
+                        yield pd.DataFrame({"part": [uuid.uuid4().hex], **own.pack(), "wanted": [wanted.astype("<f4").tobytes()]})
 
             parts = store(parts.mapInPandas(retarget, _PACKED))
         step = Steps(start(width, seed))
@@ -194,9 +215,10 @@ def fit(documents: DataFrame, labels: DataFrame, subjects: list[str], doc_id: st
                 total, loss, count = None, 0.0, 0
                 for batch in batches:
                     for row in batch.itertuples(index=False):
-                        own = Batch.unpack(row)
-                        grads, lost = gradient(weights, own, np.frombuffer(row.wanted, "<f4").reshape(-1, width))
-                        total = np.concatenate([g.ravel() for g in grads]) if total is None else total + np.concatenate([g.ravel() for g in grads])
+                        own, wanted = _met(row, width)
+                        grads, lost = gradient(weights, own, wanted)
+                        flat = np.concatenate([g.ravel() for g in grads])
+                        total = flat if total is None else total + flat
                         loss, count = loss + lost, count + len(own.begins)
                 if total is not None:
                     pieces = np.array_split(total.astype("<f4"), BLOCKS)

@@ -207,3 +207,22 @@ def test_encoding_classifier_on_held_out_words(model):
     got = [model.repair(E.garble(clean, c)) for c in chains]
     assert sum(back == clean for back, _ in got) >= len(chains) - 1 and all(found for _, found in got)
     assert model.repair(clean) == (clean, [])
+
+
+def test_gate_knows_what_the_tables_know():
+    """Every character that is written otherwise by itself passes the gate, in a word of its own and inside one."""
+    for ch, out in L.parts().items():
+        if unicodedata.normalize("NFC", out) != ch and ch not in "‍" and not "︀" <= ch <= "️":
+            assert L.odd_words(f"a {ch}b c")[1] == [f"{ch}b"], hex(ord(ch))
+    assert L.odd_words("plain é Привет 日本語 ™ №") == (False, [])
+
+
+def test_marks_of_many_scripts(spark):
+    """Order of Arabic, Hebrew and Indic marks, Hangul letters, presentation forms, and a word with very many marks."""
+    many = "e" + "\u0323\u0301" * 1500
+    cases = ["\u05d0\u0591\u05b8", "\u0628\u0651\u064e", "\u0915\u093c", "\u1112\u1161\u11ab", "\uffbe\uffc2\uffa4", "\ufefb", "\U0002f800", many, "\u0958"]
+    df = spark.createDataFrame(list(enumerate(cases)), "id int, text string")
+    got = {r.id: r.plain for r in L.plain_texts(df, "text", ["id"]).collect()}
+    assert got[0] == unicodedata.normalize("NFC", cases[0]) != cases[0] and got[1] == unicodedata.normalize("NFC", cases[1]) != cases[1]
+    assert 2 not in got and got[3] == "\ud55c" and got[4] == unicodedata.normalize("NFKC", cases[4]) and got[5] == "\u0644\u0627" and got[6] == "\u4e3d"
+    assert got[7] == unicodedata.normalize("NFC", many) and got[8] == "\u0915\u093c"
