@@ -5,14 +5,14 @@ from __future__ import annotations
 import posixpath
 import re
 import struct
-from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-IMAGE_SUFFIXES = (".png", ".jpg", ".jpeg", ".gif", ".svg", ".webp", ".bmp", ".ico", ".avif")
+# Fixed values.
+IMAGE_SUFFIXES = (".png", ".jpg", ".jpeg", ".gif", ".webp", ".svg", ".bmp", ".tif", ".tiff")
 INLINE_PIXELS = 52
 
 
@@ -43,43 +43,23 @@ def relative_path(target: str, page: str) -> str:
     return posixpath.relpath(target, posixpath.dirname(page) or ".")
 
 
-_LINK = re.compile(r"(!?)\[((?:[^\[\]]|\[[^\]]*\])*)\]\(([^()\s]+)\)")
+def render_image(path: str, alt: str, width: int | None, height: int | None, inline_limit: int | None = INLINE_PIXELS, max_width: int | None = None, sizes: bool = True, html: bool = True) -> str:
+    """A small icon floats inline, anything else is a centred block; sizes are told if they are known, wide images scaled.
 
-
-def rewrite_links(markdown: str, page: str, paths: dict[str, str], canonical: Callable[[str], str] = lambda u: u) -> str:
-    """Links to mirrored pages become relative paths, to the page itself fragments; others stay, and so does code."""
-
-    def change(m: re.Match) -> str:
-        url, _, fragment = m[3].partition("#")
-        path = paths.get(canonical(url)) if url else None
-        if m[1] or path is None:
-            return m[0]
-        mark = f"#{fragment}" if fragment else ""
-        return f"[{m[2]}]({mark if path == page and mark else relative_path(path, page) + mark})"
-
-    pieces = re.split(r"(?ms)(^[ \t]*```.*?^[ \t]*```[^\n]*$)", markdown)
-    return "".join(x if i % 2 else _LINK.sub(change, x) for i, x in enumerate(pieces))
-
-
-def rewrite_column(markdown: Column, page: Column, paths: Column) -> Column:
-    """Rewrite with the page's own map of targets, made by a join; no map of all pages goes to the workers."""
-
-    @F.udf(T.StringType(), useArrow=True)
-    def run(text, at, known):
-        return None if text is None else rewrite_links(text, at, dict(known or {}))
-
-    return run(markdown, page, paths)
-
-
-def render_image(path: str, alt: str, width: int | None, height: int | None, inline_limit: int | None = INLINE_PIXELS) -> str:
-    """A small icon floats inline, anything else is a centred block."""
-    size = f' width="{width}" height="{height}"' if width and height else ""
-    if inline_limit and width and height and max(width, height) <= inline_limit:
-        return f'<image src="{path}" alt="{alt}" float="left"{size}/>'
-    return f'\n\n<image src="{path}" alt="{alt}" align="center"{size}/>\n\n'
-
-
-_TITLED = re.compile(r"(?<=[^a-zа-яё])[a-zа-яё]|^[a-zа-яё]")
+    Without ``html`` it is a Markdown image.
+    """
+    if not html:
+        return f"![{alt}]({path})"
+    known = bool(width and height)
+    icon = known and bool(inline_limit) and max(width, height) <= inline_limit
+    told = ""
+    if known and sizes:
+        scale = 100
+        if max_width and width > max_width:
+            height, scale = max(1, round(height * max_width / width)), max(1, round(100 * max_width / width))
+            width = max_width
+        told = f' crop="0,0,100,100"{"" if icon else f" scale={chr(34)}{scale}{chr(34)}"} width="{width}px" height="{height}px"'
+    return f'<image src="{path}"{told} float="left"/>' if icon else f'\n\n<image src="{path}"{told} float="center"/>\n\n'
 
 
 def humanise(name: str) -> str:
@@ -95,21 +75,12 @@ def humanise_column(name: Column) -> Column:
 
 
 def to_yaml(value: object, depth: int = 0) -> str:
-    """Mappings, lists and scalars; strings are quoted, line feeds escaped."""
+    """Mappings, lists and scalars; strings are quoted, line feeds escaped, anything nested goes on lines of its own."""
     pad = "  " * depth
-    if isinstance(value, dict):
-        return "".join(f"{pad}{k}:{_nested(v, depth)}" for k, v in value.items()) if value else f"{pad}{{}}\n"
-    if isinstance(value, list):
-        out = ""
-        for item in value:
-            body = to_yaml(item, depth + 1) if isinstance(item, (dict, list)) and item else f"{pad}  {_scalar(item)}\n"
-            out += f"{pad}- {body[len(pad) + 2 :]}"
-        return out or f"{pad}[]\n"
-    return f"{pad}{_scalar(value)}\n"
-
-
-def _nested(value: object, depth: int) -> str:
-    return "\n" + to_yaml(value, depth + 1) if isinstance(value, (dict, list)) and value else f" {_scalar(value)}\n"
+    if not isinstance(value, (dict, list)) or not value:
+        return f"{pad}{_scalar(value)}\n"
+    heads = [(f"{pad}{k}:", v) for k, v in value.items()] if isinstance(value, dict) else [(f"{pad}-", v) for v in value]
+    return "".join(f"{head}\n{to_yaml(v, depth + 1)}" if isinstance(v, (dict, list)) else f"{head} {_scalar(v)}\n" for head, v in heads)
 
 
 def _scalar(value: object) -> str:
@@ -144,24 +115,26 @@ def _value(text: str) -> object:
 
 
 def _block(lines: list[tuple[int, str]], at: int, indent: int) -> tuple[object, int]:
-    if lines[at][1] in ("[]", "{}") or not (lines[at][1].startswith("- ") or re.match(r"[^\s\":]+:(?:\s|$)", lines[at][1])):
-        return _value(lines[at][1]), at + 1
-    if lines[at][1].startswith("- "):
-        items = []
-        while at < len(lines) and lines[at][0] == indent and lines[at][1].startswith("- "):
-            rest = lines[at][1][2:]
-            if re.match(r"[^\s\":]+:(?:\s|$)", rest) or rest.startswith("- "):
-                lines[at] = (indent + 2, rest)
-                item, at = _block(lines, at, indent + 2)
-            else:
-                item, at = _value(rest), at + 1
-            items.append(item)
-        return items, at
-    made = {}
-    while at < len(lines) and lines[at][0] == indent and (m := re.match(r"([^\s\":]+):(?:\s+(.*))?$", lines[at][1])):
+    """The value that begins at a line, and the line after it."""
+    made: dict | list | None = None
+    while at < len(lines) and lines[at][0] == indent:
+        text = lines[at][1]
+        entry = re.match(r"([^\s\":]+):(?:\s+(.*))?$", text)
+        if text == "-" or text.startswith("- "):
+            made = [] if made is None else made
+            key, rest = None, text[2:].strip()
+        elif entry:
+            made = {} if made is None else made
+            key, rest = entry[1], entry[2] or ""
+        else:
+            return (_value(text), at + 1) if made is None else (made, at)
         at += 1
-        if m[2] is None and at < len(lines) and lines[at][0] > indent:
-            made[m[1]], at = _block(lines, at, lines[at][0])
+        if rest and key is None and re.match(r"[^\s\":]+:(?:\s|$)", rest):  # a mapping that begins on its item's line
+            lines[at - 1] = (indent + 2, rest)
+            value, at = _block(lines, at - 1, indent + 2)
+        elif not rest and at < len(lines) and lines[at][0] > indent:
+            value, at = _block(lines, at, lines[at][0])
         else:
-            made[m[1]] = _value(m[2] or "")
+            value = _value(rest)
+        made.append(value) if key is None else made.__setitem__(key, value)
     return made, at

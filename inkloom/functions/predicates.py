@@ -13,7 +13,8 @@ from inkloom.functions.urls import HTML_SUFFIXES, url_host, url_path
 # Fixed values.
 SERVICE_ENDS = ("...", "login", "logout", "signin", "sign-in", "auth", "register")
 SERVICE_PARTS = ("_profile", "_settings")
-PLACEHOLDER_NOTE = "Страница ещё не загружена."
+PLACEHOLDER_NOTE = "Раздел ожидает отдельного зеркалирования."
+PLACEHOLDER_SOURCE = "Источник: "
 
 
 def _parts(url: Column | str) -> Column:
@@ -107,8 +108,15 @@ def breadcrumb_path(text: Column) -> Column:
     return F.when(F.contains(line, F.lit(" > ")), F.filter(parts, lambda p: p != ""))
 
 
+def page_title(title: Column | str, text: Column | str) -> Column:
+    """A page's title, else its first title heading; null if both are empty."""
+    heading = F.trim(F.regexp_extract(text, r"(?m)^#[ \t]+([^\n]+)", 1))
+    filled = lambda c: F.when(c != "", c)
+    return F.coalesce(filled(F.trim(title)), filled(heading))
+
+
 def placeholder_body(title: Column, url: Column) -> Column:
-    return F.format_string(f"# %s\n\n{PLACEHOLDER_NOTE}\n\nSource: %s\n", title, url)
+    return F.format_string(f"# %s\n\n{PLACEHOLDER_NOTE}\n\n{PLACEHOLDER_SOURCE}%s\n", title, url)
 
 
 def asset_path(page: Column, source: Column) -> Column:

@@ -6,6 +6,8 @@ characters on which it differs from RFC 3986 path quoting patched before and aft
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -81,24 +83,28 @@ def slugify(value: Column | str) -> Column:
     return F.when(low == "", F.lit("index")).otherwise(low)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression over a value that is worked out once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def markdown_relpath(url: Column | str) -> Column:
     """Path of a page's Markdown file: ``a/b.html`` gives ``a/b.md``, ``a/b`` gives ``a/b/_index.md``."""
-    canonical = canonical_url(url)
-    path = _decode(url_path(canonical))
-    parts = F.filter(F.split(path, "/"), lambda p: p != "")
-    slugs = F.transform(parts, slugify)
-    last = F.element_at(slugs, -1)
-    folder = F.slice(slugs, 1, F.greatest(F.size(slugs) - 1, F.lit(0)))
-    suffix = F.regexp_extract(last, r"[^.](\.[^.]+)$", 1)
-    stem = F.substring(last, F.lit(1), F.length(last) - F.length(suffix))
     page_id = F.regexp_extract(_col(url), r"(?i)[?&]pageid=([^&#]+)", 1)
-    wiki_page = (F.lower(last) == "viewpage.action") & (page_id != "")
-    name = F.when(wiki_page, F.concat(slugify(stem), F.lit("-"), slugify(page_id), F.lit(".md"))).otherwise(F.concat(slugify(stem), F.lit(".md")))
-    return (
-        F.when(F.size(parts) == 0, F.lit("_index.md"))
-        .when(suffix != "", F.array_join(F.concat(folder, F.array(name)), "/"))
-        .otherwise(F.concat(F.array_join(slugs, "/"), F.lit("/_index.md")))
-    )
+
+    def named(last: Column) -> Column:
+        suffix = F.regexp_extract(last, r"[^.](\.[^.]+)$", 1)
+        stem = slugify(F.substring(last, F.lit(1), F.length(last) - F.length(suffix)))
+        wiki_page = (last == "viewpage.action") & (page_id != "")
+        file = F.when(wiki_page, F.concat(stem, F.lit("-"), slugify(page_id), F.lit(".md"))).otherwise(F.concat(stem, F.lit(".md")))
+        return F.when(suffix != "", file).otherwise(F.concat(last, F.lit("/_index.md")))
+
+    def placed(slugs: Column) -> Column:
+        folder = F.slice(slugs, 1, F.greatest(F.size(slugs) - 1, F.lit(0)))
+        return F.when(F.size(slugs) == 0, F.lit("_index.md")).otherwise(F.array_join(F.concat(folder, F.array(let(F.try_element_at(slugs, F.lit(-1)), named))), "/"))
+
+    parts = F.filter(F.split(_decode(url_path(canonical_url(url))), "/"), lambda p: p != "")
+    return let(F.transform(parts, slugify), placed)
 
 
 def short_hash(value: Column | str) -> Column:

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkloom.functions.media import humanise_column
 from inkloom.session import cut
 
+ROOT_TITLE = "Documentation Mirror"  # fixed value
+
 
 def resolve_links(edges: DataFrame, pages: DataFrame) -> DataFrame:
     """``edges`` (``src, dst``) with ``kind``: ``internal`` where ``dst`` is a page's ``url``, ``internal_unresolved`` on
@@ -30,18 +36,54 @@ def sibling_order(pages: DataFrame, parent: str, child: str, order: Column) -> D
     return first.select(parent, child, F.row_number().over(Window.partitionBy(parent).orderBy("o", child)).alias("position"))
 
 
-def sync_report(before: DataFrame, now: DataFrame, key: str, digest: str) -> DataFrame:
-    """Each key with ``added``, ``deleted``, ``changed`` or ``unchanged``; the last of several rows is the greatest digest."""
-    side = lambda df, name: df.where(F.col(digest).isNotNull()).groupBy(key).agg(F.max(digest).alias(name))
-    joined = side(before, "old").join(side(now, "new"), key, "full")
+def sync_report(before: DataFrame, now: DataFrame, key: str | list[str], digest: str, order: tuple[str, ...] = ()) -> DataFrame:
+    """Each key, of one column or several, with ``added``, ``deleted``, ``changed`` or ``unchanged``.
+
+    Rows without a key or a digest (null or empty) don't count.  Of several rows of one key the last by ``order`` holds;
+    where that is a tie, or there is no order, the greatest digest.
+    """
+    last = lambda df: F.max_by(digest, F.struct(*order, digest)) if all(c in df.columns for c in order) else F.max(digest)
+    keys = [key] if isinstance(key, str) else key
+    usable = reduce(lambda a, b: a & b, [F.col(k).isNotNull() & (F.col(k).cast("string") != "") for k in keys]) & (F.col(digest) != "")
+    side = lambda df, name: df.where(usable).groupBy(*keys).agg(last(df).alias(name))
+    joined = side(before, "old").join(side(now, "new"), keys, "full")
     status = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "deleted").when(F.col("old") == F.col("new"), "unchanged").otherwise("changed")
-    return joined.select(key, status.alias("status"))
+    return joined.select(*keys, status.alias("status"))
 
 
-def merge_catalog(before: DataFrame, now: DataFrame, key: str, in_scope: Column) -> DataFrame:
+def merge_catalog(before: DataFrame, now: DataFrame, key: str | list[str], in_scope: Column) -> DataFrame:
     """Rows out of scope stay, rows in scope stay unless this run has their key; this run's rows follow."""
-    keys = now.select(key).distinct()
-    return before.where(~in_scope).unionByName(before.where(in_scope).join(keys, key, "left_anti")).unionByName(now)
+    keys = [key] if isinstance(key, str) else key
+    return before.where(~in_scope).unionByName(before.where(in_scope).join(now.select(*keys).distinct(), keys, "left_anti")).unionByName(now)
+
+
+def link_path_map(structure: DataFrame, pages: DataFrame) -> DataFrame:
+    """``url, path``: a page's own path, else the planned one; placeholders have none of their own, the last row by ``ord`` holds."""
+    last = lambda df, name: df.where((F.col("url") != "") & (F.col("path") != "")).groupBy("url").agg(F.max_by("path", F.struct("ord", "path")).alias(name))
+    both = last(pages.where(~F.coalesce("placeholder", F.lit(False))), "own").join(last(structure, "planned"), "url", "full")
+    return both.select("url", F.coalesce("own", "planned").alias("path"))
+
+
+def missing_pages(wanted: DataFrame, pages: DataFrame) -> DataFrame:
+    """``url``, distinct, of those wanted that no page has which isn't a placeholder."""
+    return wanted.select("url").distinct().join(pages.where(~F.coalesce("placeholder", F.lit(False))).select("url"), "url", "left_anti")
+
+
+def anchor_headings(headings: DataFrame, page: str, anchor: str, heading: str, order: str) -> DataFrame:
+    """``page, anchor, heading``: the heading behind each anchor of a page, the first by place."""
+    return headings.groupBy(page, anchor).agg(F.min_by(heading, F.struct(order, heading)).alias("heading"))
+
+
+def folder_entries(pages: DataFrame) -> DataFrame:
+    """``folder, kind, position, path, title``: what lies in each folder, a row each, so that no folder is one row.
+
+    ``pages``: ``path, title, ord``.  Child folders (kind ``folder``) by name, pages (``page``) by ``ord`` and path.
+    """
+    up = pages.select(F.explode(folder_ancestors(F.col("path"))).alias("folder")).distinct().where("folder <> '.'")
+    children = up.select(parent_folder(F.col("folder")).alias("folder"), F.lit("folder").alias("kind"), F.lit(0).cast("bigint").alias("ord"), F.col("folder").alias("path"), F.lit(None).cast("string").alias("title"))
+    files = pages.select(parent_folder(F.col("path")).alias("folder"), F.lit("page").alias("kind"), F.col("ord").cast("bigint").alias("ord"), "path", "title")
+    place = F.row_number().over(Window.partitionBy("folder", "kind").orderBy("ord", "path"))
+    return children.unionByName(files).select("folder", "kind", place.alias("position"), "path", "title")
 
 
 def folder_ancestors(path: Column) -> Column:
@@ -63,17 +105,18 @@ def minimal_scopes(folders: DataFrame, folder: str) -> DataFrame:
     return distinct.join(covered.select(folder).distinct(), folder, "left_anti")
 
 
-def resolve_collisions(pages: DataFrame, path: str, seq: Column, source_folder: Column, identity: Column, rounds: int = 5) -> DataFrame:
+def resolve_collisions(pages: DataFrame, path: str, seq: Column, source_folder: Column, identity: Column) -> DataFrame:
     """Give every page its own path: the first by ``seq`` keeps it, later ones take their source folder as a prefix, and
-    if that is taken too, a hash.  Rounds repeat until no path is owned twice."""
-    out = pages.withColumn("final_path", F.col(path))
-    for n in range(rounds):
+    if that is taken too, a hash, longer by four digits every round.  Rounds repeat until no path is owned twice; rows of
+    one identity can't be told apart and are one."""
+    out = pages.dropDuplicates().withColumn("final_path", F.col(path)).withColumn("_id", identity).dropDuplicates(["_id", path]).drop("_id")
+    for n in count():
         rank = F.row_number().over(Window.partitionBy("final_path").orderBy(F.col("final_path") != F.col(path), seq))  # natural owners first
         out = out.withColumn("rank", rank)
-        if out.where("rank > 1").isEmpty():
+        if n > 14 or out.where("rank > 1").isEmpty():  # a whole hash is used up
             break
         stem = F.regexp_replace("final_path", r"\.md$", "")
-        prefixed = F.concat(source_folder, F.lit("-"), F.col("final_path")) if n == 0 else F.concat(stem, F.lit("-"), F.substring(F.sha2(identity, 256), 1, 12), F.lit(".md"))
+        prefixed = F.concat(source_folder, F.lit("-"), F.col("final_path")) if n == 0 else F.concat(stem, F.lit("-"), F.substring(F.sha2(identity, 256), 1, 8 + 4 * n), F.lit(".md"))
         out = cut(out.withColumn("final_path", F.when(F.col("rank") > 1, prefixed).otherwise(F.col("final_path"))).drop("rank"))
     return out.drop("rank")
 
@@ -177,10 +220,10 @@ def folder_index(pages: DataFrame) -> DataFrame:
     children = up.where("folder <> '.'").select(parent_folder(F.col("folder")).alias("folder"), F.col("folder").alias("child")).groupBy("folder").agg(F.array_sort(F.collect_list("child")).alias("children"))
     index = F.col("path").rlike(r"(^|/)_index\.md$")
     own = files.groupBy("folder").agg(
-        F.max(F.when(index, F.col("title"))).alias("title"), F.transform(F.array_sort(F.collect_list(F.struct("ord", "path", "title"))), lambda s: F.struct(s["path"].alias("path"), s["title"].alias("title"))).alias("pages"),
+        F.max_by(F.when(index & (F.col("title") != ""), F.col("title")), F.when(index & (F.col("title") != ""), F.col("ord"))).alias("title"), F.transform(F.array_sort(F.collect_list(F.struct("ord", "path", "title"))), lambda s: F.struct(s["path"].alias("path"), s["title"].alias("title"))).alias("pages"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.regexp_extract_all(F.lower("title"), F.lit(r"[a-zа-яё0-9]{3,}"), F.lit(0)))))).alias("keywords"),
     )
-    name = F.initcap(F.regexp_replace(F.element_at(F.split("folder", "/"), -1), "[-_]", " "))
+    name = F.when(F.col("folder") == ".", ROOT_TITLE).otherwise(humanise_column(F.element_at(F.split("folder", "/"), -1)))
     joined = up.join(own, "folder", "left").join(children, "folder", "left")
     return joined.select(F.col("folder").alias("path"), F.coalesce("title", name).alias("title"), F.coalesce("children", F.array().cast("array<string>")).alias("children"), "pages", "keywords")
 

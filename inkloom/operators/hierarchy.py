@@ -13,13 +13,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkloom.session import cut
 
 # End of a chain.
 ROOT, MISSING, EXIT, CYCLE, BELOW = 0, 1, 2, 3, 4
+SMALL = 200_000  # rows that are broadcast, at most
 FAULTS = {MISSING: "detached", CYCLE: "cycle", BELOW: "below_cycle"}
 
 _SOLVED = "id bigint, end_id bigint, steps bigint, kind int, path array<bigint>"
@@ -138,13 +139,19 @@ def solve_forest(edges: DataFrame, fragment_rows: int = 50_000, with_paths: bool
     close together; both only steer the layout.  ``fragment_rows`` bounds a fragment.
     """
     sizes = edges.groupBy("tree").agg(F.count(F.lit(1)).alias("n"))
+    sizes = F.broadcast(sizes) if sizes.count() <= SMALL else sizes
     total = edges.count()
     buckets = max(1, -(-total // fragment_rows))
     # Small trees share fragments whole; larger ones are cut.
     if level == 0:
         piece = F.floor(F.coalesce(F.col("near"), F.col("id")) / max(1, fragment_rows // 2)).cast("bigint")
-        laid = edges.join(sizes, "tree").withColumn(
-            "frag", F.when(F.col("n") <= fragment_rows, F.pmod(F.xxhash64("tree"), F.lit(buckets))).otherwise(F.xxhash64("tree", piece))
+        placed = edges.join(sizes, "tree").withColumn("piece", piece)
+        # Where neighbours' numbers repeat, more nodes than a fragment may hold fall into one piece: it is cut by hash.
+        full = placed.where(F.col("n") > fragment_rows).groupBy("tree", "piece").agg(F.ceil(F.count(F.lit(1)) / fragment_rows).cast("bigint").alias("cuts")).where("cuts > 1")
+        full = F.broadcast(full) if full.count() <= SMALL else full
+        part = F.pmod(F.xxhash64("id"), F.coalesce("cuts", F.lit(1)))
+        laid = placed.join(full, ["tree", "piece"], "left").withColumn(
+            "frag", F.when(F.col("n") <= fragment_rows, F.pmod(F.xxhash64("tree"), F.lit(buckets))).otherwise(F.xxhash64("tree", "piece", part))
         )
     else:
         # Coin flips: a tail goes where its head parent is, so at least a quarter of all links are contracted,
@@ -241,6 +248,23 @@ def descendants(resolved: DataFrame) -> DataFrame:
     return up.where("place < depth").select("ancestor_id", F.col("id").alias("descendant_id"), (F.col("depth") - F.col("place")).cast("bigint").alias("distance"))
 
 
+def preorder(resolved: DataFrame, order: DataFrame) -> DataFrame:
+    """``id, root_id, depth, position`` of every sound node: its place in its tree, children by ``ord``; needs the paths.
+
+    ``order``: ``id, ord``.  A node stands behind its parent and behind the whole subtrees of the siblings before it,
+    so no tree is ordered in one task: sizes of subtrees are counted, summed among siblings, and added up along paths.
+    """
+    sound = resolved.where("fault is null").select("id", "root_id", "depth", "parent", "path")
+    steps = sound.select("id", F.explode("path").alias("up"))
+    sizes = steps.groupBy(F.col("up").alias("id")).agg(F.count(F.lit(1)).alias("size"))
+    among = Window.partitionBy("parent").orderBy("ord", "id").rowsBetween(Window.unboundedPreceding, -1)
+    # Siblings share a parent; roots begin their trees.
+    offset = F.when(F.col("parent").isNull(), F.lit(1)).otherwise(F.coalesce(F.sum("size").over(among), F.lit(0)) + 1).cast("bigint")
+    placed = sound.join(sizes, "id").join(order, "id").select(F.col("id").alias("up"), offset.alias("offset"))
+    position = steps.join(placed, "up").groupBy("id").agg(F.sum("offset").alias("position"))
+    return sound.join(position, "id").select("id", "root_id", "depth", "position")
+
+
 def cycle_paths(resolved: DataFrame, fragment_rows: int = 50_000) -> DataFrame:
     """``id, low, steps, path`` of the nodes on and below cycles; ``resolved`` needs the paths.
 

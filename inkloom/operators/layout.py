@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkloom.session import cut
+from inkloom.operators.hierarchy import resolve_hierarchy
+from inkloom.session import store
 
 
 def nav_parents(pages: DataFrame) -> DataFrame:
@@ -39,25 +40,24 @@ def under_folder(path: Column, folder: Column) -> Column:
     return F.when((folder == "") | F.startswith(path, F.concat(folder, F.lit("/"))), path).otherwise(F.concat(folder, F.lit("/"), name))
 
 
-def parent_first(pages: DataFrame, max_depth: int = 100) -> DataFrame:
+def parent_first(pages: DataFrame) -> DataFrame:
     """``url, path``: parents become index files and children lie below their parent's final folder.
 
-    ``pages``: ``url, parent, path, placeholder``.  One join for each level of the tree, from the roots down; what hangs
-    on a cycle keeps its own path.
+    ``pages``: ``url, parent, path, placeholder``.  The tree is solved first, so levels cost no rounds and may be many;
+    what stands on a cycle or hangs on one keeps its own path.
     """
     has_children = pages.where("parent is not null").select(F.col("parent").alias("url"), F.lit(True).alias("is_parent")).distinct()
     marked = pages.join(has_children, "url", "left")
-    marked = cut(marked.select("url", "parent", F.when(F.coalesce("is_parent", F.lit(False)) | F.coalesce("placeholder", F.lit(False)), index_path(F.col("path"))).otherwise(F.col("path")).alias("path")))
-    known = marked.select(F.col("url").alias("parent"), F.lit(True).alias("known"))
-    level = cut(marked.join(known, "parent", "left").where("known is null").select("url", "path"))
-    done = level
-    for _ in range(max_depth):
-        folders = level.select(F.col("url").alias("parent"), F.regexp_replace("path", r"/?[^/]*$", "").alias("folder"))
-        level = cut(marked.join(folders, "parent").join(done.select("url"), "url", "left_anti").select("url", under_folder(F.col("path"), F.col("folder")).alias("path")))
-        if level.isEmpty():
-            break
-        done = cut(done.unionByName(level))
-    return done.unionByName(marked.join(done.select("url"), "url", "left_anti").select("url", "path"))
+    marked = marked.select("url", "parent", F.when(F.coalesce("is_parent", F.lit(False)) | F.coalesce("placeholder", F.lit(False)), index_path(F.col("path"))).otherwise(F.col("path")).alias("path"))
+    known = marked.select(F.col("url").alias("parent"), F.lit(True).alias("known")).distinct()
+    rows = store(marked.join(known, "parent", "left").select(F.monotonically_increasing_id().alias("no"), "url", F.when(F.col("known"), F.col("parent")).alias("parent"), "path", F.lit("").alias("tree")))
+    solved = resolve_hierarchy(rows, "no", "url", "parent", "tree", "no", with_paths=True)
+    # A page's path follows from those of the pages above it, from the root down.
+    above = solved.select("id", F.posexplode("path").alias("at", "no")).join(rows.select("no", F.col("path").alias("file")), "no")
+    chain = F.transform(F.array_sort(F.collect_list(F.struct("at", "file"))), lambda x: x["file"])
+    placed = F.aggregate(chain, F.lit(""), lambda done, path: F.when(done == "", path).otherwise(under_folder(path, F.regexp_replace(done, r"/?[^/]*$", ""))))
+    final = above.groupBy("id").agg(placed.alias("placed"))
+    return rows.join(final, F.col("no") == F.col("id"), "left").select("url", F.coalesce("placed", "path").alias("path"))
 
 
 def merge_nav_hints(hints: DataFrame) -> DataFrame:

@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from inkloom.functions import predicates as P
 from inkloom.functions import urls as U
 from inkloom.functions.html import parse_column
-from inkloom.functions.markdown import normalize_column, repair_column
-from inkloom.functions.media import rewrite_column
+from inkloom.functions.markdown import collapse_repeats, drop_noise, normalize_column, pass_column, read_lines, repair_column, squeeze_blanks
 from inkloom.operators import catalog as C
-from inkloom.session import table
+from inkloom.operators import hierarchy as H
+from inkloom.operators import rewrite as R
+from inkloom.operators import structure as S
+from inkloom.session import cut, store, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -22,13 +25,20 @@ _PATH = "regexp_replace(regexp_extract({0}, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1),
 _CANON = (
     "(lower(regexp_extract({0}, '^([A-Za-z]+://[^/?#]*)', 1)) || coalesce(nullif(rtrim(url_decode(replace(" + _PATH + ", '+', '%2B')), '/'), ''), '/'))"
 )
-_ROOT = "https://docs.norvaned.example/guides/index.html"
+# White space as Python sees it, for patterns of the SQL.
+_WS = r"[\t\x0b\x0c\r\x1c-\x1f \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_PLAIN = f"regexp_replace(trim(regexp_replace(line, '{_WS}+', ' ', 'g')), '^- ', '* ')"
 
 
 def canon_sql(column: str) -> str:
     return _CANON.format(column)
 
 
+def rel_sql(column: str) -> str:
+    path = f"lower(regexp_extract({column}, '^[a-z]+://[^/]*/?(.*)$', 1))"
+    return f"(case when {path} = '' then '_index.md' when regexp_matches({path}, '\\.(html|htm|xhtml)$') then regexp_replace({path}, '\\.(html|htm|xhtml)$', '.md') else {path} || '/_index.md' end)"
+
+
 def query(sql: str | None = None):
     def register(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[f.__name__] = f
@@ -77,18 +87,31 @@ def md_relpath(spark, folder):
 
 @query("select distinct page_id, coalesce(nullif(trim(title), ''), nullif(trim(regexp_extract(markdown, '(?m)^#[ \\t]+([^\\n]+)', 1)), '')) title from mirror_pages")
 def doc_title(spark, folder):
-    heading = F.trim(F.regexp_extract("markdown", r"(?m)^#[ \t]+([^\n]+)", 1))
-    blank = lambda c: F.when(c != "", c)
-    return _pages(spark, folder, "title", "markdown").select("page_id", F.coalesce(blank(F.trim("title")), blank(heading)).alias("title")).distinct()
+    return _pages(spark, folder, "title", "markdown").select("page_id", P.page_title("title", "markdown").alias("title")).distinct()
+
+
+_P = "regexp_extract(canonical_url, '^[a-z]+://[^/]*(/.*)$', 1)"
+_PARTS = f"list_filter(string_split(lower({_P}), '/'), lambda x: x <> '')"
+_LAST = f"coalesce(list_extract({_PARTS}, -1), '')"
+_SERVICE = f"({_LAST} in ('...', 'login', 'logout', 'signin', 'sign-in', 'auth', 'register') or (len({_PARTS}) = 1 and {_LAST} in ('t', 'tags')) or list_has_any({_PARTS}, ['_profile', '_settings']))"
+_HTML = f"regexp_matches(lower({_P}), '\\.(html|htm|xhtml)$')"
+_CANDIDATE = f"(not regexp_matches(list_extract(string_split({_P}, '/'), -1), '[^.]\\.[^.]+$') or {_HTML})"
+_TAIL = f"list_slice({_PARTS}, coalesce(nullif(list_position({_PARTS}, 'content'), 0), 0) + 1, 1000)"
+_STEM = f"regexp_replace(coalesce(list_extract({_TAIL}, -1), ''), '\\.[^.]+$', '')"
+_SCOPE_ROOT = "https://docs.norvaned.example/guides"
+
 
+@query(f"select distinct canonical_url url, {_HTML} html, {_CANDIDATE} candidate, {_SERVICE} service, regexp_matches({_LAST}, '^main_page\\.x?html?$') main, len({_TAIL}) = 1 or {_STEM} = coalesce(list_extract({_TAIL}, -2), '/') or suffix({_STEM}, '_toc') landing from mirror_pages")
+def url_predicates(spark, folder):
+    """What kind of address each page has."""
+    u = table(spark, folder, "mirror_pages").select(F.col("canonical_url").alias("url")).distinct()
+    return u.select("url", P.is_html("url").alias("html"), P.is_html_candidate("url").alias("candidate"), P.is_service("url").alias("service"), P.is_main_page("url").alias("main"), P.is_section_landing("url").alias("landing"))
 
-@query("select distinct canonical_url url, site_host from mirror_pages where not (regexp_matches(canonical_url, '/(login|logout|signin|sign-in|auth|register|\\.\\.\\.)$') or regexp_matches(canonical_url, '^[a-z]+://[^/]*/(t|tags)$') or regexp_matches(canonical_url, '/(_profile|_settings)(/|$)')) and (starts_with(regexp_extract(canonical_url, '^[a-z]+://[^/]*(/.*)$', 1), '/guides/') or starts_with(regexp_extract(canonical_url, '^[a-z]+://[^/]*(/.*)$', 1), '/install/')) and (not regexp_matches(canonical_url, '\\.[a-z0-9]+$') or regexp_matches(canonical_url, '\\.(html|htm|xhtml)$'))")
+
+@query(f"select distinct canonical_url url, site_host from mirror_pages where not {_SERVICE} and {_CANDIDATE} and starts_with(canonical_url, 'https://docs.norvaned.example/') and (canonical_url = '{_SCOPE_ROOT}' or starts_with(canonical_url, '{_SCOPE_ROOT}/') or starts_with(canonical_url, 'https://docs.norvaned.example/install/'))")
 def url_scope_filter(spark, folder):
     p = table(spark, folder, "mirror_pages").select(F.col("canonical_url").alias("url"), "site_host").distinct()
-    path = U.url_path("url")
-    service = path.rlike(r"(?i)/(login|logout|signin|sign-in|auth|register|\.\.\.)$") | path.rlike(r"(?i)^/(t|tags)$") | path.rlike(r"(?i)/(_profile|_settings)(/|$)")
-    html = ~path.rlike(r"\.[A-Za-z0-9]+$") | path.rlike(r"(?i)\.(html|htm|xhtml)$")
-    return p.where(~service & html & (F.startswith(path, F.lit("/guides/")) | F.startswith(path, F.lit("/install/"))))
+    return p.where(P.is_allowed("url", _SCOPE_ROOT, extra=("https://docs.norvaned.example/install/",)) & P.is_html_candidate("url"))
 
 
 @query(f"select * from {_EDGES_SQL}")
@@ -116,9 +139,9 @@ def path_collisions(spark, folder):
     return p.withColumn("n", F.count(F.lit(1)).over(w)).where("n > 1").select("path", "canonical_url", F.row_number().over(w.orderBy("canonical_url")).cast("bigint").alias("owner_rank"))
 
 
-@query(None)
+@query(f"select canonical_url, path, case when rn = 1 then path else regexp_replace(lower(regexp_extract(canonical_url, '^[a-z]+://([^/]*)', 1)), '[^a-z0-9]+', '-', 'g') || '-' || path end final_path from (select canonical_url, path, row_number() over (partition by path order by canonical_url) rn from {_REL})")
 def path_layout(spark, folder):
-    """Every page with a path of its own; rounds of renaming have no SQL form."""
+    """Every page with a path of its own; the SQL knows the first round only."""
     host = F.regexp_replace(U.url_host("canonical_url"), r"[^a-z0-9]+", "-")
     return C.resolve_collisions(_paths(spark, folder), "path", F.col("canonical_url"), host, F.col("canonical_url"))
 
@@ -126,10 +149,17 @@ def path_layout(spark, folder):
 _FOLDER = "case when contains(path, '/') then regexp_replace(path, '/[^/]*$', '') else '.' end"
 
 
-@query(f"select {_FOLDER} folder, count(*) pages, min(path) first_path, string_agg(path, '|' order by path) paths from (select distinct path from {_REL}) group by 1")
+@query(f"select {_FOLDER} folder, count(*) pages, min(path) first_path from (select distinct path from {_REL}) group by 1")
 def folder_rollup(spark, folder):
-    p = _paths(spark, folder).select("path").distinct().withColumn("folder", C.parent_folder(F.col("path")))
-    return p.groupBy("folder").agg(F.count(F.lit(1)).alias("pages"), F.min("path").alias("first_path"), F.array_join(F.array_sort(F.collect_list("path")), "|").alias("paths"))
+    entries = folder_entries(spark, folder).where("kind = 'page'")
+    return entries.groupBy("folder").agg(F.count(F.lit(1)).alias("pages"), F.min("path").alias("first_path"))
+
+
+@query(f"with p as (select path, max(title) title from (select canonical_url, path from {_REL}) join mirror_pages using (canonical_url) group by 1), a as (select distinct array_to_string(list_slice(string_split(path, '/'), 1, i), '/') up from p, unnest(range(1, len(string_split(path, '/')))) r(i)), e as (select case when contains(up, '/') then regexp_replace(up, '/[^/]*$', '') else '.' end folder, 'folder' kind, up path, null title from a union all select {_FOLDER}, 'page', path, title from p) select folder, kind, row_number() over (partition by folder, kind order by path)::int \"position\", path, title from e")
+def folder_entries(spark, folder):
+    """Child folders and pages of every folder, in order."""
+    titled = table(spark, folder, "mirror_pages").select(U.markdown_relpath("canonical_url").alias("path"), "title")
+    return C.folder_entries(titled.groupBy("path").agg(F.max("title").alias("title")).withColumn("ord", F.lit(0)))
 
 
 @query(f"with p as (select distinct path from {_REL}), s as (select path, string_split(path, '/') parts from p), a as (select path, unnest(range(0, len(parts))) i, parts from s) select case when i = 0 then '.' else array_to_string(parts[1:i], '/') end folder, count(*) pages from a group by 1")
@@ -164,30 +194,152 @@ def content_hash(spark, folder):
     return table(spark, folder, "documents").select("doc_id", U.content_hash("text").alias("content_hash"), U.short_hash("text").alias("short_hash"))
 
 
-def _snapshot(spark, folder, number):
-    s = table(spark, folder, "page_snapshots").where(F.col("snapshot_no") == number).where("content_hash is not null")
-    return s.select(F.col("canonical_url").alias("url"), "content_hash")
+def _versions(spark, folder):
+    """Every snapshot as the later and as the earlier one of its pair: ``pair`` is the later one's number."""
+    rows = table(spark, folder, "page_snapshots").select("snapshot_no", F.col("canonical_url").alias("url"), "content_hash").distinct()
+    numbers = rows.select("snapshot_no").distinct()
+    pairs = numbers.select(F.col("snapshot_no").alias("pair"), F.lag("snapshot_no").over(Window.orderBy("snapshot_no")).alias("earlier")).where("earlier is not null")  # a row for every snapshot taken
+    now = rows.join(pairs.select(F.col("pair").alias("snapshot_no")), "snapshot_no").withColumnRenamed("snapshot_no", "pair")
+    return rows.join(pairs.withColumnRenamed("earlier", "snapshot_no"), "snapshot_no").select("pair", "url", "content_hash"), now.select("pair", "url", "content_hash")
 
 
-_SNAP = "(select canonical_url url, max(content_hash) h from page_snapshots where snapshot_no = {0} and content_hash is not null group by 1)"
+_VERSIONS = "n as (select snapshot_no pair, lag(snapshot_no) over (order by snapshot_no) earlier from (select distinct snapshot_no from page_snapshots)), o as (select distinct pair, canonical_url url, content_hash from page_snapshots join n on snapshot_no = earlier), c as (select distinct pair, canonical_url url, content_hash from page_snapshots join n on snapshot_no = pair where earlier is not null)"
 
 
-@query(f"select coalesce(a.url, b.url) url, case when a.h is null then 'added' when b.h is null then 'deleted' when a.h = b.h then 'unchanged' else 'changed' end status from {_SNAP.format(7)} a full join {_SNAP.format(8)} b on a.url = b.url")
+@query(f"with {_VERSIONS}, a as (select pair, url, max(content_hash) h from o where content_hash is not null group by 1, 2), b as (select pair, url, max(content_hash) h from c where content_hash is not null group by 1, 2) select coalesce(a.pair, b.pair) pair, coalesce(a.url, b.url) url, case when a.h is null then 'added' when b.h is null then 'deleted' when a.h = b.h then 'unchanged' else 'changed' end status from a full join b on a.pair = b.pair and a.url = b.url")
 def sync_report(spark, folder):
-    return C.sync_report(_snapshot(spark, folder, 7), _snapshot(spark, folder, 8), "url", "content_hash")
+    """The change report between every two consecutive catalogs."""
+    before, now = _versions(spark, folder)
+    return C.sync_report(before, now, ["pair", "url"], "content_hash")
 
 
-@query("with o as (select distinct canonical_url url, content_hash from page_snapshots where snapshot_no = 7), n as (select distinct canonical_url url, content_hash from page_snapshots where snapshot_no = 8 and contains(canonical_url, '/guides/')) select * from o where not contains(url, '/guides/') union all select * from o where contains(url, '/guides/') and url not in (select url from n where url is not null) union all select * from n")
+@query(f"with {_VERSIONS}, w as (select * from c where contains(url, '/guides/')) select * from o where not contains(url, '/guides/') union all select * from o where contains(url, '/guides/') and not exists (select 1 from w where w.pair = o.pair and w.url = o.url) union all select * from w")
 def catalog_merge(spark, folder):
-    s = lambda n: table(spark, folder, "page_snapshots").where(F.col("snapshot_no") == n).select(F.col("canonical_url").alias("url"), "content_hash").distinct()
+    """Every catalog merged with what the next one has in one scope."""
+    before, now = _versions(spark, folder)
     scope = F.contains("url", F.lit("/guides/"))
-    return C.merge_catalog(s(7), s(8).where(scope), "url", scope)
+    return C.merge_catalog(before, now.where(scope), ["pair", "url"], scope)
+
+
+# A saved structure, the pages of now and an earlier catalog, as the operators of the layout take them.
+def _structure(spark, folder):
+    n = table(spark, folder, "nav_entries").select("entry_id", "canonical_url", "link_text", "depth", "nav_parent_url", "fetch_url").distinct()
+    titled = F.coalesce("link_text", F.lit("")) != ""
+    return n.select(
+        U.canonical_url("canonical_url").alias("url"), F.col("link_text").alias("title"), "depth", F.when(titled, F.array("link_text")).otherwise(F.array().cast("array<string>")).alias("nav_path"),
+        U.canonical_url("nav_parent_url").alias("parent"), "fetch_url", F.when(F.col("entry_id") % 2 == 0, F.concat(F.lit("nav/"), "entry_id", F.lit(".md"))).alias("path"), F.col("entry_id").alias("ord"),
+    )
+
+
+_ST = f"st as (select {canon_sql('canonical_url')} url, link_text title, depth, case when coalesce(link_text, '') <> '' then [link_text] else [] end nav_path, {canon_sql('nav_parent_url')} parent, fetch_url, case when entry_id % 2 = 0 then 'nav/' || entry_id || '.md' end path, entry_id ord from (select distinct entry_id, canonical_url, link_text, depth, nav_parent_url, fetch_url from nav_entries))"
+
+
+def _now(spark, folder):
+    p = table(spark, folder, "mirror_pages").where("run_no >= 2").groupBy(F.col("canonical_url").alias("url")).agg(
+        F.max("title").alias("title"), F.min("depth").alias("depth"), F.min("parent_url").alias("parent"), F.min("placeholder").alias("placeholder"), F.lit(None).cast("string").alias("markdown")
+    )
+    return p.withColumn("nav_path", F.when(F.col("title") != "", F.array(F.lit("Docs"), F.col("title"))).otherwise(F.array().cast("array<string>")))
+
+
+_PG = "pg as (select *, case when title <> '' then ['Docs', title] else [] end nav_path from (select canonical_url url, max(title) title, min(depth) depth, min(parent_url) parent, bool_and(placeholder) placeholder from mirror_pages where run_no >= 2 group by 1))"
+
+
+def _previous(spark, folder):
+    s = table(spark, folder, "page_snapshots").select("snap_row_id", "snapshot_no", U.canonical_url("canonical_url").alias("url"), "title", "placeholder", "content_hash").distinct()
+    natural = U.markdown_relpath("url")
+    path = F.when(F.col("snapshot_no") % 2 == 0, natural).otherwise(F.concat(F.lit("old/"), natural))
+    return s.select("url", path.alias("path"), F.when(F.col("title").isNotNull() & (F.col("snap_row_id") % 3 == 0), F.array("title")).otherwise(F.array().cast("array<string>")).alias("nav_path"), F.coalesce("placeholder", F.lit(False)).alias("placeholder"), "content_hash", F.col("snap_row_id").alias("ord"))
+
+
+_PV = f"pv as (select url, case when snapshot_no % 2 = 0 then {rel_sql('url')} else 'old/' || {rel_sql('url')} end path, case when title is not null and snap_row_id % 3 = 0 then [title] else [] end nav_path, coalesce(placeholder, false) placeholder, content_hash, snap_row_id ord from (select distinct snap_row_id, snapshot_no, {canon_sql('canonical_url')} url, title, placeholder, content_hash from page_snapshots))"
+_SCOPES = ["guides", "install", "nav", "old/guides"]
+_SCOPES_SQL = "sc as (select unnest(['guides', 'install', 'nav', 'old/guides']) folder)"
+
+
+def _scopes(spark):
+    return spark.createDataFrame([(x,) for x in _SCOPES], "folder string")
+
+
+_ANC = f"{_ST}, {_PG}, up as (select url, arg_max(parent, ord) above from st where url <> '' and parent <> '' group by 1), anc as (select above url from pg join up using (url) where not coalesce(placeholder, false) union select up.above from anc join up using (url))"
+
+
+@query(f"with recursive {_ANC} select url from anc")
+def structure_ancestors(spark, folder):
+    """Everything in the structure above a page."""
+    return S.structure_ancestors(_now(spark, folder), _structure(spark, folder))
+
+
+@query(f"""with recursive {_ANC}, {_PV}, {_SCOPES_SQL},
+    e as (select url, arg_max(struct_pack(d := depth, n := nav_path, p := parent), ord) s, arg_min(struct_pack(t := title, f := fetch_url, p := path), ord) f, min(ord) ord from st where url <> '' and len(nav_path) > 0 group by 1),
+    o as (select e.* from e where url not in (select url from pg) and url not in (select url from pv where not placeholder and url <> '')),
+    m as (select o.*, coalesce(nullif((o.f).p, ''), {rel_sql('o.url')}) path from o),
+    i as (select * from m where url in (select url from anc) or exists (select 1 from sc where path = folder or starts_with(path, folder || '/')))
+    select pg.url, pg.title, case when e.url is not null then coalesce((e.s).d, 0) else pg.depth end depth, case when e.url is not null then (e.s).n else pg.nav_path end nav_path, case when e.url is not null then nullif((e.s).p, '') else pg.parent end parent,
+      coalesce(pg.placeholder, false) placeholder, null markdown, coalesce(e.ord, (select count(*) + 1 from st))::bigint ord from pg left join e using (url)
+    union all select url, coalesce(nullif((f).t, ''), list_extract((s).n, -1)), coalesce((s).d, 0), (s).n, nullif((s).p, ''), true, '# ' || coalesce(nullif((f).t, ''), list_extract((s).n, -1)) || chr(10) || chr(10) || 'Раздел ожидает отдельного зеркалирования.' || chr(10) || chr(10) || 'Источник: ' || coalesce(nullif((f).f, ''), url) || chr(10), ord::bigint from i""")
+def structure_overlay(spark, folder):
+    """Pages placed by the saved structure, and placeholders for what isn't mirrored yet."""
+    return S.overlay(_now(spark, folder), _structure(spark, folder), _previous(spark, folder), _scopes(spark))
+
+
+_REUSE = f"(len(nav_path) > 0 or split_part({rel_sql('url')}, '/', 1) in ('index.md', '_index.md') or lower(split_part(path, '/', 1)) = lower(split_part({rel_sql('url')}, '/', 1)))"
+_PATHS = f"""{_ST}, {_PG}, {_PV},
+    pl as (select url, arg_min(path, ord) path from st where url <> '' and len(nav_path) > 0 and path <> '' group by 1), ea as (select url, arg_max(path, ord) path from pv where {_REUSE} group by 1),
+    wa as (select nav_path above, arg_max(path, ord) path from pv where len(nav_path) > 0 group by 1),
+    cu as (select pg.url, coalesce(pl.path, ea.path, case when wa.path is not null then case when contains(wa.path, '/') then regexp_replace(wa.path, '/[^/]*$', '') || '/' else '' end || case when suffix({rel_sql('pg.url')}, '_index.md') then array_to_string(list_slice(string_split({rel_sql('pg.url')}, '/'), -2, -1), '/') else list_extract(string_split({rel_sql('pg.url')}, '/'), -1) end end, {rel_sql('pg.url')}) path
+      from pg left join pl using (url) left join ea using (url) left join wa on len(pg.nav_path) > 1 and wa.above = list_slice(pg.nav_path, 1, len(pg.nav_path) - 1))"""
+
+
+@query(f"with {_PATHS} select url, path from cu")
+def page_paths(spark, folder):
+    """Where every page goes: by the structure, by the earlier catalog, by its neighbours or by its address."""
+    return S.page_paths(_now(spark, folder), _structure(spark, folder), _previous(spark, folder))
+
+
+@query(f"with {_PATHS}, k as (select url, arg_max(path, ord) path from pv where not placeholder and {_REUSE} group by 1) select url, path from cu union all select url, path from k where url not in (select url from cu)")
+def merged_paths(spark, folder):
+    return S.merge_paths(page_paths(spark, folder), _previous(spark, folder))
 
 
-@query("with o as (select distinct canonical_url url from page_snapshots where snapshot_no = 7), n as (select distinct canonical_url url from page_snapshots where snapshot_no = 8) select o.url, 'gone' reason from o anti join n using (url)")
+@query(f"with {_PATHS} select distinct pv.path from pv join cu using (url) where pv.path <> cu.path")
+def relocated_paths(spark, folder):
+    return S.relocated_paths(_previous(spark, folder), page_paths(spark, folder))
+
+
+@query(f"with {_PATHS}, {_SCOPES_SQL}, u as (select distinct path from pv where url in (select url from cu) and path not in (select path from cu)) select path from u where exists (select 1 from sc where path = folder or starts_with(path, folder || '/')) union select pv.path from pv join cu using (url) where pv.path <> cu.path")
 def stale_paths(spark, folder):
-    s = lambda n: table(spark, folder, "page_snapshots").where(F.col("snapshot_no") == n).select(F.col("canonical_url").alias("url")).distinct()
-    return s(7).join(s(8), "url", "left_anti").select("url", F.lit("gone").alias("reason"))
+    """Files to delete: those of relocated pages, and what no page has any more."""
+    return S.stale_paths(_previous(spark, folder), page_paths(spark, folder), _scopes(spark))
+
+
+@query(f"with {_PATHS}, {_SCOPES_SQL}, h as (select path, max(content_hash) content_hash from pv where content_hash is not null group by 1) select h.* from h where path in (select pv.path from pv join cu using (url)) and exists (select 1 from sc where path = folder or starts_with(path, folder || '/'))")
+def scoped_hashes(spark, folder):
+    previous = _previous(spark, folder)
+    hashes = previous.where("content_hash is not null").groupBy("path").agg(F.max("content_hash").alias("content_hash"))
+    return S.scoped_hashes(hashes, previous, page_paths(spark, folder), _scopes(spark))
+
+
+@query(f"with f as (select distinct folder from (select {_FOLDER} folder from {_REL}) union select '.'), {_SCOPES_SQL} select f.folder from f where exists (select 1 from sc where f.folder = sc.folder or starts_with(f.folder, sc.folder || '/') or f.folder = '.' or starts_with(sc.folder, f.folder || '/'))")
+def folders_to_refresh(spark, folder):
+    folders = _paths(spark, folder).select(C.parent_folder(F.col("path")).alias("folder")).unionByName(spark.createDataFrame([(".",)], "folder string"))
+    return S.folders_to_refresh(folders, _scopes(spark))
+
+
+@query(f"with {_ST}, {_PG}, f as (select url, min(ord) ord from st where url <> '' group by 1) select pg.url, coalesce(f.ord, (select count(*) + 1 from st))::bigint ord from pg left join f using (url)")
+def structure_order(spark, folder):
+    return S.structure_order(_now(spark, folder), _structure(spark, folder)).select("url", "ord")
+
+
+@query("select distinct canonical_url url, case when regexp_matches(canonical_url, '(?i)/content/') and not regexp_matches(lower(canonical_url), '/main_page\\.x?html?$') then regexp_extract(canonical_url, '^(.*?/content)/', 1, 'i') || '/main_page.htm' else canonical_url end root, regexp_replace(lower(regexp_extract(canonical_url, '^[a-z]+://([^/]*)', 1)), '[^a-z0-9._-]+', '-', 'g') folder from mirror_pages")
+def structure_roots(spark, folder):
+    """The help system's main page for every address, and the name of the mirror's folder."""
+    u = table(spark, folder, "mirror_pages").select(F.col("canonical_url").alias("url")).distinct()
+    return u.select("url", S.structure_root("url").alias("root"), S.source_root_name("url").alias("folder"))
+
+
+@query("select arg_min(canonical_url, page_id) url from mirror_pages where starts_with(canonical_url, 'http')")
+def mirror_source(spark, folder):
+    return S.mirror_source(table(spark, folder, "mirror_pages").select(F.col("canonical_url").alias("url"), F.col("page_id").alias("ord")))
 
 
 @query(f"with e as (select * from {_EDGES_SQL}), r as (select distinct canonical_url src from mirror_pages where run_no >= 3) select e.src, count(*) filter (r.src is null) kept, count(*) filter (r.src is not null) renewed from e left join r on e.src = r.src group by 1")
@@ -201,8 +353,8 @@ _NAVC = canon_sql("canonical_url")
 
 @query(f"select distinct {_NAVC} url from nav_entries where placeholder and {_NAVC} not in (select canonical_url from mirror_pages where not placeholder)")
 def placeholder_pages(spark, folder):
-    wanted = table(spark, folder, "nav_entries").where("placeholder").select(U.canonical_url("canonical_url").alias("url")).distinct()
-    return wanted.join(table(spark, folder, "mirror_pages").where("not placeholder").select(F.col("canonical_url").alias("url")), "url", "left_anti")
+    wanted = table(spark, folder, "nav_entries").where("placeholder").select(U.canonical_url("canonical_url").alias("url"))
+    return C.missing_pages(wanted, table(spark, folder, "mirror_pages").select(F.col("canonical_url").alias("url"), "placeholder"))
 
 
 _TREE = "select 'r' || r_regionkey id, null parent, r_name label, r_regionkey ord from region union all select 'n' || n_nationkey, 'r' || n_regionkey, n_name, n_nationkey from nation union all select 'c' || c_custkey, 'n' || c_nationkey, c_name, c_custkey from customer"
@@ -222,31 +374,35 @@ def _tree(spark, folder):
 _WALK = f"with recursive t as ({_TREE}), w as (select id, id root, 0 depth, [ord] way, label path from t where parent is null union all select t.id, w.root, w.depth + 1, list_append(w.way, t.ord), w.path || ' / ' || t.label from t join w on t.parent = w.id) "
 
 
-@query(_WALK + "select id, root, depth::bigint depth, path, row_number() over (partition by root order by way) position from w")
+def _solved(spark, folder):
+    """The tree solved with paths, its nodes numbered: regions, nations, customers."""
+    tree = _tree(spark, folder)
+    base = F.when(F.startswith("id", F.lit("r")), 0).when(F.startswith("id", F.lit("n")), 1).otherwise(2)
+    number = (F.substring("id", 2, 20).cast("bigint") * 3 + base).alias("no")
+    rows = store(tree.select(number, "id", "parent", "ord", F.lit("t").alias("tree")))
+    return rows, cut(H.resolve_hierarchy(rows, "no", "id", "parent", "tree", with_paths=True))
+
+
+@query(_WALK + "select id, root, depth::bigint depth, row_number() over (partition by root order by way) position from w")
 def nav_preorder(spark, folder):
-    _tree(spark, folder).createOrReplaceTempView("nav_tree_nodes")
-    return spark.sql("""
-        with recursive w as (
-          select id, id as root, 0 as depth, array(ord) as way, label as path from nav_tree_nodes where parent is null
-          union all
-          select t.id, w.root, w.depth + 1, concat(w.way, array(t.ord)), concat(w.path, ' / ', t.label) from nav_tree_nodes t join w on t.parent = w.id)
-        select id, root, cast(depth as bigint) as depth, path, cast(row_number() over (partition by root order by way) as bigint) as position from w""")
+    rows, solved = _solved(spark, folder)
+    names = rows.select(F.col("no").alias("root_id"), F.col("id").alias("root"))
+    placed = H.preorder(solved, rows.select(F.col("no").alias("id"), "ord"))
+    return placed.join(names, "root_id").join(rows.select(F.col("no").alias("id"), F.col("id").alias("name")), "id").select(F.col("name").alias("id"), "root", "depth", "position")
 
 
 @query(_WALK + ", a as (select id, id up from t union all select a.id, t.parent from a join t on a.up = t.id where t.parent is not null) select up id, count(*) - 1 descendants from a group by 1")
 def nav_ancestors(spark, folder):
-    _tree(spark, folder).createOrReplaceTempView("nav_tree_nodes")
-    return spark.sql("""
-        with recursive a as (
-          select id, id as up from nav_tree_nodes
-          union all
-          select a.id, t.parent from a join nav_tree_nodes t on a.up = t.id where t.parent is not null)
-        select up as id, count(*) - 1 as descendants from a group by up""")
+    _, solved = _solved(spark, folder)
+    below = H.descendants(solved).groupBy(F.col("ancestor_id").alias("id")).agg(F.count(F.lit(1)).alias("descendants"))
+    return solved.join(below, "id", "left").select(F.col("key").alias("id"), F.coalesce("descendants", F.lit(0)).alias("descendants"))
 
 
 @query(_WALK + "select id, depth::bigint depth from w where root = 'r2'")
 def subtree_select(spark, folder):
-    return nav_preorder(spark, folder).where("root = 'r2'").select("id", "depth")
+    _, solved = _solved(spark, folder)
+    top = solved.where("key = 'r2'").select(F.col("id").alias("up"))
+    return solved.select("key", "depth", F.explode("path").alias("up")).join(top, "up", "left_semi").select(F.col("key").alias("id"), "depth")
 
 
 @query(f"select parent, id, row_number() over (partition by parent order by ord, id) \"position\" from ({_TREE})")
@@ -259,11 +415,11 @@ def children_lists(spark, folder):
     return C.children_lists(_tree(spark, folder), "parent", "id", F.col("ord")).select("parent", F.array_join("children", ",").alias("children"))
 
 
-@query(f"with p as (select distinct canonical_url url, regexp_extract(canonical_url, '^[a-z]+://[^/]*(/.*)$', 1) path from mirror_pages where not placeholder), s as (select {_NAVC} url, max(link_text) label from nav_entries group by 1) select coalesce(p.url, s.url) url, coalesce(p.path, s.label) target from p full join s on p.url = s.url")
+@query(f"with p as (select distinct canonical_url url, regexp_extract(canonical_url, '^[a-z]+://[^/]*(/.*)$', 1) path from mirror_pages where not placeholder), s as (select {_NAVC} url, max(link_text) label from nav_entries where link_text <> '' group by 1) select coalesce(p.url, s.url) url, coalesce(p.path, s.label) target from p full join s on p.url = s.url")
 def path_map_precedence(spark, folder):
-    pages = table(spark, folder, "mirror_pages").where("not placeholder").select(F.col("canonical_url").alias("url"), U.url_path("canonical_url").alias("path")).distinct()
-    planned = table(spark, folder, "nav_entries").groupBy(U.canonical_url("canonical_url").alias("url")).agg(F.max("link_text").alias("label"))
-    return pages.join(planned, "url", "full").select("url", F.coalesce("path", "label").alias("target"))
+    pages = table(spark, folder, "mirror_pages").select(F.col("canonical_url").alias("url"), U.url_path("canonical_url").alias("path"), "placeholder", F.lit(0).alias("ord"))
+    planned = table(spark, folder, "nav_entries").select(U.canonical_url("canonical_url").alias("url"), F.col("link_text").alias("path"), F.lit(0).alias("ord"))
+    return C.link_path_map(planned, pages).select("url", F.col("path").alias("target"))
 
 
 @query("select l_orderkey page, l_returnflag kind, l_partkey source, min(l_linenumber)::bigint first_line from lineitem group by 1, 2, 3")
@@ -286,37 +442,29 @@ def max_pages_cap(spark, folder):
     return p.select("site_host", "page_id", F.when(rank <= 5, "fetch").otherwise("placeholder").alias("action"))
 
 
-# Whole lines that are never content.  Fixed values.
-NOISE = ["* * *", "Account", "Settings", "Logout", "Submit Search", "Filter:", "* Все разделы", "Skip To Main Content"]
-_MORE_NOISE = [*NOISE, "Dark mode", "Search", "Toggle navigation"]
+_NOISE = ["* * *", "Account", "Settings", "Logout", "Submit Search", "Filter:", "* Все разделы", "Skip To Main Content", "Dark mode", "Search", "Toggle navigation"]
 _LINES = "(select page_id, i, string_split(m, chr(10))[i] line from (select page_id, max(markdown) m from mirror_pages where markdown is not null group by 1), unnest(range(1, len(string_split(m, chr(10))) + 1)) r(i))"
-_LIST = ", ".join("'" + x + "'" for x in _MORE_NOISE)
+_LIST = ", ".join("'" + x + "'" for x in _NOISE)
+
 
+def _texts(spark, folder):
+    return table(spark, folder, "mirror_pages").where("markdown is not null").groupBy("page_id").agg(F.max("markdown").alias("m"))
 
-@query(f"select page_id, md5(coalesce(string_agg(line, chr(10) order by i) filter (trim(regexp_replace(line, '\\s+', ' ', 'g')) not in ({_LIST})), '')) digest, count(*) filter (trim(regexp_replace(line, '\\s+', ' ', 'g')) in ({_LIST})) dropped from {_LINES} group by 1")
+
+@query(f"select page_id, md5(coalesce(string_agg(line, chr(10) order by i) filter ({_PLAIN} not in ({_LIST})), '')) digest from {_LINES} group by 1")
 def noise_line_filter(spark, folder):
-    lines = F.split("markdown", "\n", -1)
-    plain = lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))
-    kept = F.filter(lines, lambda x: ~plain(x).isin(_MORE_NOISE))
-    p = table(spark, folder, "mirror_pages").where("markdown is not null").groupBy("page_id").agg(F.max("markdown").alias("markdown"))
-    return p.select("page_id", F.md5(F.array_join(kept, "\n")).alias("digest"), (F.size(lines) - F.size(kept)).cast("bigint").alias("dropped"))
+    return _texts(spark, folder).select("page_id", F.md5(pass_column(F.col("m"), lambda lines: drop_noise(lines, _NOISE))).alias("digest"))
 
 
-@query(f"with n as (select page_id, i, line, trim(regexp_replace(line, '\\s+', ' ', 'g')) t from {_LINES}), k as (select *, coalesce(t <> '' and t = lag(t) over (partition by page_id order by i), false) again from n) select page_id, md5(string_agg(line, chr(10) order by i) filter (not again)) digest, count(*) filter (again) dropped from k group by 1")
+@query(f"with n as (select page_id, i, line, {_PLAIN} t from {_LINES}), k as (select *, coalesce(t <> '' and t = lag(t) over (partition by page_id order by i), false) again from n) select page_id, md5(string_agg(line, chr(10) order by i) filter (not again)) digest from k group by 1")
 def repeat_line_collapse(spark, folder):
-    plain = lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))
-    p = table(spark, folder, "mirror_pages").where("markdown is not null").groupBy("page_id").agg(F.max("markdown").alias("markdown"))
-    p = p.select("page_id", F.split("markdown", "\n", -1).alias("lines")).withColumn("plain", F.transform("lines", plain))
-    again = lambda x, i: (F.get("plain", i) != "") & F.coalesce(F.get("plain", i) == F.get("plain", i - 1), F.lit(False))
-    kept = F.filter("lines", lambda x, i: ~again(x, i))
-    return p.select("page_id", F.md5(F.array_join(kept, "\n")).alias("digest"), (F.size("lines") - F.size(kept)).cast("bigint").alias("dropped"))
+    return _texts(spark, folder).select("page_id", F.md5(pass_column(F.col("m"), collapse_repeats)).alias("digest"))
 
 
-@query("select page_id, md5(trim(regexp_replace(regexp_replace(m, '[ \\t]+\\n', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), chr(10))) digest from (select page_id, max(markdown) m from mirror_pages where markdown is not null group by 1)")
+@query(f"select page_id, md5(trim(regexp_replace(array_to_string(list_transform(string_split(m, chr(10)), lambda x: regexp_replace(x, '{_WS}+$', '')), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), chr(10))) digest from (select page_id, max(markdown) m from mirror_pages where markdown is not null group by 1)")
 def blank_line_normalise(spark, folder):
-    p = table(spark, folder, "mirror_pages").where("markdown is not null").groupBy("page_id").agg(F.max("markdown").alias("m"))
-    out = F.regexp_replace(F.regexp_replace("m", r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n")
-    return p.select("page_id", F.md5(F.regexp_replace(out, r"^\n+|\n+$", "")).alias("digest"))
+    squeezed = pass_column(F.col("m"), lambda lines: read_lines(squeeze_blanks(x.raw for x in lines)))
+    return _texts(spark, folder).select("page_id", F.md5(F.regexp_replace(squeezed, r"^\n+|\n+$", "")).alias("digest"))
 
 
 _WIDE = "(p_size * 40)"
@@ -360,42 +508,97 @@ def normalize_markdown(spark, folder):
 
 @query(None)
 def mojibake_repair(spark, folder):
-    p = table(spark, folder, "mirror_pages").where("description is not null").select("page_id", "description").distinct()
-    return p.select("page_id", "description", repair_column(F.col("description")).alias("repaired")).where("description <> repaired")
+    """Texts, titles and descriptions with the simple repair, where it changes them."""
+    fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in ("markdown", "title", "description")]))
+    values = table(spark, folder, "mirror_pages").select("page_id", fields.alias("f")).select("page_id", "f.*").where("value is not null").distinct()
+    return values.withColumn("repaired", repair_column(F.col("value"))).where("value <> repaired").select("page_id", "field_name", "repaired")
+
+
+def _as_html():
+    items = F.array_join(F.transform("links_internal", lambda u: F.concat(F.lit("<li><a href='"), u, F.lit("'>"), u, F.lit("</a>"))), "")
+    return F.concat(F.lit("<html><head><title>"), "title", F.lit("</title></head><body><h1 id=top>"), "title", F.lit("</h1><p>"), F.coalesce("description", F.lit("")), F.lit("<ul class=TOC>"), items, F.lit("</ul></body></html>"))
 
 
 @query(None)
 def html_to_markdown(spark, folder):
-    """Titles, texts and links of pages rendered as HTML and parsed again."""
+    """Titles, texts and links of pages rendered as HTML and parsed again; the tables hold no HTML of their own."""
     p = table(spark, folder, "mirror_pages").where("title is not null").select("page_id", "canonical_url", "title", "description", "links_internal").distinct()
-    items = F.array_join(F.transform("links_internal", lambda u: F.concat(F.lit("<li><a href='"), u, F.lit("'>"), u, F.lit("</a>"))), "")
-    html = F.concat(F.lit("<html><head><title>"), "title", F.lit("</title></head><body><h1 id=top>"), "title", F.lit("</h1><p>"), F.coalesce("description", F.lit("")), F.lit("<ul class=TOC>"), items, F.lit("</ul></body></html>"))
-    return p.select("page_id", parse_column(html, F.col("canonical_url")).alias("d")).select("page_id", "d.title", "d.markdown", F.size("d.links").alias("links"), F.size("d.headings").alias("headings"))
+    return p.select("page_id", parse_column(_as_html(), F.col("canonical_url")).alias("d")).select("page_id", "d.title", "d.markdown", F.size("d.links").alias("links"), F.size("d.headings").alias("headings"))
 
 
-@query(None)
+@query("select page_id, len(list_distinct(links_internal))::int links, (coalesce(trim(title), '') <> '')::int headings from (select distinct page_id, title, links_internal from mirror_pages where title is not null)")
+def html_links(spark, folder):
+    """How many distinct links and headings the parser finds in that HTML."""
+    p = table(spark, folder, "mirror_pages").where("title is not null").select("page_id", "canonical_url", "title", F.lit("").alias("description"), "links_internal").distinct()
+    return p.select("page_id", parse_column(_as_html(), F.col("canonical_url")).alias("d")).select("page_id", F.size("d.links").alias("links"), F.size("d.headings").alias("headings")).distinct()
+
+
+@query("select page_id, anchor, arg_min(heading_text, (ordinal, heading_text)) heading from (select page_id, ordinal, heading_text, unnest(anchors) anchor from page_headings) group by 1, 2")
 def heading_anchors(spark, folder):
     """First heading text of every anchor of a page."""
     h = table(spark, folder, "page_headings").select("page_id", "ordinal", "heading_text", F.explode("anchors").alias("anchor"))
-    return h.groupBy("page_id", "anchor").agg(F.min_by("heading_text", F.struct("ordinal", "heading_text")).alias("heading"))
+    return C.anchor_headings(h, "page_id", "anchor", "heading_text", "ordinal")
+
+
+def _linked(spark, folder):
+    """The texts by page, and all of their links with what they lead to."""
+    return table(spark, folder, "mirror_pages").where("markdown is not null").select("page_id", F.col("canonical_url").alias("url"), "markdown").distinct()
+
+
+_FENCED = "'(?ms)^[ \\t]*```.*?(?:^[ \\t]*```[^\\n]*$|\\z)'"
+_TARGETS = (
+    "tx as (select distinct page_id, canonical_url url, markdown from mirror_pages where markdown is not null), "
+    "ta as (select distinct url, trim(t) target from (select url, unnest(regexp_extract_all(markdown, '\\]\\(([^()]+)\\)', 1)) t from tx) where trim(t) <> ''), "
+    "tb as (select url, target, split_part(target, '#', 1) b from ta), "
+    f"tc as (select url, target, case when b = '' then url when regexp_matches(b, '(?i)^https?:') then {canon_sql('b')} when starts_with(b, '/') then {canon_sql(chr(40) + 'regexp_extract(url, ' + chr(39) + '^[a-z]+://[^/]*' + chr(39) + ') || b' + chr(41))} end base from tb)"
+)
+
+
+@query(f"with {_TARGETS} select url, target, base from tc where base is not null")
+def link_targets(spark, folder):
+    """Every distinct target in the text of a page and the address it names, those relative to a folder aside."""
+    pages = _linked(spark, folder).select("url", "markdown")
+    base = F.regexp_replace("target", "#.*$", "")
+    return R.page_targets(pages).where((base == "") | base.rlike(r"(?i)^(https?:|/)")).select("url", "target", "base").distinct()
+
+
+@query(f"with {_TARGETS} select tc.url, tc.target, p.path from tc join {_REL} p on tc.base = p.canonical_url")
+def mirrored_targets(spark, folder):
+    """The targets that are mirrored pages, with the files they are in."""
+    paths = _paths(spark, folder).withColumnRenamed("canonical_url", "base")
+    return link_targets(spark, folder).join(paths, "base").select("url", "target", "path")
 
 
 def _rewritten(spark, folder):
-    pages = table(spark, folder, "mirror_pages").where("markdown is not null").select("page_id", "canonical_url", "markdown", "links_internal").distinct()
-    paths = _paths(spark, folder)
-    # The map of a page holds its own targets only.
-    targets = pages.select("page_id", F.explode("links_internal").alias("link")).distinct().withColumn("canonical_url", U.canonical_url("link")).join(paths, "canonical_url")
-    maps = targets.groupBy("page_id").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct(F.regexp_replace("link", "#.*$", "").alias("k"), F.col("path").alias("v"))))).alias("known"))
-    return pages.join(paths, "canonical_url").join(maps, "page_id", "left").select("page_id", "path", "markdown", rewrite_column(F.col("markdown"), F.col("path"), F.col("known")).alias("rewritten"))
+    headings = table(spark, folder, "page_headings").select("page_id", "heading_text", F.explode("anchors").alias("anchor"))
+    urls = table(spark, folder, "mirror_pages").select("page_id", F.col("canonical_url").alias("url")).distinct()
+    anchors = headings.join(urls, "page_id").select("url", "anchor", F.col("heading_text").alias("heading"))
+    return R.rewrite_links(_linked(spark, folder), _paths(spark, folder).withColumnRenamed("canonical_url", "url"), anchors=anchors)
 
 
 @query(None)
 def link_rewrite(spark, folder):
-    """Every text with its links to mirrored pages made relative."""
+    """Every text with its links to mirrored pages made relative, and its anchors those of headings."""
     return _rewritten(spark, folder).select("page_id", "path", "rewritten")
 
 
 @query(None)
+def link_entries(spark, folder):
+    """The link catalog after rewriting."""
+    return R.link_entries(_rewritten(spark, folder), _paths(spark, folder).withColumnRenamed("canonical_url", "url"))
+
+
+@query(f"with {_TARGETS}, li as (select distinct tc.url, tc.target from tc join {_REL} p on tc.base = p.canonical_url where not starts_with(tc.target, '#')), tf as (select page_id, url, unnest(regexp_extract_all(regexp_replace(markdown, {_FENCED}, '', 'g'), '\\]\\(([^()]+)\\)', 1)) t from tx), ch as (select distinct page_id from tf join li on tf.url = li.url and trim(tf.t) = li.target) select (select count(*) from ch) changed, (select count(*) from tx) - (select count(*) from ch) unchanged, 0::bigint skipped")
 def relink_counts(spark, folder):
-    r = _rewritten(spark, folder)
-    return r.agg(F.count_if(F.col("markdown") != F.col("rewritten")).alias("changed"), F.count_if(F.col("markdown") == F.col("rewritten")).alias("unchanged"))
+    """How many texts rewriting changes; anchors are left as they are."""
+    return R.relink_counts(R.rewrite_links(_linked(spark, folder), _paths(spark, folder).withColumnRenamed("canonical_url", "url")))
+
+
+@query(f"""with k as {_KINDS_SQL}, l as (select count(*) filter (kind = 'internal') links_internal, count(*) filter (kind = 'internal_unresolved') links_internal_unresolved, count(*) filter (kind = 'external') links_external from k)
+    select (select count(distinct canonical_url) from mirror_pages) pages, l.*, (select count(*) from part) assets, (select count(*) from part where p_size > 10) assets_localized, (select count(*) from events where event_type = 'error') errors, (select count(*) from events where event_type is distinct from 'error') warnings from l""")
+def catalog_summary(spark, folder):
+    """The summary row of a catalog; parts and events stand in for assets and issues."""
+    pages = table(spark, folder, "mirror_pages").select("canonical_url").distinct()
+    assets = table(spark, folder, "part").select(F.when(F.col("p_size") > 10, F.col("p_name")).alias("local_path"))
+    issues = table(spark, folder, "events").select(F.col("event_type").alias("severity"))
+    return S.catalog_summary(pages, link_resolve(spark, folder), assets, issues)

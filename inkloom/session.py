@@ -7,6 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 # Plan-wide settings a standalone run wants.  On a cluster the submitter's own settings stand.
@@ -42,11 +43,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named by spark.checkpoint.dir; only where that is unset (local tests) make one."""
+    """Use the folder named by spark.checkpoint.dir; a local session without that setting gets one of its own.
+
+    On a cluster a folder of one machine would hold only what its own executors wrote, so the setting is needed there.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    if not named and not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="inkloom-checkpoint-"))
 
 
@@ -68,6 +74,16 @@ def store(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+    """A Parquet table, or None if nothing was written there yet; a table that can't be read is an error."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as problem:
+        if problem.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the driver tables: ``<folder>/<name>.parquet``, a file or a folder of parts."""
     return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -60,8 +60,10 @@ def crawl_local(spark: SparkSession, root: str, max_depth: int = 3, max_pages: i
     start file the only issue is ``source_missing``.
     """
     scanned = store(scan_html(spark, root))
-    top = [r.path for r in scanned.where(~F.contains("path", F.lit("/"))).select("path").orderBy("path").limit(1000).collect()]
-    first = start or start_file(top)
+    # The choice of start_file over all names at the top, however many: one row comes back.
+    rank = F.when(F.col("path") == "index.html", 0).when(F.col("path") == "index.htm", 1).otherwise(2)
+    best = scanned.where(~F.contains("path", F.lit("/"))).agg(F.min(F.struct(rank.alias("rank"), "path")).alias("first")).first()["first"]
+    first = start or (best["path"] if best else None)
     page_schema = "path string, title string, description string, markdown string, links_internal array<string>, links_external array<string>, depth int, parent string, seq bigint"
     if first is None:
         return spark.createDataFrame([], page_schema), spark.createDataFrame([("error", "source_missing", root, None)], "severity string, kind string, message string, path string")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from inkloom.functions.urls import canonical_url, content_hash
+from inkloom.session import read_if_there, store
 
 
 def fetched_pages(spark: SparkSession, folder: str, schema: str) -> DataFrame:
@@ -21,25 +22,25 @@ def fetches_per_hour(pages: DataFrame) -> DataFrame:
     return pages.groupBy(F.window("crawled_at", "1 hour"), "site_host").agg(F.count(F.lit(1)).alias("fetches")).select(F.col("window.start").alias("hour"), "site_host", "fetches")
 
 
-def merge_into(catalog: str, keys: list[str]):
-    """A batch writer that keeps the latest row of every key: the old catalog without the batch's keys, and the batch.
+BUCKETS = 64  # of the catalog, by key; a batch rewrites those it has keys of
 
-    The new version is written beside the old one and named by the batch, so a batch that is run again overwrites itself.
+
+def merge_into(catalog: str, keys: list[str], order: str = "crawled_at"):
+    """A batch writer that keeps the latest row of every key, whether it is stored already or in the batch.
+
+    Late rows never replace newer ones, and a batch that is run again changes nothing.  Of two rows of one time the one
+    with the greater content hash holds.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        old = [f"{catalog}/v{n}" for n in range(number - 1, -1, -1)]
-        before = None
-        for path in old:
-            try:
-                before = spark.read.parquet(path)
-                break
-            except Exception:  # a batch without rows wrote no version
-                continue
-        latest = batch.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), "crawled_at").alias("row")).select("row.*")
-        merged = latest if before is None else before.join(latest.select(*keys), keys, "left_anti").unionByName(latest)
-        merged.write.mode("overwrite").parquet(f"{catalog}/v{number}")
+        placed = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int"))
+        rows, stored = placed, read_if_there(spark, catalog)
+        if stored is not None:
+            touched = [r[0] for r in placed.select("bucket").distinct().collect()]  # BUCKETS at most
+            rows = stored.where(F.col("bucket").isin(touched)).select(placed.columns).unionByName(placed) if touched else placed
+        latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), F.struct(order, "content_hash")).alias("row")).select("row.*")
+        store(latest).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(catalog)
 
     return merge
 

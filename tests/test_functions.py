@@ -46,7 +46,13 @@ def test_paths_and_slugs(spark):
         ("- [a](1)\n- [b](2)\n- [c](3)\n- [d](4)\n- [e](5)\n\n# A\n\nx\n", "# A\n\nx\n"),
         ("# A\n\n<p>one</p>\n<p>two</p>\n", "# A\n\n```html\n<p>one</p>\n<p>two</p>\n```\n"),
         ("# A\n\nCopy\n```\nSettings-1\n```\n", "# A\n\n```\nSettings-1\n```\n"),
-        ("# A [¶](#a)\n\n# A\n\nx\n", "# A\n\nx\n"),
+        ("# [¶](#a) **A**\n\n# A\n\nx\n", "# A\n\nx\n"),
+        ("## 🔗 # A *b*\n\nx\n", "## A *b*\n\nx\n"),
+        ("# A\n\n- Все разделы\n\nx\n", "# A\n\nx\n"),
+        ("# A\n\ntext\n\nПравовая информация\n© 2021 X. Все права защищены\n", "# A\n\ntext\n"),
+        ("# A\n\nx\n<image src=\"i\"/>\ny\n[image:i]\nz\n", "# A\n\nx\n\n<image src=\"i\"/>\n\ny\n[image:i]\nz\n"),
+        ("# A\n\ntransparent\n[a](b)\n\n# B\n\nx\n", "# B\n\nx\n"),
+        ("# A\n\n```\nДалее >> x\n[](u)\n```\n", "# A\n\n```\nДалее >> x\n[](u)\n```\n"),
         ("# A\n\ntext\n\n## Support\n© 2020 X. All rights reserved.\n", "# A\n\ntext\n"),
         ("# A\n\nx\nx\n\ny [](z)  w\n", "# A\n\nx\n\ny w\n"),
         ("# A\n\n###### [Back](/up)\n\nДалее >> B\n\nx\n", "# A\n\nx\n"),
@@ -99,10 +105,12 @@ def test_html_column(spark):
 def test_media():
     assert A.image_size(b"\x89PNG\r\n\x1a\n" + b"\0" * 8 + struct.pack(">II", 3, 4)) == (3, 4) and A.image_size(b"GIF89a" + struct.pack("<HH", 5, 6)) == (5, 6)
     assert A.image_size(b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x0b\x08\x00\x07\x00\x08\x01\x00\x00") == (8, 7) and A.image_size(b"\xff\xd8\xff") is None and A.image_size(b"") is None
-    text = "[a](https://h.test/x#f) ![i](https://h.test/x) [b](https://h.test/me#g) [c](https://o.test/)\n```\n[a](https://h.test/x)\n```\n"
-    paths = {"https://h.test/x": "d/x.md", "https://h.test/me": "e/me.md"}
-    assert A.rewrite_links(text, "e/me.md", paths) == "[a](../d/x.md#f) ![i](https://h.test/x) [b](#g) [c](https://o.test/)\n```\n[a](https://h.test/x)\n```\n"
-    assert 'float="left"' in A.render_image("i", "", 20, 30) and "center" in A.render_image("i", "", 20, 90) and "center" in A.render_image("i", "", 20, 30, None)
+    assert A.render_image("i", "", 20, 30) == '<image src="i" crop="0,0,100,100" width="20px" height="30px" float="left"/>'
+    assert A.render_image("i", "", 20, 90) == '\n\n<image src="i" crop="0,0,100,100" scale="100" width="20px" height="90px" float="center"/>\n\n' == A.render_image("i", "", 20, 90, None)
+    assert 'scale="50" width="500px" height="2px"' in A.render_image("i", "", 1000, 5, max_width=500) and A.render_image("i", "a", 20, 30, html=False) == "![a](i)"
+    assert A.render_image("i", "", None, None) == '\n\n<image src="i" float="center"/>\n\n' == A.render_image("i", "", 60, 60, sizes=False)
+    assert A.is_image_target("a.TIFF#x") and not A.is_image_target("a.ico") and not A.is_image_target("a.avif")
     assert A.humanise("release_notes-3d") == "Release Notes 3D" and A.is_image_target("a/b.PNG?x")
     data = {"pages": [{"path": "a", "n": 3, "tags": [], "ok": True, "none": None, "kids": ["x", 'y"\n\\']}], "empty": {}, "s": "true"}
-    assert A.from_yaml(A.to_yaml(data)) == data
+    assert A.from_yaml(A.to_yaml(data)) == data and A.to_yaml({"a": [{"b": 1}, "c"], "d": []}) == 'a:\n  -\n    b: 1\n  - "c"\nd:\n  []\n'
+    assert A.from_yaml("a:\n  - b: 1\n    c: 2\n  - d\n") == {"a": [{"b": 1, "c": 2}, "d"]}

@@ -6,10 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkloom import cli
+from inkloom.functions.media import from_yaml, to_yaml
+from inkloom.operators import catalog as C
 from inkloom.operators import layout as Y
 from inkloom.sources import local, toc
-from inkloom.sources.export import split_page, write_pages
-from inkloom.streaming.ingest import fetched_pages, fetches_per_hour, run_ingest
+from inkloom.sources.export import delete_pages, other_form, split_page, write_folder_indexes, write_pages, write_root_markers
+from inkloom.streaming.ingest import fetched_pages, fetches_per_hour, merge_into, run_ingest
 
 
 @pytest.fixture
@@ -70,15 +72,64 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame([("HTTPS://h.test/a/", "h", "x", at(1)), ("https://h.test/a", "h", "x", at(1)), ("https://h.test/b", "h", "y", at(3))], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
     pages = fetched_pages(spark, str(tmp_path / "in"), schema)
     run_ingest(pages, str(tmp_path / "catalog"), str(tmp_path / "cp")).awaitTermination(120)
-    spark.createDataFrame([("https://h.test/a", "h", "z", at(5))], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.createDataFrame([("https://h.test/a", "h", "z", at(5)), ("https://h.test/b", "h", "late", at(2))], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     run_ingest(pages, str(tmp_path / "catalog"), str(tmp_path / "cp")).awaitTermination(120)
-    last = max((p for p in (tmp_path / "catalog").iterdir()), key=lambda p: int(p.name[1:]))
-    assert {(r.url, r.markdown) for r in spark.read.parquet(str(last)).collect()} == {("https://h.test/a", "z"), ("https://h.test/b", "y")}
+    stored = lambda: sorted((r.url, r.markdown) for r in spark.read.parquet(str(tmp_path / "catalog")).collect())
+    assert stored() == [("https://h.test/a", "z"), ("https://h.test/b", "y")]  # a late fetch replaces nothing newer
+    batch = spark.createDataFrame([("https://h.test/b", "h", "q", at(1), "https://h.test/b", "x")], f"source_url string, site_host string, markdown string, crawled_at timestamp, url string, content_hash string")
+    merge_into(str(tmp_path / "catalog"), ["url"])(batch, 0)  # and neither does a batch that comes again
+    assert stored() == [("https://h.test/a", "z"), ("https://h.test/b", "y")]
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "part-0.parquet").write_text("no parquet")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        merge_into(str(tmp_path / "broken"), ["url"])(batch, 0)
     assert fetches_per_hour(pages).isStreaming
 
 
+def test_other_forms_and_deletion(spark, tmp_path):
+    assert [other_form(p) for p in ("docs/v1.2/_index.md", "docs/v1.2.md", "_index.md")] == ["docs/v1.2.md", "docs/v1.2/_index.md", None]
+    df = spark.createDataFrame([("docs/v1.md", "One", "x"), ("docs/v1.2/_index.md", "Two", "y"), ("a/b/c.md", "C", "z")], "path string, title string, markdown string")
+    assert write_pages(df.where("title = 'One'"), str(tmp_path)) == 1 and write_pages(df.where("title <> 'One'"), str(tmp_path)) == 2
+    assert (tmp_path / "docs/v1.md").exists() and (tmp_path / "docs/v1.2/_index.md").exists()
+    (tmp_path.parent / "out.md").write_text("not ours")
+    stale = spark.createDataFrame([("a/b/c.md",), ("../out.md",), ("docs",), ("docs/v1.md",), (None,)], "path string")
+    assert delete_pages(stale, str(tmp_path)) == 2 and not (tmp_path / "a").exists() and (tmp_path.parent / "out.md").exists() and (tmp_path / "docs/v1.2/_index.md").exists()
+    index = C.folder_index(df.withColumn("ord", F.lit(1)))
+    assert write_folder_indexes(index, str(tmp_path)) == 5
+    written = from_yaml((tmp_path / "docs/_index.yaml").read_text())
+    assert written["children"] == ["docs/v1.2"] and written["pages"] == [{"path": "docs/v1.md", "title": "One"}] and from_yaml((tmp_path / "_index.yaml").read_text())["title"] == "Documentation Mirror"
+    assert write_root_markers(spark.createDataFrame([("help",), (".",)], "folder string"), str(tmp_path)) == 2 and write_root_markers(spark.createDataFrame([("help",)], "folder string"), str(tmp_path)) == 0
+    assert (tmp_path / "help/.doc-root.yaml").read_text().startswith("title: help\n")
+
+
+def test_start_file_among_many(spark, tmp_path):
+    for n in range(1001):
+        (tmp_path / f"a{n:04}.html").write_text("<p>x")
+    (tmp_path / "index.html").write_text("<title>Home</title><a href='a0007.html'>x</a>")
+    pages, _ = local.crawl_local(spark, str(tmp_path), max_depth=1)
+    assert [r.path for r in pages.orderBy("seq").collect()] == ["index.html", "a0007.html"]
+
+
+def test_deep_layout(spark):
+    rows = [(f"u{n}", f"u{n - 1}" if n else None, f"p{n}.md", False) for n in range(151)]
+    got = {r.url: r.path for r in Y.parent_first(spark.createDataFrame(rows, "url string, parent string, path string, placeholder boolean")).collect()}
+    assert got["u0"] == "p0/_index.md" and got["u150"] == "/".join(f"p{n}" for n in range(150)) + "/p150.md"
+
+
 def test_command_line(spark, site, tmp_path, capsys):
     out = str(tmp_path / "out")
-    assert cli.main(["mirror", str(site), out]) == 0 and cli.main(["mirror", str(site), out]) == 0
+    assert cli.main(["mirror", str(site), out]) == 0
+    assert "[a.html](a.md)" in (tmp_path / "out/index.md").read_text() and (tmp_path / "out/_index.yaml").exists()
+    (site / "sub/d.html").unlink()
+    (site / "sub/b.html").write_text("<title>B</title><h1>B</h1><a href='../c.htm'>c</a>")
+    assert cli.main(["mirror", str(site), out, "--max-pages", "3"]) == 0
+    report = {r.path: r.status for r in spark.read.parquet(f"{out}/_catalog/sync.parquet").collect()}
+    assert report["index.md"] == "unchanged" and report["sub/b.md"] == "changed" and report["sub/d.md"] == "deleted"
     assert cli.main(["query", out, "home"]) == 0 and "index.md" in capsys.readouterr().out
-    assert cli.main(["verify", out]) == 0
+    assert cli.main(["relink", out, "--dry-run"]) == 0 and "'unchanged': 3" in capsys.readouterr().out
+    pages = spark.read.parquet(f"{out}/_catalog/pages.parquet").where("path = 'index.md'").first()
+    assert pages.content_hash.startswith("sha256:") and cli.main(["relink", out, "--path-prefix", "sub"]) == 0
+    assert cli.main(["structure", str(site), out]) == 0 and spark.read.parquet(f"{out}/_catalog/structure.parquet").where("placeholder").count() == 4
+    assert cli.main(["catalog", out]) == 0 and "structure.parquet" in capsys.readouterr().out
+    assert cli.main(["verify", out]) in (0, 1)
+    assert cli.catalog_items(to_yaml({"pages": [{"path": "a", "n": 1}]}), "pages") == [{"path": "a", "n": 1}] and cli.catalog_items("", "pages") == []
