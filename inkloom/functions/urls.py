@@ -124,15 +124,22 @@ def confluence_url(url: Column | str) -> Column:
 
 def with_language_prefix(url: Column | str, root: Column | str) -> Column:
     """Put the root's two-letter first segment before a target of the same host that lacks it."""
-    target, top = canonical_url(url), canonical_url(root)
-    segments = lambda u: F.filter(F.split(url_path(u), "/"), lambda p: p != "")
-    mine, theirs = segments(target), segments(top)
-    lang = F.get(theirs, 0)
-    tail, mine_tail = F.array_join(F.slice(theirs, 2, F.lit(1000)), "/"), F.array_join(mine, "/")
-    under = (tail == "") | (mine_tail == tail) | F.startswith(mine_tail, F.concat(tail, F.lit("/")))
-    fits = (url_host(target) == url_host(top)) & (F.length(lang) == 2) & (F.size(mine) > 0) & (F.lower(F.get(mine, 0)) != F.lower(lang)) & under
-    built = F.concat(url_scheme(target), F.lit("://"), url_host(target), F.lit("/"), lang, F.lit("/"), mine_tail)
-    return F.when(F.coalesce(fits, F.lit(False)), built).otherwise(target)
+
+    def prefixed(target: Column) -> Column:
+        def built(both: Column) -> Column:
+            mine, theirs = both["mine"], both["theirs"]
+            lang, tail, mine_tail = F.get(theirs, 0), F.array_join(F.slice(theirs, 2, F.lit(1000)), "/"), F.array_join(mine, "/")
+            under = (tail == "") | (mine_tail == tail) | F.startswith(mine_tail, F.concat(tail, F.lit("/")))
+            fits = (F.length(lang) == 2) & (F.size(mine) > 0) & (F.lower(F.get(mine, 0)) != F.lower(lang)) & under
+            return F.when(F.coalesce(fits, F.lit(False)), F.concat(url_scheme(target), F.lit("://"), url_host(target), F.lit("/"), lang, F.lit("/"), mine_tail)).otherwise(target)
+
+        segments = lambda u: F.filter(F.split(url_path(u), "/"), lambda p: p != "")
+        pair = F.struct(segments(target).alias("mine"), segments(canonical_url(root)).alias("theirs"))
+        # Only roots with a first segment of two letters have a language.
+        spoken = F.coalesce((url_host(target) == url_host(root)) & url_path(root).rlike(r"^/+[^/]{2}(/|$)"), F.lit(False))
+        return F.when(spoken, let(pair, built)).otherwise(target)
+
+    return let(canonical_url(url), prefixed)
 
 
 def toc_path(url: Column | str) -> Column:

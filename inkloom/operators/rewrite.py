@@ -50,7 +50,7 @@ def page_targets(pages: DataFrame, text: str = "markdown") -> DataFrame:
     raw = pages.where(F.col(text).isNotNull() & F.col("url").isNotNull()).select("url", F.col(text).alias("text"))
     raw = raw.mapInPandas(run, "url string, target string, base string, fragment string").distinct()
     web = F.col("base").rlike(r"(?i)^https?:")
-    return raw.withColumn("base", F.when(F.col("base") == F.col("url"), F.col("url")).when(web, with_language_prefix(canonical_url("base"), F.col("url"))).otherwise(F.col("base")))
+    return raw.withColumn("base", F.when(F.col("base") == F.col("url"), F.col("url")).when(web, with_language_prefix("base", F.col("url"))).otherwise(F.col("base")))
 
 
 def apply_targets(text: str, page: str, known: dict[str, tuple[str, str, str, int, int]], image_limit: int | None = None) -> str:
