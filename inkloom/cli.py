@@ -7,12 +7,14 @@ import argparse
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkloom.functions.media import from_yaml
+from inkloom.functions.media import INLINE_PIXELS, from_yaml
+from inkloom.functions.predicates import asset_path
 from inkloom.operators import rewrite
 from inkloom.operators.catalog import document_roots, folder_index, link_path_map, resolve_links, search, sync_report
 from inkloom.operators.structure import catalog_summary, folders_to_refresh, stale_paths
 from inkloom.session import build_session, read_if_there, ship, store
 from inkloom.sources.export import append_history, delete_pages, write_catalog, write_folder_indexes, write_pages, write_root_markers
+from inkloom.sources.assets import materialise
 from inkloom.sources.local import crawl_local
 
 HOST = "https://localhost/"
@@ -38,7 +40,7 @@ def catalog_items(text: str, root: str) -> list[dict]:
 def _crawled(spark: SparkSession, source: str, max_depth: int, max_pages: int) -> tuple[DataFrame, DataFrame]:
     """Pages with their address, file and digest, in the state in which the catalog holds them; and the issues."""
     pages, issues = crawl_local(spark, source, max_depth, max_pages)
-    pages = pages.withColumns({"url": F.concat(F.lit(HOST), "path"), "path": F.regexp_replace("path", r"(?i)\.x?html?$", ".md"), "placeholder": F.lit(False), "ord": F.col("seq")})
+    pages = pages.withColumn("source_path", F.col("path")).withColumns({"url": F.concat(F.lit(HOST), "path"), "path": F.regexp_replace("path", r"(?i)\.x?html?$", ".md"), "placeholder": F.lit(False), "ord": F.col("seq")})
     return pages, issues
 
 
@@ -50,7 +52,11 @@ def mirror(spark: SparkSession, source: str, output: str, max_depth: int, max_pa
     """Crawl, rewrite links, write page files, folder indexes and catalogs, delete what went stale; the number of pages."""
     catalog = f"{output.rstrip('/')}/_catalog"
     pages, issues = _crawled(spark, source, max_depth, max_pages)
-    pages = store(_rewritten(pages))
+    pages = store(pages)
+    named = pages.select("url", F.col("source_path").alias("page"), "path", F.explode("assets").alias("a")).select("url", "page", "a.source", "a.kind", "a.alt", asset_path(F.col("path"), F.col("a.source")).alias("target"))
+    assets = store(materialise(named, source, output))
+    issues = issues.unionByName(assets.where("problem is not null").select(F.lit("warning").alias("severity"), F.col("problem").alias("kind"), F.col("source").alias("message"), F.col("url").alias("path")))
+    pages = store(_rewritten(pages, assets))
     previous = read_if_there(spark, f"{catalog}/pages.parquet")
     before = pages.limit(0) if previous is None else store(previous)  # read before it is overwritten
     report = store(sync_report(before, pages, "path", "content_hash"))
@@ -58,8 +64,7 @@ def mirror(spark: SparkSession, source: str, output: str, max_depth: int, max_pa
     write_catalog(report, catalog, "sync")
     links = pages.select(F.col("url").alias("src"), F.explode("links_internal").alias("to")).select("src", F.concat(F.lit(HOST), "to").alias("dst"))
     kinds = store(resolve_links(links, pages))
-    empty = spark.createDataFrame([], "source string, kind string, local_path string")
-    for name, rows in (("links", kinds), ("issues", issues), ("assets", empty), ("summary", catalog_summary(pages, kinds, empty, issues))):
+    for name, rows in (("links", kinds), ("issues", issues), ("assets", assets.drop("problem")), ("summary", catalog_summary(pages, kinds, assets, issues))):
         write_catalog(rows, catalog, name)
     delete_pages(stale_paths(before.select("url", "path", "ord"), pages.select("url", "path")), output)
     written = write_pages(pages.select("path", "title", "url", "depth", "content_hash", "markdown"), output)
@@ -70,10 +75,10 @@ def mirror(spark: SparkSession, source: str, output: str, max_depth: int, max_pa
     return written
 
 
-def _rewritten(pages: DataFrame) -> DataFrame:
-    """The pages with links to one another made relative, and the digests of the texts as they are written."""
-    bare = pages.drop("path")
-    done = rewrite.rewrite_links(bare, pages.select("url", "path"))
+def _rewritten(pages: DataFrame, assets: DataFrame) -> DataFrame:
+    """The pages with links to one another and to assets made relative, and the digests of the texts as they are written."""
+    bare = pages.drop("path", "assets")
+    done = rewrite.rewrite_links(bare, pages.select("url", "path"), assets, image_limit=INLINE_PIXELS)
     return done.withColumn("markdown", F.col("rewritten")).drop("rewritten").withColumn("content_hash", _digest("markdown"))
 
 

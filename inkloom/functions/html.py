@@ -318,10 +318,12 @@ DOCUMENT = T.StructType(
 
 
 def parse_column(html: Column, base: Column) -> Column:
-    """Everything of a document in one struct; null HTML gives null."""
+    """Everything of a document in one struct, in Arrow batches; null HTML gives nulls."""
+    names = DOCUMENT.fieldNames()
 
-    @F.udf(DOCUMENT, useArrow=True)
-    def run(value: str | None, at: str | None):
-        return None if value is None else parse_document(value, at or "")
+    @F.pandas_udf(DOCUMENT)
+    def run(values: pd.Series, at: pd.Series) -> pd.DataFrame:
+        parsed = [dict.fromkeys(names) if value is None else parse_document(value, url or "") for value, url in zip(values, at, strict=True)]
+        return pd.DataFrame(parsed, columns=names)
 
     return run(html, base)

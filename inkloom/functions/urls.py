@@ -7,6 +7,7 @@ characters on which it differs from RFC 3986 path quoting patched before and aft
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import quote, unquote, urlsplit, urlunsplit
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -67,6 +68,14 @@ def canonical_url(url: Column | str) -> Column:
     return F.when(_col(url).rlike(_CLEAN), _col(url)).otherwise(built)
 
 
+def canonical(url: str) -> str:
+    """``canonical_url`` of one value, for driver-side code and batch functions."""
+    parts = urlsplit("".join(c for c in url.strip() if c not in "\t\r\n"))
+    folder, slash, last = parts.path.rpartition("/")
+    path = quote(unquote(folder + slash + last.partition(";")[0]), safe="/:@")
+    return urlunsplit((parts.scheme.lower(), parts.netloc.lower(), path.rstrip("/") or "/", "", ""))
+
+
 def is_url(value: Column | str) -> Column:
     return _col(value).rlike(r"(?i)^https?:")
 

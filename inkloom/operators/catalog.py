@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkloom.functions.media import humanise_column
+from inkloom.functions.predicates import is_allowed, is_html_candidate, is_placeholder_candidate, is_service
 from inkloom.session import cut
 
 ROOT_TITLE = "Documentation Mirror"  # fixed value
@@ -170,6 +171,38 @@ def bounded_bfs(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFram
     return seen
 
 
+def discover_links(links: DataFrame, root: str, max_depth: int, max_pages: int, scope: str = "subtree", extra: tuple[str, ...] = ()) -> DataFrame:
+    """``url, depth, parent, ord, placeholder``: the pages a crawl from ``root`` finds, breadth first.
+
+    ``links``: ``src, dst, ordinal, from_toc`` in canonical form.  Links to the page itself, back to the root, to service
+    addresses and to other than HTML lead nowhere; one that isn't allowed becomes a placeholder if it could be a page,
+    and isn't followed.  On each page links of a table of contents come first.  The first discovery counts: its page is
+    the parent, ``ord`` the place in order of discovery.  Placeholders don't count against ``max_pages``, the root does.
+    """
+    usable = links.where((F.col("dst") != F.col("src")) & (F.col("dst") != F.lit(root)) & ~is_service("dst") & is_html_candidate("dst"))
+    usable = usable.withColumn("placeholder", ~is_allowed("dst", root, scope, extra)).where(~F.col("placeholder") | is_placeholder_candidate("dst", root))
+    usable = cut(usable.select("src", "dst", "ordinal", F.coalesce("from_toc", F.lit(False)).alias("from_toc"), "placeholder"))
+    spark = links.sparkSession
+    seen = cut(spark.createDataFrame([(root, 0, None, 1, False)], "url string, depth int, parent string, ord long, placeholder boolean"))
+    frontier, fetched, last = seen, 1, 1
+    for depth in range(1, max_depth + 1):
+        by = F.min(F.struct(F.col("ord"), (~F.col("from_toc")).alias("late"), "ordinal", "src"))
+        found = frontier.where("not placeholder").select(F.col("url").alias("src"), "ord").join(usable, "src").groupBy(F.col("dst").alias("url"), "placeholder").agg(by.alias("by"))
+        found = cut(found.join(seen.select("url"), "url", "left_anti"))
+        pages = found.where("not placeholder").orderBy("by", "url").limit(max(0, max_pages - fetched))  # no more than the page cap
+        level = cut(pages.unionByName(found.where("placeholder")).withColumn("range", F.floor(F.col("by.ord") / 1000)))
+        # Numbers run on over the level: ranks inside ranges of parents, behind the ranges before.
+        counts = level.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+        before = counts.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))  # a row for 1,000 parents
+        rank = F.row_number().over(Window.partitionBy("range").orderBy("by", "url"))
+        frontier = cut(level.join(before, "range").select("url", F.lit(depth).alias("depth"), F.col("by.src").alias("parent"), (F.lit(last) + F.col("before") + rank).cast("bigint").alias("ord"), "placeholder"))
+        sizes = frontier.agg(F.count(F.lit(1)), F.count_if(~F.col("placeholder"))).first()
+        if not sizes[0]:
+            break
+        seen, last, fetched = cut(seen.unionByName(frontier)), last + sizes[0], fetched + sizes[1]
+    return seen
+
+
 def distinct_assets(assets: DataFrame, order: list[str]) -> DataFrame:
     """One asset for each page, kind and source: the first in order."""
     rank = F.row_number().over(Window.partitionBy("page", "kind", "source").orderBy(*order))

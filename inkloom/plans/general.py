@@ -112,3 +112,15 @@ SQL = {
         where f is not null group by 1""",
 }
 SQL["p5_report"] = f"select src_table, ref_month, count(*) orphans, count(distinct src_id) records from ({SQL['p5_found']}) group by 1, 2"
+# Every node with each of its ancestors, itself first, the way down to it, and its fault; cycles are walked until far around.
+_WALK = f"""
+    with recursive r as (select entry_id, coalesce(site_host, '') s, {_CANON} u, nullif({mirror.canon_sql("nav_parent_url")}, '') p from nav_entries),
+    n as (select s, u, min(entry_id) id, (arg_min(struct_pack(p := p), entry_id)).p p from r group by 1, 2),
+    w as (select s, u, id, id xid, p, 0 d, [id] way from n union all select w.s, w.u, w.id, n.id, n.p, d + 1, list_prepend(n.id, way) from w join n on w.s = n.s and w.p = n.u where d < 400),
+    c as (select distinct id from w where xid = id and d > 0), b as (select distinct w.id from w join c on w.xid = c.id), e as (select id, arg_max(struct_pack(p := p, d := d, way := way), d) m from w group by 1),
+    low as (select w.id, min(xid) low from w join c on w.xid = c.id group by 1), lp as (select w.id, arg_min(way, d) way from w join low on w.id = low.id and w.xid = low.low group by 1),
+    f as (select n.id, case when c.id is not null then 'cycle' when b.id is not null then 'below_cycle' when (e.m).p is not null then 'detached' end fault from n left join c using (id) left join b using (id) left join e using (id))"""
+SQL["p7_paths"] = f"""{_WALK}
+    select id entry_id, case when fault is null then ((m).way)[1] end root_id, case when fault is null then (m).d::bigint end depth, case when fault is null then array_to_string((m).way, '/') end path, fault,
+      case when fault = 'detached' then array_to_string((m).way, '/') when fault is not null then array_to_string(lp.way, '/') end local_path from f join e using (id) left join lp using (id)"""
+SQL["p7_descendants"] = f"{_WALK} select xid ancestor_id, w.id descendant_id, min(d)::bigint distance, fault from w join f using (id) where d > 0 group by 1, 2, fault"

@@ -15,6 +15,7 @@ from inkloom.functions.markdown import normalize_markdown
 from inkloom.session import cut, store
 
 HTML = (".html", ".htm", ".xhtml")
+_ASSETS = "array<struct<source:string,kind:string,alt:string>>"
 
 
 def local_target(href: str, page: str, root: str) -> str | None:
@@ -37,7 +38,7 @@ def start_file(paths: list[str]) -> str | None:
 
 
 def scan_html(spark: SparkSession, root: str) -> DataFrame:
-    """Every HTML file below a folder, parsed: ``path, title, description, markdown, hrefs``."""
+    """Every HTML file below a folder, parsed: ``path, title, description, markdown, hrefs, assets``."""
     base = root.rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).where(F.lower("path").rlike(r"\.(html|htm|xhtml)$")).select("path", "content")
 
@@ -47,10 +48,10 @@ def scan_html(spark: SparkSession, root: str) -> DataFrame:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 own = unquote(urlparse(path).path)
                 doc = parse_document(bytes(content).decode("utf-8", "replace"), "")
-                rows.append((posixpath.relpath(own, base), doc["title"], doc["description"], normalize_markdown(doc["markdown"]), doc["links"]))
-            yield pd.DataFrame(rows, columns=["path", "title", "description", "markdown", "hrefs"])
+                rows.append((posixpath.relpath(own, base), doc["title"], doc["description"], normalize_markdown(doc["markdown"]), doc["links"], doc["assets"]))
+            yield pd.DataFrame(rows, columns=["path", "title", "description", "markdown", "hrefs", "assets"])
 
-    return files.mapInPandas(parse, "path string, title string, description string, markdown string, hrefs array<string>")
+    return files.mapInPandas(parse, f"path string, title string, description string, markdown string, hrefs array<string>, assets {_ASSETS}")
 
 
 def crawl_local(spark: SparkSession, root: str, max_depth: int = 3, max_pages: int = 500, start: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -64,7 +65,7 @@ def crawl_local(spark: SparkSession, root: str, max_depth: int = 3, max_pages: i
     rank = F.when(F.col("path") == "index.html", 0).when(F.col("path") == "index.htm", 1).otherwise(2)
     best = scanned.where(~F.contains("path", F.lit("/"))).agg(F.min(F.struct(rank.alias("rank"), "path")).alias("first")).first()["first"]
     first = start or (best["path"] if best else None)
-    page_schema = "path string, title string, description string, markdown string, links_internal array<string>, links_external array<string>, depth int, parent string, seq bigint"
+    page_schema = f"path string, title string, description string, markdown string, assets {_ASSETS}, links_internal array<string>, links_external array<string>, depth int, parent string, seq bigint"
     if first is None:
         return spark.createDataFrame([], page_schema), spark.createDataFrame([("error", "source_missing", root, None)], "severity string, kind string, message string, path string")
 
@@ -95,7 +96,7 @@ def crawl_local(spark: SparkSession, root: str, max_depth: int = 3, max_pages: i
     split = links.groupBy(F.col("src").alias("path")).agg(ordered(F.col("there")).alias("links_internal"), ordered(~F.col("there") & ~F.col("html")).alias("links_external"))
     empty = F.array().cast("array<string>")
     pages = seen.join(scanned.drop("hrefs"), "path").join(split, "path", "left").select(
-        "path", "title", "description", "markdown", F.coalesce("links_internal", empty).alias("links_internal"), F.coalesce("links_external", empty).alias("links_external"), "depth", "parent", "seq"
+        "path", "title", "description", "markdown", "assets", F.coalesce("links_internal", empty).alias("links_internal"), F.coalesce("links_external", empty).alias("links_external"), "depth", "parent", "seq"
     )
     missing = links.where("html and not there").join(seen.select(F.col("path").alias("src")), "src", "left_semi")
     issues = missing.select(F.lit("warning").alias("severity"), F.lit("local_link_missing").alias("kind"), F.col("href").alias("message"), F.col("src").alias("path")).distinct()

@@ -89,3 +89,20 @@ def test_placeholders_folders_roots_and_relink(spark):
     structure = spark.createDataFrame([("u", "old"), ("v", "plan")], "url string, path string")
     real = spark.createDataFrame([("u", "new", False), ("w", "no", True)], "url string, path string, placeholder boolean")
     assert [tuple(r)[1:3] for r in rows(C.relink(links, structure, real))] == [("u", "new"), ("v", "plan"), ("w", None)]
+
+
+def test_link_discovery(spark):
+    u = "https://h.test/d/"
+    links = [
+        (u, u + "p.html", 1, False), (u, u + "a.html", 2, False), (u, u + "toc.html", 3, True), (u, u, 4, False), (u, u + "login", 5, False), (u, "https://h.test/other/x.html", 6, False), (u, "https://h.test/d/i.png", 7, False), (u, "https://o.test/y.html", 8, False),
+        (u + "toc.html", u + "deep.html", 1, None), (u + "toc.html", u, 2, False), (u + "p.html", u + "deep.html", 1, True), (u + "p.html", u + "q.html", 2, False), ("https://h.test/other/x.html", u + "never.html", 1, False), (u + "deep.html", u + "end.html", 1, False),
+    ]
+    df = spark.createDataFrame(links + links[:2], "src string, dst string, ordinal int, from_toc boolean")
+    got = [tuple(r) for r in C.discover_links(df, u, 2, 50).orderBy("ord").collect()]
+    assert got == [
+        (u, 0, None, 1, False), (u + "toc.html", 1, u, 2, False), (u + "p.html", 1, u, 3, False), (u + "a.html", 1, u, 4, False), ("https://h.test/other/x.html", 1, u, 5, True),
+        (u + "deep.html", 2, u + "toc.html", 6, False), (u + "q.html", 2, u + "p.html", 7, False),
+    ]
+    capped = [r.url for r in C.discover_links(df, u, 9, 3).orderBy("ord").collect()]
+    assert capped == [u, u + "toc.html", u + "p.html", "https://h.test/other/x.html"]
+    assert C.discover_links(df.limit(0), u, 3, 5).count() == 1

@@ -9,6 +9,7 @@ from inkloom.functions import html as H
 from inkloom.functions import markdown as M
 from inkloom.functions import media as A
 from inkloom.functions import urls as U
+from inkloom.functions import wiki as W
 
 URLS = [
     ("HTTPS://Docs.Example.COM/a/b%2Dc/?q=1#x", "https://docs.example.com/a/b-c"),
@@ -25,6 +26,7 @@ URLS = [
 def test_canonical_urls(spark):
     rows = spark.createDataFrame([(u,) for u, _ in URLS], "u string").select(U.canonical_url("u")).collect()
     assert [r[0] for r in rows] == [w for _, w in URLS]
+    assert [U.canonical(u) for u, _ in URLS if u] == [w for u, w in URLS if u]
 
 
 def test_paths_and_slugs(spark):
@@ -97,6 +99,20 @@ def test_html_headings_tables_and_wiki():
     assert H.wiki_body(wiki).text() == "yes"
 
 
+def test_wiki_documents(spark):
+    page = (
+        "<p>out</p><div id=main-content><div class='wiki-content'><h1>T</h1><p>a <a href='/pages/viewpage.action?x=1&pageId=7'>L  l</a><img src=i.png alt=I></p>"
+        "<table><tr><th>k</th><th>v</th></tr><tr><td>1<br>2</td><td><b>a|b</b></td><td>x</td></tr></table><table><tr><td><ul><li>q</li></ul></td></tr></table><table><tr><td rowspan=2>s</td></tr></table><script>no</script></div></div>"
+    )
+    md = W.wiki_markdown(page, "https://w.test/d/")
+    assert md.startswith("# T\n\na [L l](https://w.test/pages/viewpage.action?x=1&pageId=7)![I](https://w.test/d/i.png)\n\n| k | v |  |\n| --- | --- | --- |\n| 1<br>2 | **a\\|b** | x |\n")
+    assert '{% table header="row" %}' in md and "   - q" in md and '<td rowspan="2">s</td>' in md and "out" not in md and "no" not in md.split()
+    assert W.wiki_links(page, "https://w.test/d/") == ([("https://w.test/pages/viewpage.action?pageId=7", "L l")], [("https://w.test/d/i.png", "I")])
+    rows = spark.createDataFrame([(page, "https://w.test/d/"), (None, None)], "h string, b string").select(W.wiki_column(F.col("h"), F.col("b")).alias("d")).select("d.markdown", "d.links.url").collect()
+    assert rows[0].markdown == md and rows[0].url == ["https://w.test/pages/viewpage.action?pageId=7"] and rows[1].markdown is None
+    assert W.wiki_markdown("") == "\n"
+
+
 def test_html_column(spark):
     df = spark.createDataFrame([("<h1>A</h1><p>x",), (None,)], "h string").select(H.parse_column(F.col("h"), F.lit("https://h.test/")).alias("d")).select("d.title", "d.markdown")
     assert [tuple(r) for r in df.collect()] == [("A", "# A\n\nx\n"), (None, None)]

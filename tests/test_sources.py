@@ -40,9 +40,16 @@ def test_toc(spark):
     entries, problem = toc.toc_entries(spark, "<W Toc='Data/Toc.js'/>", scripts, toc.root_url("https://h.test/Content/x.htm"))
     got = [tuple(r) for r in entries.orderBy("ord").collect()]
     assert problem is None and [(g[0], g[3], g[4], g[5]) for g in got] == [("A a", 0, 1, ["A a"]), ("B", 1, 2, ["A a", "B"]), ("B2", 0, 3, ["B2"]), ("#9", 0, 4, ["#9"])]
-    assert got[1][2] == "https://h.test/Content/b.htm?TocPath=A%20a%7CB_____0" and got[1][6] == "https://h.test/Content/a.htm"
+    assert got[1][2] == "https://h.test/Content/b.htm?TocPath=A%20a%7CB%7C_____0" and got[1][6] == "https://h.test/Content/a.htm"
     part, _ = toc.toc_entries(spark, "<W Toc='Toc.js'/>", scripts, "https://h.test/", "https://h.test/Content/a.htm")
     assert part.count() == 2
+    same, _ = toc.toc_entries(spark, "<W Toc='Toc.js'/>", scripts, "https://h.test/", "HTTPS://H.test/Content/a.htm?x#y")
+    assert same.count() == 2  # addresses are compared in canonical form
+    assert toc.toc_entries(spark, "<W Toc='Toc.js'/>", scripts, "https://h.test/", "https://h.test/Content/main_page.htm")[0].count() == 4
+    assert toc.toc_entries(spark, "<W Toc='Toc.js'/>", scripts, "https://h.test/", "https://h.test/Content/a.htm", "domain")[0].count() == 4
+    assert [toc.uses_toc(*x) for x in (("madcap", "links"), ("auto", "auto"), ("auto", "links"), ("wikijs", "toc"))] == [True, True, False, False]
+    with pytest.raises(ValueError, match="unknown"):
+        toc.uses_toc("other")
     assert toc.toc_entries(spark, "<W/>", scripts, "")[1].startswith("madcap_toc_unavailable")
 
 
@@ -116,6 +123,23 @@ def test_deep_layout(spark):
     assert got["u0"] == "p0/_index.md" and got["u150"] == "/".join(f"p{n}" for n in range(150)) + "/p150.md"
 
 
+def test_assets(spark, site, tmp_path, capsys):
+    png = b"\x89PNG\r\n\x1a\n" + b"\0" * 8 + (20).to_bytes(4, "big") + (30).to_bytes(4, "big")
+    (site / "img").mkdir()
+    (site / "img/i.png").write_bytes(png)
+    (site / "sub/d.html").write_text("<title>D</title><h1>D</h1><p><img src='../img/i.png' alt=I> and <img src='gone.png'> and <img src='https://x.test/w.png'>")
+    out = tmp_path / "out"
+    assert cli.main(["mirror", str(site), str(out)]) == 0 and cli.main(["mirror", str(site), str(out)]) == 0
+    assets = {r.source: r for r in spark.read.parquet(f"{out}/_catalog/assets.parquet").collect()}
+    copy = assets["../img/i.png"]
+    assert (copy.width, copy.height) == (20, 30) and (out / copy.local_path).read_bytes() == png and copy.local_path.startswith("sub/d/i-")
+    assert assets["gone.png"].local_path is None and assets["https://x.test/w.png"].local_path is None
+    assert {(r.kind, r.message) for r in spark.read.parquet(f"{out}/_catalog/issues.parquet").collect()} >= {("asset_missing", "gone.png")}
+    assert f'<image src="./d/{copy.local_path[6:]}" crop="0,0,100,100" width="20px" height="30px" float="left"/>' in (out / "sub/d.md").read_text()
+    summary = spark.read.parquet(f"{out}/_catalog/summary.parquet").first()
+    assert (summary.assets, summary.assets_localized) == (3, 1)
+
+
 def test_command_line(spark, site, tmp_path, capsys):
     out = str(tmp_path / "out")
     assert cli.main(["mirror", str(site), out]) == 0
