@@ -602,3 +602,26 @@ def catalog_summary(spark, folder):
     assets = table(spark, folder, "part").select(F.when(F.col("p_size") > 10, F.col("p_name")).alias("local_path"))
     issues = table(spark, folder, "events").select(F.col("event_type").alias("severity"))
     return S.catalog_summary(pages, link_resolve(spark, folder), assets, issues)
+
+
+_CAP = 12
+_FOUND = f"""
+    x as (select canonical_url src, {canon_sql('links_internal[i]')} canonical_url, min(i) o from (select canonical_url, links_internal, unnest(range(1, len(links_internal) + 1)) i from mirror_pages) group by 1, 2),
+    rt as (select src root, case when contains(regexp_extract(src, '([^/]*)$', 1), '.') then regexp_replace(src, '[^/]*$', '') else src end pre, regexp_extract(src, '^([a-z]+://[^/]*)', 1) host from x group by 1 order by count(*) desc, src limit 1),
+    y as (select src, canonical_url dst, o, not (starts_with(canonical_url, host || '/') and starts_with(canonical_url, pre)) ph from x, rt
+      where canonical_url <> src and canonical_url <> root and not {_SERVICE} and {_CANDIDATE} and (starts_with(canonical_url, host || '/') and (starts_with(canonical_url, pre) or ({_HTML} and not regexp_matches({_LAST}, '^main_page\\.x?html?$'))))),
+    a1 as (select dst, ph, o, row_number() over (partition by ph order by o, dst) k from y, rt where src = root),
+    l1 as (select dst url, 1 depth, ph placeholder, 1 + row_number() over (order by o, dst) ord from a1 where ph or k <= {_CAP} - 1),
+    a2 as (select dst, ph, min((l1.ord, o, src)) m from y join l1 on y.src = l1.url and not l1.placeholder where dst not in (select url from l1) group by 1, 2),
+    b2 as (select *, row_number() over (partition by ph order by m, dst) k from a2),
+    l2 as (select dst url, 2 depth, (m)[3] parent, ph placeholder, (select 1 + count(*) from l1) + row_number() over (order by m, dst) ord from b2 where ph or k <= {_CAP} - 1 - (select count(*) from l1 where not placeholder))"""
+
+
+@query(f"with {_FOUND} select root url, 0 depth, null parent, 1::bigint ord, false placeholder from rt union all select url, depth, root, ord, placeholder from l1, rt union all select url, depth, parent, ord, placeholder from l2")
+def link_discovery(spark, folder):
+    """What a crawl finds within two links of the page with the most links, twelve pages at most."""
+    raw = table(spark, folder, "mirror_pages").select("canonical_url", F.posexplode("links_internal").alias("at", "link"))
+    links = raw.groupBy(F.col("canonical_url").alias("src"), U.canonical_url("link").alias("dst")).agg(F.min("at").alias("ordinal")).withColumn("from_toc", F.lit(False))
+    links = store(links)
+    root = links.groupBy("src").count().orderBy(F.desc("count"), "src").first()
+    return C.discover_links(links, root["src"] if root else "", 2, _CAP)
