@@ -26,7 +26,7 @@ BUCKETS, WIDTH = 1 << 14, 16  # half a megabyte of weights goes to every partiti
 SAMPLE_DOCS = 6000  # labelled documents that the model is fitted on, at most; a bound for the fit only
 STEPS, RATE = 40, 0.15  # at most; a fit ends when FLAT steps lower the loss by less than a hundredth
 FLAT = 4
-PART_DOCS = 1000  # labelled documents whose gradient one task computes
+PART_DOCS = 2000  # labelled documents whose gradient one task computes
 BLOCKS = 1  # pieces of a gradient that are summed apart
 SURE = 0.45  # probability from which a sentence is about a subject
 SHARE = 0.2  # of a document's sentences that makes a subject its own
