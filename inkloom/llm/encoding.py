@@ -250,6 +250,23 @@ class Classifier:
                     no += 1
         return yes >= no
 
+    def _restored(self, line: str, passages: list[tuple[int, int, str, str | None]]) -> str:
+        """The line with its passages restored; or restored as a whole, if the classifier holds that for likelier clean text.
+
+        Multi-byte characters may hold signs that part words, and short words may not be told by themselves.
+        """
+        parts = line
+        for a, b, _, back in reversed(passages):
+            parts = parts if back is None else parts[:a] + back + parts[b:]
+        told = Counter(chain for *_, chain, back in passages if back is not None)
+        if not told or "`" in line or "\ufffd" in line:
+            return parts
+        whole = invert(line, told.most_common(1)[0][0])
+        if whole is None or _CONTROL.search(whole):
+            return parts
+        reads = lambda s: float(self.scores(words)[:, :2].max(axis=1).sum()) if (words := _WORD.findall(s)) else 0.0
+        return whole if reads(whole) > reads(parts) else parts
+
     def repair(self, text: str, words: Iterable[str] | None = None) -> tuple[str, list[str]]:
         """The text with every passage restored that can be, and the chains found."""
         if text.isascii():
@@ -269,10 +286,8 @@ class Classifier:
                 while line not in before:  # what was garbled several times comes out step by step
                     before.add(line)
                     passages = self.passages(line)
-                    for a, b, chain, back in reversed(passages):
-                        chains.append(chain)
-                        if back is not None:
-                            line = line[:a] + back + line[b:]
+                    chains += [chain for _, _, chain, _ in passages]
+                    line = self._restored(line, passages)
                     if all(back is None for *_, back in passages):
                         break
             out.append(line)

@@ -226,3 +226,10 @@ def test_marks_of_many_scripts(spark):
     assert got[0] == unicodedata.normalize("NFC", cases[0]) != cases[0] and got[1] == unicodedata.normalize("NFC", cases[1]) != cases[1]
     assert 2 not in got and got[3] == "\ud55c" and got[4] == unicodedata.normalize("NFKC", cases[4]) and got[5] == "\u0644\u0627" and got[6] == "\u4e3d"
     assert got[7] == unicodedata.normalize("NFC", many) and got[8] == "\u0915\u093c"
+
+
+def test_double_byte_lines_come_out_whole(model):
+    """Second bytes that look like brackets or bars cut words apart; the line as a whole comes out."""
+    text = "取込キューを設定する、監査ログの権限。"
+    for chain in ("shift-jis > cp1252", "shift-jis > latin-1", "euc-jp > latin-1"):
+        assert model.repair(E.garble(text, chain))[0] == text
