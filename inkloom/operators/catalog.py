@@ -25,6 +25,19 @@ def resolve_links(edges: DataFrame, pages: DataFrame) -> DataFrame:
     return joined.select("src", "dst", kind.alias("kind"))
 
 
+def link_catalog(internal: DataFrame, external: DataFrame, pages: DataFrame) -> DataFrame:
+    """``src, dst, kind``, distinct: links found as internal that no page answers are unresolved, links found as external
+    that a page answers are internal."""
+    known = pages.select(F.col("url").alias("dst"), F.lit(True).alias("hit")).distinct()
+    both = internal.select("src", "dst", F.lit("internal_unresolved").alias("miss")).unionByName(external.select("src", "dst", F.lit("external").alias("miss")))
+    return both.distinct().join(known, "dst", "left").select("src", "dst", F.when(F.col("hit"), "internal").otherwise(F.col("miss")).alias("kind")).distinct()
+
+
+def link_warnings(links: DataFrame) -> DataFrame:
+    """An issue for every link that leads to no page."""
+    return links.where(F.col("kind") == "internal_unresolved").select(F.lit("warning").alias("severity"), F.lit("link_unresolved").alias("kind"), F.col("dst").alias("message"), F.col("src").alias("path"))
+
+
 def children_lists(pages: DataFrame, parent: str, child: str, order: Column) -> DataFrame:
     """``parent, children``: distinct children in order."""
     first = pages.where(F.col(parent).isNotNull()).groupBy(parent, child).agg(F.min(order).alias("o"))

@@ -147,6 +147,23 @@ def folders_to_refresh(folders: DataFrame, scopes: DataFrame | None) -> DataFram
     return in_scopes(distinct, F.col("folder"), scopes).unionByName(distinct.join(above, "folder", "left_semi")).distinct()
 
 
+def pages_to_write(pages: DataFrame, previous: DataFrame, scopes: DataFrame | None = None) -> DataFrame:
+    """The pages whose files are written: all that have content, and placeholders of what isn't mirrored yet.
+
+    ``pages``: ``url, path, placeholder``.  With scopes, of the placeholders only those in a scope or on the way to one.
+    """
+    empty = F.coalesce("placeholder", F.lit(False))
+    mirrored = _named(previous.where(~F.coalesce("placeholder", F.lit(False))), "url").select("url").distinct()
+    open_ = pages.where(empty).join(mirrored, "url", "left_anti")
+    if scopes is not None:
+        inside = in_scopes(open_, F.col("path"), scopes)
+        folder = F.when(F.col("path").rlike(r"(^|/)_index\.md$"), parent_folder(F.col("path"))).otherwise(F.col("path"))
+        above = scopes.select(F.explode(folder_ancestors(F.col("folder"))).alias("_folder")).distinct()
+        rest = open_.join(inside.select("url"), "url", "left_anti").withColumn("_folder", folder)
+        open_ = inside.unionByName(rest.join(above, "_folder", "left_semi").drop("_folder"))
+    return pages.where(~empty).unionByName(open_)
+
+
 def structure_order(pages: DataFrame, structure: DataFrame) -> DataFrame:
     """The pages with ``ord``, that of the first structure entry of their URL, else one past the structure's end."""
     first = _named(structure, "url").groupBy("url").agg(F.min("ord").alias("ord"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from inkloom.functions import predicates as P
 from inkloom.functions import urls as U
 from inkloom.functions.html import parse_column
-from inkloom.functions.markdown import collapse_repeats, drop_noise, normalize_column, pass_column, read_lines, repair_column, squeeze_blanks
+from inkloom.functions.markdown import NOISE_LINES, collapse_repeats, drop_noise, normalize_column, pass_column, read_lines, repair_column, squeeze_blanks
 from inkloom.operators import catalog as C
 from inkloom.operators import hierarchy as H
 from inkloom.operators import rewrite as R
@@ -442,7 +442,7 @@ def max_pages_cap(spark, folder):
     return p.select("site_host", "page_id", F.when(rank <= 5, "fetch").otherwise("placeholder").alias("action"))
 
 
-_NOISE = ["* * *", "Account", "Settings", "Logout", "Submit Search", "Filter:", "* Все разделы", "Skip To Main Content", "Dark mode", "Search", "Toggle navigation"]
+_NOISE = [*sorted(NOISE_LINES), "Dark mode", "Search", "Toggle navigation"]
 _LINES = "(select page_id, i, string_split(m, chr(10))[i] line from (select page_id, max(markdown) m from mirror_pages where markdown is not null group by 1), unnest(range(1, len(string_split(m, chr(10))) + 1)) r(i))"
 _LIST = ", ".join("'" + x + "'" for x in _NOISE)
 
@@ -625,3 +625,26 @@ def link_discovery(spark, folder):
     links = store(links)
     root = links.groupBy("src").count().orderBy(F.desc("count"), "src").first()
     return C.discover_links(links, root["src"] if root else "", 2, _CAP)
+
+
+_EXTERNAL = f"select distinct canonical_url src, {canon_sql('link')} dst from (select canonical_url, unnest(links_external) link from mirror_pages)"
+_LINKS = f"lk as (select distinct src, dst, case when u is not null then 'internal' else miss end kind from (select src, dst, 'internal_unresolved' miss from {_EDGES_SQL} union all select src, dst, 'external' from ({_EXTERNAL})) left join (select distinct canonical_url u from mirror_pages) on dst = u)"
+
+
+@query(f"with {_LINKS} select * from lk")
+def link_catalog(spark, folder):
+    """Links of both lists, told by whether a page answers them."""
+    external = table(spark, folder, "mirror_pages").select(F.col("canonical_url").alias("src"), F.explode("links_external").alias("link")).select("src", U.canonical_url("link").alias("dst"))
+    return C.link_catalog(_edges(spark, folder), external, table(spark, folder, "mirror_pages").select(F.col("canonical_url").alias("url")))
+
+
+@query(f"with {_LINKS} select 'warning' severity, 'link_unresolved' kind, dst message, src path from lk where kind = 'internal_unresolved'")
+def link_warnings(spark, folder):
+    return C.link_warnings(link_catalog(spark, folder))
+
+
+@query(f"with {_PATHS}, {_SCOPES_SQL}, pp as (select pg.url, cu.path, pg.placeholder from pg join cu using (url)), fo as (select *, case when suffix(path, '_index.md') then case when contains(path, '/') then regexp_replace(path, '/[^/]*$', '') else '.' end else path end fld from pp) select url, path, placeholder from fo where not coalesce(placeholder, false) or (url not in (select url from pv where not placeholder and url <> '') and exists (select 1 from sc where path = folder or starts_with(path, folder || '/') or fld = '.' or starts_with(folder, fld || '/')))")
+def pages_to_write(spark, folder):
+    """Pages with content, and placeholders in a scope or on the way to one."""
+    pages = _now(spark, folder).select("url", "placeholder").join(page_paths(spark, folder), "url").select("url", "path", "placeholder")
+    return S.pages_to_write(pages, _previous(spark, folder), _scopes(spark))
