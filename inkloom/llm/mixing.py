@@ -83,7 +83,9 @@ def mix_sources(documents: DataFrame, doc_id: str, source: str, size: str, targe
     ``targets``: ``mix, source, share, repeats``; the shares of a mix are relative.  A mix is as large as the sources
     allow when none is used more often than its ``repeats``; sources without documents (or without share) can't
     contribute, and the others keep their proportions.  A document goes in if its middle falls within its source's
-    quota, so a source misses it by less than one document.  Documents without id, source or size are in no mix;
+    quota; where the one at the quota's end is so long that this misses it by more than half a block, it is passed over
+    in that pass and those behind it fill the rest.  So a source misses its quota by half a block at most, unless its
+    documents run out.  Documents without id, source or size are in no mix;
     repeated rows are one; of repeated targets the greatest counts.
     """
     docs = documents.where(F.col(doc_id).isNotNull() & F.col(source).isNotNull() & (F.col(size) > 0))
@@ -101,15 +103,51 @@ def mix_sources(documents: DataFrame, doc_id: str, source: str, size: str, targe
     before = sums.select("source", "salt", (F.sum("n").over(Window.partitionBy("source").orderBy("salt")) - F.col("n")).alias("before"))
     inside = F.sum("size").over(Window.partitionBy("source", "salt").orderBy("order", "item").rowsBetween(Window.unboundedPreceding, -1))
     placed = docs.withColumn("inside", F.coalesce(inside, F.lit(0))).join(before, ["source", "salt"]).join(supply, "source").withColumn("begin", F.col("before") + F.col("inside"))
-    per = placed.join(plan.select("mix", "source", "quota", "period", F.size("slots").alias("share")), "source")
-    # Uses: the passes in which the middle of the document lies within the quota.
-    uses = F.ceil((F.col("quota") - F.col("begin") - F.col("size") / 2) / F.col("supply")).cast("int")
-    used = per.withColumn("uses", uses).where("uses > 0").select("mix", "source", "item", "size", "begin", "supply", "period", "share", F.explode(F.sequence(F.lit(1), F.col("uses"))).alias("use_no"))
-    block = F.floor(((F.col("use_no") - 1) * F.col("supply") + F.col("begin")) / BLOCK)
+    placed = store(placed.select("item", "source", "size", "begin", "supply"))
+    quotas = plan.join(supply, "source").select("mix", "source", "period", F.size("slots").alias("share"), F.floor(F.col("quota") / F.col("supply")).alias("passes"), (F.col("quota") % F.col("supply")).alias("end"))
+    quotas = store(quotas)
+    ends, skipped = _ends(placed, quotas)
+    # Uses: whole passes, and in the last one what lies before its end.
+    per = placed.join(_small(quotas.drop("end").join(ends, ["mix", "source"]).join(skipped, ["mix", "source"], "left")), "source")
+    skips = F.coalesce("skips", F.array().cast("array<struct<begin:bigint,size:bigint>>"))
+    gone = F.exists(skips, lambda x: x["begin"] == F.col("begin"))
+    shift = F.aggregate(F.filter(skips, lambda x: x["begin"] < F.col("begin")), F.lit(0).cast("bigint"), lambda n, x: n + x["size"])
+    last = (F.col("begin") + F.col("size") / 2 < F.col("end")) & ~gone
+    uses = (F.col("passes") + F.when(last, 1).otherwise(0)).cast("int")
+    used = per.withColumn("uses", uses).where("uses > 0").select("mix", "source", "item", "size", "begin", "supply", "period", "share", "passes", shift.alias("shift"), F.explode(F.sequence(F.lit(1), F.col("uses"))).alias("use_no"))
+    place = (F.col("use_no") - 1) * F.col("supply") + F.col("begin") - F.when(F.col("use_no") > F.col("passes"), F.col("shift")).otherwise(0)
+    block = F.floor(place / BLOCK)
     used = used.withColumn("round", F.floor(block / F.col("share"))).withColumn("nth", F.pmod(block, F.col("share")))
     slots = store(plan.select("mix", "source", F.posexplode("slots").alias("nth", "at")).withColumn("nth", F.col("nth").cast("bigint")))
-    slots = F.broadcast(slots) if slots.count() <= PLANS else slots
-    return used.join(slots, ["mix", "source", "nth"]).select("mix", "source", "item", "use_no", "size", (F.col("round") * F.col("period") + F.col("at")).alias("slot"))
+    return used.join(_small(slots), ["mix", "source", "nth"]).select("mix", "source", "item", "use_no", "size", (F.col("round") * F.col("period") + F.col("at")).alias("slot"))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """The frame with a hint to broadcast it if a count shows that it is small."""
+    return F.broadcast(df) if df.count() <= PLANS else df
+
+
+def _ends(placed: DataFrame, quotas: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``mix, source, end`` of each last pass, and ``mix, source, skips``: documents passed over, by where they begin.
+
+    A round looks at the one document across each open end; every round moves an end on, so there are as many as long
+    documents follow one another at an end.
+    """
+    ends = quotas.select("mix", "source", "end")
+    open_, moved, skipped = ends, None, None
+    while True:
+        across = placed.join(_small(open_), "source").where("begin < end and end < begin + size")
+        miss = F.least(F.col("end") - F.col("begin"), F.col("begin") + F.col("size") - F.col("end"))
+        far = store(across.where(miss * 2 > BLOCK).select("mix", "source", "begin", "size", F.least(F.col("begin") + F.col("size") + F.col("end") - F.col("begin"), F.col("supply")).alias("end")))
+        if far.isEmpty():
+            break
+        skipped = far if skipped is None else skipped.unionByName(far)
+        open_ = far.select("mix", "source", "end")
+        moved = open_ if moved is None else moved.unionByName(open_)
+    if skipped is None:
+        return ends, ends.select("mix", "source", F.lit(None).cast("array<struct<begin:bigint,size:bigint>>").alias("skips")).limit(0)
+    final = ends.unionByName(moved).groupBy("mix", "source").agg(F.max("end").alias("end"))
+    return final, skipped.groupBy("mix", "source").agg(F.collect_list(F.struct("begin", "size")).alias("skips"))
 
 
 def mix_report(uses: DataFrame, targets: DataFrame) -> DataFrame:

@@ -127,6 +127,22 @@ def test_slots_of_long_mixes(spark, monkeypatch):
     assert done == {"a": 3000, "b": 1000}
 
 
+def test_long_documents_at_the_end_of_a_quota(spark):
+    """A document much longer than a block doesn't spoil its source's share; runs of them neither."""
+    rng = random.Random(8)
+    rows = [(i, "a", rng.choice([300, 500, 90_000]) if i % 5 == 0 else rng.randrange(100, 900)) for i in range(900)] + [(1000 + i, "b", 400) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc long, source string, size long")
+    for share in (0.31, 0.5, 0.83):
+        targets = spark.createDataFrame([("m", "a", share, 2), ("m", "b", 1 - share, 1)], "mix string, source string, share double, repeats int")
+        used = X.mix_sources(docs, "doc", "source", "size", targets)
+        report = {r.source: r for r in X.mix_report(used, targets).collect()}
+        total = report["a"].tokens + report["b"].tokens
+        assert abs(report["a"].tokens - share * total) <= X.BLOCK, (share, report)
+        uses = used.collect()
+        assert len({(r.item, r.use_no) for r in uses}) == len(uses) and all(r.slot is not None for r in uses)
+        assert max(Counter(r.item for r in uses if r.source == "a").values()) <= 2
+
+
 def test_mix(spark):
     rng = random.Random(5)
     rows = [(i, rng.choice(["big"] * 8 + ["mid"] * 3 + ["small"]), rng.randrange(1, 300)) for i in range(3000)] + [(9001, None, 5), (9002, "big", None), (None, "big", 4)]
