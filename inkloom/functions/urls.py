@@ -12,7 +12,6 @@ from urllib.parse import quote, unquote, urlsplit, urlunsplit
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
 # Already in canonical form: nothing to decode, lower or cut.
 _CLEAN = r"^https?://[a-z0-9.:\-]+(/[A-Za-z0-9_.~:@\-]+)+$"
 HTML_SUFFIXES = ("html", "htm", "xhtml")

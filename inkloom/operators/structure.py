@@ -152,6 +152,7 @@ def pages_to_write(pages: DataFrame, previous: DataFrame, scopes: DataFrame | No
 
     ``pages``: ``url, path, placeholder``.  With scopes, of the placeholders only those in a scope or on the way to one.
     """
+    pages = cut(pages)
     empty = F.coalesce("placeholder", F.lit(False))
     mirrored = _named(previous.where(~F.coalesce("placeholder", F.lit(False))), "url").select("url").distinct()
     open_ = pages.where(empty).join(mirrored, "url", "left_anti")

@@ -101,11 +101,11 @@ _STEM = f"regexp_replace(coalesce(list_extract({_TAIL}, -1), ''), '\\.[^.]+$', '
 _SCOPE_ROOT = "https://docs.norvaned.example/guides"
 
 
-@query(f"select distinct canonical_url url, {_HTML} html, {_CANDIDATE} candidate, {_SERVICE} service, regexp_matches({_LAST}, '^main_page\\.x?html?$') main, len({_TAIL}) = 1 or {_STEM} = coalesce(list_extract({_TAIL}, -2), '/') or suffix({_STEM}, '_toc') landing from mirror_pages")
+@query(f"select distinct canonical_url url, {_HTML} html, {_CANDIDATE} candidate, {_SERVICE} service, regexp_matches({_LAST}, '^main_page\\.x?html?$') main, len({_TAIL}) = 1 or {_STEM} = coalesce(list_extract({_TAIL}, -2), '/') or suffix({_STEM}, '_toc') landing, starts_with(canonical_url, 'https://docs.norvaned.example/') same from mirror_pages")
 def url_predicates(spark, folder):
     """What kind of address each page has."""
     u = table(spark, folder, "mirror_pages").select(F.col("canonical_url").alias("url")).distinct()
-    return u.select("url", P.is_html("url").alias("html"), P.is_html_candidate("url").alias("candidate"), P.is_service("url").alias("service"), P.is_main_page("url").alias("main"), P.is_section_landing("url").alias("landing"))
+    return u.select("url", P.is_html("url").alias("html"), P.is_html_candidate("url").alias("candidate"), P.is_service("url").alias("service"), P.is_main_page("url").alias("main"), P.is_section_landing("url").alias("landing"), U.same_domain("url", F.lit(_SCOPE_ROOT)).alias("same"))
 
 
 @query(f"select distinct canonical_url url, site_host from mirror_pages where not {_SERVICE} and {_CANDIDATE} and starts_with(canonical_url, 'https://docs.norvaned.example/') and (canonical_url = '{_SCOPE_ROOT}' or starts_with(canonical_url, '{_SCOPE_ROOT}/') or starts_with(canonical_url, 'https://docs.norvaned.example/install/'))")
