@@ -12,7 +12,7 @@ from inkloom.functions.predicates import asset_path
 from inkloom.operators import rewrite
 from inkloom.operators.catalog import document_roots, folder_index, link_path_map, resolve_links, search, sync_report
 from inkloom.operators.structure import catalog_summary, folders_to_refresh, stale_paths
-from inkloom.session import build_session, read_if_there, ship, store
+from inkloom.session import build_session, drop_stored, read_if_there, ship, store
 from inkloom.sources.export import append_history, delete_pages, write_catalog, write_folder_indexes, write_pages, write_root_markers
 from inkloom.sources.assets import materialise
 from inkloom.sources.local import crawl_local
@@ -149,6 +149,13 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     spark = build_session()
     ship(spark)
+    try:
+        return _run(spark, args, catalog)
+    finally:
+        drop_stored(spark)
+
+
+def _run(spark: SparkSession, args: argparse.Namespace, catalog: str) -> int:
     if args.command in ("mirror", "structure"):
         run = mirror if args.command == "mirror" else structure
         print("pages", run(spark, args.source, args.output, args.max_depth, args.max_pages))

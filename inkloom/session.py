@@ -71,9 +71,21 @@ def store(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    context = spark.sparkContext
+    context._inkloom_tables = [*getattr(context, "_inkloom_tables", []), path]
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(spark: SparkSession) -> int:
+    """Delete the tables that ``store`` wrote in this session, once no frame that reads them is needed; their number."""
+    context = spark.sparkContext
+    paths, context._inkloom_tables = getattr(context, "_inkloom_tables", []), []
+    for path in paths:
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+    return len(paths)
+
+
 def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
     """A Parquet table, or None if nothing was written there yet; a table that can't be read is an error."""
     try:

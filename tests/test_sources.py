@@ -1,6 +1,8 @@
 """Local crawl, tables of contents, layout, export, streaming and the command line."""
 
 import datetime as dt
+from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from inkloom import cli
 from inkloom.functions.media import from_yaml, to_yaml
 from inkloom.operators import catalog as C
 from inkloom.operators import layout as Y
+from inkloom.session import drop_stored, ensure_checkpoint_dir, store
 from inkloom.sources import local, toc
 from inkloom.sources.export import delete_pages, other_form, split_page, write_folder_indexes, write_pages, write_root_markers
 from inkloom.streaming.ingest import fetched_pages, fetches_per_hour, merge_into, run_ingest
@@ -109,6 +112,25 @@ def test_other_forms_and_deletion(spark, tmp_path):
     assert (tmp_path / "help/.doc-root.yaml").read_text().startswith("title: help\n")
 
 
+def test_stored_tables_are_dropped(spark):
+    drop_stored(spark)
+    kept = store(spark.range(5))
+    path = spark.sparkContext._inkloom_tables[0]
+    assert kept.count() == 5 and drop_stored(spark) == 1 and drop_stored(spark) == 0
+    assert not Path(path.removeprefix("file:")).exists()
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    class Context:
+        master = "spark://h:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+        getConf = staticmethod(dict)
+
+    session = SimpleNamespace(sparkContext=Context(), conf={})
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(session)
+
+
 def test_start_file_among_many(spark, tmp_path):
     for n in range(1001):
         (tmp_path / f"a{n:04}.html").write_text("<p>x")
