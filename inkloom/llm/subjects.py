@@ -1,8 +1,8 @@
 """Subject areas of documents.
 
 Method: averaged word and subword embeddings with an independent logistic output for each subject.  Gradients are
-computed on partitions of the labelled sentences, summed on the executors block by block and synchronised after every
-step, until the loss is flat; then every document is scored, sentence by sentence, with a threshold for every output.
+computed on partitions of the labelled sentences, summed on an executor and synchronised after every step, until the
+loss is flat; then every document is scored, sentence by sentence, with a threshold for every output.
 Labels belong to whole documents and some are wrong, so after a first fit each labelled sentence is given to the
 subjects it speaks of itself, and the model is fitted again.
 """
@@ -27,7 +27,6 @@ SAMPLE_DOCS = 6000  # labelled documents that the model is fitted on, at most; a
 STEPS, RATE = 40, 0.15  # at most; a fit ends when FLAT steps lower the loss by less than a hundredth
 FLAT = 4
 PART_DOCS = 2000  # labelled documents whose gradient one task computes
-BLOCKS = 1  # pieces of a gradient that are summed apart
 SURE = 0.45  # probability from which a sentence is about a subject
 SHARE = 0.2  # of a document's sentences that makes a subject its own
 _TOKEN = re.compile(r"[^\W\d_]+")
@@ -221,19 +220,22 @@ def fit(documents: DataFrame, labels: DataFrame, subjects: list[str], doc_id: st
                         total = flat if total is None else total + flat
                         loss, count = loss + lost, count + len(own.begins)
                 if total is not None:
-                    pieces = np.array_split(total.astype("<f4"), BLOCKS)
-                    yield pd.DataFrame({"block": range(BLOCKS), "n": [count] * BLOCKS, "loss": [loss] * BLOCKS, "g": [x.tobytes() for x in pieces]})
+                    yield pd.DataFrame({"n": [count], "loss": [loss], "g": [total.astype("<f4").tobytes()]})
 
-            def add_up(group: pd.DataFrame) -> pd.DataFrame:
-                total = np.sum([np.frombuffer(g, "<f4") for g in group["g"]], axis=0)
-                return pd.DataFrame({"block": [group["block"].iloc[0]], "n": [group["n"].sum()], "loss": [group["loss"].sum()], "g": [total.astype("<f4").tobytes()]})
+            def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                total, loss, count = 0.0, 0.0, 0
+                for batch in batches:
+                    for row in batch.itertuples(index=False):
+                        total, loss, count = total + np.frombuffer(row.g, "<f4"), loss + row.loss, count + row.n
+                if count:
+                    yield pd.DataFrame({"n": [count], "loss": [loss], "g": [total.astype("<f4").tobytes()]})
 
-            schema = "block int, n bigint, loss double, g binary"
-            got = parts.mapInPandas(part_gradient, schema).groupBy("block").applyInPandas(add_up, schema).collect()  # BLOCKS rows: one gradient
+            # One gradient for every PART_DOCS documents of the bounded sample is summed in one task; their sum comes to the driver.
+            schema = "n bigint, loss double, g binary"
+            got = parts.mapInPandas(part_gradient, schema).repartition(1).mapInPandas(add_up, schema).collect()
             if not got:
                 return step.model
-            got.sort(key=lambda r: r.block)
-            flat, at, grads = np.concatenate([np.frombuffer(r.g, "<f4") for r in got]) / got[0].n, 0, []
+            flat, at, grads = np.frombuffer(got[0].g, "<f4") / got[0].n, 0, []
             for x in step.model:
                 grads.append(flat[at : at + x.size].reshape(x.shape))
                 at += x.size
