@@ -172,6 +172,8 @@ def suspects(values: DataFrame, text: str, keep: list[str]) -> DataFrame:
         for batch in batches:
             found = [odd_words(t) for t in batch[text]]
             hit = [bool(words) for _, words in found]
+            if not any(hit):
+                continue  # pandas makes an empty column one of floats, which Arrow doesn't turn into lists
             out = batch.loc[hit].copy()
             out["alone"], out["words"] = [a for a, w in found if w], [w for _, w in found if w]
             yield out

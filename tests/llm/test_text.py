@@ -25,6 +25,21 @@ def test_plain_texts(spark):
     assert L.plain_texts(df.limit(0), "text", ["id"]).count() == 0
 
 
+def test_batches_without_suspects(spark):
+    df = spark.createDataFrame([(i, "Обзор, café" if i % 3 else "cаfé") for i in range(12)], "id int, text string").coalesce(1)
+    plain_only = df.where("id % 3 > 0")
+    assert L.plain_texts(plain_only, "text", ["id"]).count() == 0
+    assert L.changed_texts(L.suspects(plain_only, "text", ["id"]), ["id"]).count() == 0
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # batches with and without, in one task
+    try:
+        got = {r.id: r.plain for r in L.plain_texts(df, "text", ["id"]).collect()}
+        changed = {r.id for r in L.changed_texts(L.suspects(df, "text", ["id"]), ["id"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {0: "café", 3: "café", 6: "café", 9: "café"}
+    assert changed == set(got)
+
+
 def test_long_mark_runs_and_long_words(spark):
     df = spark.createDataFrame([(1, "e" + "́" * 9 + "x" * 3000)], "id int, text string")
     assert L.plain_texts(df, "text", ["id"]).first().plain == unicodedata.normalize("NFC", "e" + "́" * 9) + "x" * 3000
